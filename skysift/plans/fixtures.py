@@ -77,14 +77,33 @@ def _fine(px: DataFrame, factor: int, columns: dict[str, Column]) -> DataFrame:
     )
 
 
-def px20(spark: SparkSession, sf_dir: str) -> DataFrame:
+Window = tuple[int, int, int, int]
+
+
+def _within(px: DataFrame, window: Window | None, factor: int) -> DataFrame:
+    """Drop coarse rows outside the fine window before they are expanded."""
+    if window is None:
+        return px
+    y0, y1, x0, x1 = window
+    return px.filter(
+        F.col("y").between(y0 // factor, (y1 - 1) // factor) & F.col("x").between(x0 // factor, (x1 - 1) // factor))
+
+
+def _clip(px: DataFrame, window: Window | None) -> DataFrame:
+    if window is None:
+        return px
+    y0, y1, x0, x1 = window
+    return px.filter((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
+
+
+def px20(spark: SparkSession, sf_dir: str, window: Window | None = None) -> DataFrame:
     cols = {b: F.expr(f"{b} + ((i * 3 + j) * {m}) % 53") for b, m in TWENTY.items()}
-    return _fine(px60(spark, sf_dir), 3, cols)
+    return _clip(_fine(_within(px60(spark, sf_dir), window, 3), 3, cols), window)
 
 
-def px10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """10 m bands and the display RGB."""
-    return _fine(px60(spark, sf_dir), 6, {
+def px10(spark: SparkSession, sf_dir: str, window: Window | None = None) -> DataFrame:
+    """10 m bands and the display RGB; a (y0, y1, x0, x1) window reads less."""
+    return _clip(_fine(_within(px60(spark, sf_dir), window, 6), 6, {
         "b02": F.expr("case when b02 = 0 then 0 else b02 + ((i * 6 + j) * 37) % 101 end"),
         "b03": F.expr("b03 + ((i * 6 + j) * 41) % 103"),
         "b04": F.expr("b04 + ((i * 6 + j) * 43) % 107"),
@@ -92,7 +111,7 @@ def px10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "r": F.expr("(b04 + i * 7 + j) % 256"),
         "g": F.expr("(b03 + i + j * 5) % 256"),
         "b": F.expr("(b02 + i * 3 + j * 2) % 256"),
-    })
+    }), window)
 
 
 def refl(band: str) -> Column:
@@ -205,8 +224,7 @@ tiles as (
 """
 
 
-def sql(body: str, views: str = "") -> str:
+def sql(body: str, views: str = "", recursive: bool = False) -> str:
     """A query over the derived views; ``views`` adds further named ones."""
     extra = f",\n{views}" if views else ""
-    recursive = "recursive " if "recursive_view" in views else ""
-    return f"with {recursive}{PRELUDE}{extra}\n{body}"
+    return f"with {'recursive ' if recursive else ''}{PRELUDE}{extra}\n{body}"

@@ -23,11 +23,10 @@ DETECTORS = {"threshold": "a", "model": "b", "class_mask": "ref"}
 def scan_band_window(spark, sf):
     """One band, one window of the 10 m grid, of every scene.
 
-    The window is narrowed on the coarse rows before they are expanded; on a
+    Coarse rows outside the window are dropped before they are expanded; on a
     stored pixel table the same predicates reach the parquet scan.
     """
-    window = F.col("y").between(40, 109) & F.col("x").between(33, 121)
-    return X.px10(spark, sf).filter(window).select(*KEY, F.col("b03").alias("dn"))
+    return X.px10(spark, sf, (40, 110, 33, 122)).select(*KEY, F.col("b03").alias("dn"))
 
 
 @query("scan_class_mask", X.sql(
@@ -43,8 +42,7 @@ def scan_class_mask(spark, sf):
 @query("scan_rgb_window", X.sql(
     "select scene_id, y, x, r, g, b from px10 where y between 100 and 130 and x between 200 and 260"))
 def scan_rgb_window(spark, sf):
-    window = F.col("y").between(100, 130) & F.col("x").between(200, 260)
-    return X.px10(spark, sf).filter(window).select(*KEY, "r", "g", "b")
+    return X.px10(spark, sf, (100, 131, 200, 261)).select(*KEY, "r", "g", "b")
 
 
 _off = "case when scene_id % 5 = 4 then 0 else -1000 end"
