@@ -109,11 +109,19 @@ def mask_binarize(stored: Column) -> Column:
     return stored > 127
 
 
-def exceeded(value: Column, thresholds: list[float]) -> Column:
-    """How many of the ascending float32 thresholds the value exceeds."""
-    out = F.lit(0)
-    for t in thresholds:
-        out = out + (value > f32(t)).cast("int")
+def exceeded(value: Column, grid: list[float]) -> Column:
+    """How many thresholds of an evenly spaced ascending grid the value exceeds.
+
+    The position on the grid is estimated by division and settled by comparing
+    with the four float32 thresholds around it, so rounding cannot change it.
+    """
+    step = (grid[-1] - grid[0]) / (len(grid) - 1)
+    near = F.floor((value.cast("double") - F.lit(grid[0])) / F.lit(step)).cast("int") - 1
+    base = F.least(F.greatest(near, F.lit(0)), F.lit(len(grid)))
+    marks = F.array(*[f32(t) for t in grid])
+    out = base
+    for ahead in range(4):
+        out = out + F.coalesce((value > F.get(marks, base + ahead)).cast("int"), F.lit(0))
     return out
 
 

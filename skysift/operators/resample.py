@@ -179,24 +179,25 @@ def overlap_tile_counts(px: DataFrame, grid: SceneGrid, scale: int, flags: Seque
     )
 
 
+def rounded_tile(pos: Column, size: float) -> Column:
+    """Tile of a coarse position when tile edges are rounded half to even."""
+    near = F.floor(pos / F.lit(size))
+    return (
+        F.when(pos >= F.rint((near + 1) * F.lit(size)), near + 1)
+        .when(pos < F.rint(near * F.lit(size)), near - 1)
+        .otherwise(near).cast("int")
+    )
+
+
 def rounded_edge_tiles(px: DataFrame, grid: SceneGrid, scale: int, flag: str) -> DataFrame:
     """Approximate tile share on the coarse grid, with half-even rounded edges.
 
     Kept apart from the exact cut: the verdict is a float test, > 30.0.
     """
     size = grid.tile_px / scale
-
-    def tile_of(pos: Column) -> Column:
-        near = F.floor(pos / F.lit(size))
-        return (
-            F.when(pos >= F.rint((near + 1) * F.lit(size)), near + 1)
-            .when(pos < F.rint(near * F.lit(size)), near - 1)
-            .otherwise(near).cast("int")
-        )
-
     share = F.lit(100.0) * F.sum(F.col(flag).cast("int")) / F.count(F.lit(1))
     return (
-        px.groupBy("scene_id", tile_of(F.col("y")).alias("tile_row"), tile_of(F.col("x")).alias("tile_col"))
+        px.groupBy("scene_id", rounded_tile(F.col("y"), size).alias("tile_row"), rounded_tile(F.col("x"), size).alias("tile_col"))
         .agg(F.count(F.lit(1)).alias("cells"), share.alias("percent"))
         .withColumn("invalid", F.col("percent") > 30.0)
     )
