@@ -22,6 +22,7 @@ from skysift.session import cut_lineage
 # ahead, when walking with the region on the right: top, right, bottom, left.
 AHEAD = ((0, 1), (1, 0), (0, -1), (-1, 0))
 OUTSIDE = ((-1, 0), (0, 1), (1, 0), (0, -1))
+CHAIN_COLUMNS = ("head", "rank", "vy", "vx", "turns", "lift", "least", "least_rank", "next")
 
 
 def boundary_edges(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -> DataFrame:
@@ -110,12 +111,13 @@ def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
     turned = turn == 1
     points = pd.DataFrame({
         "head": ids[head[turned]], "rank": rank[turned], "vy": pdf["vy"].to_numpy()[turned], "vx": pdf["vx"].to_numpy()[turned]})
-    sums = pd.DataFrame({"head": ids[head], "turns": turn, "lift": pdf["lift"].to_numpy()}).groupby("head", as_index=False).sum()
+    # Ids are sorted, so the first row of a chain is its smallest edge.
+    edges = pd.DataFrame({"head": ids[head], "least": ids, "least_rank": rank, "turns": turn, "lift": pdf["lift"].to_numpy()})
+    sums = edges.groupby("head", as_index=False).agg({"least": "first", "least_rank": "first", "turns": "sum", "lift": "sum"})
     leaves = pd.DataFrame({"head": ids[head[~inside]], "next": succ[~inside]})
     sums = sums.merge(leaves, on="head", how="left")
     out = pd.concat([points.assign(is_chain=False), sums.assign(is_chain=True)], ignore_index=True).assign(**layer)
-    whole = {c: "Int64" for c in ("head", "rank", "vy", "vx", "turns", "lift", "next")}
-    return out.astype(whole)[[*LAYER, "is_chain", "head", "rank", "vy", "vx", "turns", "lift", "next"]]
+    return out.astype({c: "Int64" for c in CHAIN_COLUMNS})[[*LAYER, "is_chain", *CHAIN_COLUMNS]]
 
 
 def _rank_chains(chains: DataFrame) -> DataFrame:
@@ -159,27 +161,30 @@ def polygon_rings(layer: DataFrame, runs: DataFrame, shape: tuple[int, int], edg
     width = shape[1]
     edges = boundary_edges(layer, shape, edge)
     types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    schema = (f"scene_id {types['scene_id']}, class string, is_chain boolean, head bigint, rank bigint, vy bigint, vx bigint, "
-              "turns bigint, lift bigint, `next` bigint")
+    schema = f"scene_id {types['scene_id']}, class string, is_chain boolean, " + ", ".join(f"`{c}` bigint" for c in CHAIN_COLUMNS)
     walked = cut_lineage(edges.groupBy(*LAYER, "hrow", "hcol").applyInPandas(_chains, schema))
     chains = walked.filter("is_chain")
     closed = chains.filter(F.col("next").isNull()).select(*LAYER, "head", F.col("head").alias("ring"), F.lit(0).cast("bigint").alias("before"), F.col("turns").alias("n"))
     ranked = cut_lineage(closed.unionByName(_rank_chains(chains.filter(F.col("next").isNotNull()))))
 
-    lifted = chains.select(*LAYER, "head", "lift").join(ranked.select(*LAYER, "head", "ring"), [*LAYER, "head"])
-    rings = lifted.groupBy(*LAYER, "ring").agg(F.sum("lift").alias("pixels"))
-    # The first pixel of a region owns the smallest edge of its outer ring; for
-    # a hole the region is that of the run under its smallest edge.
-    where = rings.select(*LAYER, "ring", "pixels", idiv(F.col("ring") / 4, width).alias("y"),
-                         (F.floor(F.col("ring") / 4) % width).cast("int").alias("x")).withColumn("_bucket", idiv(F.col("x"), bucket))
+    # A ring is named after its smallest edge and starts there.
+    parts = chains.select(*LAYER, "head", "lift", "least", "least_rank").join(ranked, [*LAYER, "head"])
+    start = F.min(F.struct("least", (F.col("before") + F.col("least_rank")).alias("shift")))
+    found = parts.groupBy(*LAYER, F.col("ring").alias("lead")).agg(F.sum("lift").alias("pixels"), start.alias("s"))
+    rings = found.select(*LAYER, "lead", "pixels", F.col("s.least").alias("ring"), F.col("s.shift").alias("shift"))
+    # The region is that of the run under the smallest edge.
+    where = rings.withColumns({
+        "y": idiv(F.col("ring") / 4, width), "x": (F.floor(F.col("ring") / 4) % width).cast("int"),
+    }).withColumn("_bucket", idiv(F.col("x"), bucket))
     spans = runs.select(*LAYER, "y", "x0", "x1", "component", F.explode(F.sequence(idiv(F.col("x0"), bucket), idiv(F.col("x1"), bucket))).alias("_bucket"))
     owned = where.join(spans, [*LAYER, "y", "_bucket"]).filter(F.col("x").between(F.col("x0"), F.col("x1"))).select(
-        *LAYER, "ring", "component", "pixels", (F.col("pixels") < 0).alias("hole"))
-    points = walked.filter(~F.col("is_chain")).select(*LAYER, "head", "rank", "vy", "vx").join(ranked, [*LAYER, "head"]).select(
-        *LAYER, "ring", "n", (F.col("before") + F.col("rank")).alias("seq"), "vy", "vx")
+        *LAYER, "lead", "ring", "shift", "component", "pixels", (F.col("pixels") < 0).alias("hole"))
+    # Owners are attached to chains, not to vertices: one ring may hold most vertices.
+    named = ranked.withColumnRenamed("ring", "lead").join(owned, [*LAYER, "lead"])
+    points = walked.filter(~F.col("is_chain")).select(*LAYER, "head", "rank", "vy", "vx").join(named, [*LAYER, "head"]).withColumn(
+        "seq", F.pmod(F.col("before") + F.col("rank") - F.col("shift"), F.col("n")))
     again = F.when(F.col("seq") == 0, F.array(F.lit(0).cast("bigint"), F.col("n"))).otherwise(F.array("seq"))
-    closed_points = points.withColumn("seq", F.explode(again))
-    return closed_points.join(owned, [*LAYER, "ring"]).select(
+    return points.withColumn("seq", F.explode(again)).select(
         *LAYER, "component", "ring", "hole", "pixels", "n", "seq", F.col("vy").cast("int").alias("vy"), F.col("vx").cast("int").alias("vx"))
 
 

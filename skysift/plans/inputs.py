@@ -1 +1,183 @@
-"""Queries."""
+"""Catalogue, configuration and reader queries.
+
+The files they read are written first, from the scenes of the driver tables,
+into the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skysift.constants import BANDS
+from skysift.functions import radiometry as R
+from skysift.operators import compare as C
+from skysift.plans import fixtures as X
+from skysift.plans.aggregates import scene_footprints
+from skysift.plans.comparison import REP, report_runs, verdicts
+from skysift.plans.registry import query
+from skysift.session import scratch_path
+from skysift.sources import catalog as K
+from skysift.sources import sinks as O
+from skysift.sources import tables as L
+
+I = X._idiv
+
+
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _when(flag: Column, text: Column | str) -> Column:
+    return F.when(flag, text).otherwise("")
+
+
+def product_xml(flawed: bool) -> Column:
+    """Product document of a scene; ``flawed`` plants one defect in some scenes."""
+    sid = F.col("scene_id")
+    bad = lambda i: (sid % 10 == i) if flawed else F.lit(False)
+    offsets = F.concat(*[F.lit(f'<RADIO_ADD_OFFSET band_id="{i}">-1000</RADIO_ADD_OFFSET>') for i in range(len(BANDS))])
+    ring = F.array_join(F.transform("footprint", lambda p: F.format_string("%.4f %.4f", p["lat"], p["lon"])), " ")
+    return _text(
+        '<n1:Level-1C_User_Product xmlns:n1="urn:user-product"><n1:General_Info><Product_Info><PRODUCT_URI>', F.col("safe"),
+        "</PRODUCT_URI><PROCESSING_LEVEL>", F.when(bad(1), "Level-2A").otherwise("Level-1C"), "</PROCESSING_LEVEL>",
+        "<PROCESSING_BASELINE>05.11</PROCESSING_BASELINE><GENERATION_TIME>2025-10-02T14:31:20.000000Z</GENERATION_TIME>",
+        "<PRODUCT_START_TIME>2025-10-02T10:18:51.025Z</PRODUCT_START_TIME><Datatake><SPACECRAFT_NAME>Craft-", (sid % 3),
+        "</SPACECRAFT_NAME></Datatake></Product_Info><Product_Image_Characteristics>",
+        "<Special_Values><SPECIAL_VALUE_TEXT>NODATA</SPECIAL_VALUE_TEXT><SPECIAL_VALUE_INDEX>0</SPECIAL_VALUE_INDEX></Special_Values>",
+        "<Special_Values><SPECIAL_VALUE_TEXT>SATURATED</SPECIAL_VALUE_TEXT><SPECIAL_VALUE_INDEX>65535</SPECIAL_VALUE_INDEX></Special_Values>",
+        _when(~bad(2), '<QUANTIFICATION_VALUE unit="none">10000</QUANTIFICATION_VALUE>'),
+        _when(sid % 5 != 4, _text("<Radiometric_Offset_List>", offsets, "</Radiometric_Offset_List>")),
+        "</Product_Image_Characteristics></n1:General_Info><n1:Geometric_Info><Product_Footprint><Product_Footprint><Global_Footprint>",
+        _when(~bad(7), _text("<EXT_POS_LIST> ", ring, " </EXT_POS_LIST>")),
+        "</Global_Footprint></Product_Footprint></Product_Footprint></n1:Geometric_Info><n1:Quality_Indicators_Info><Cloud_Coverage_Assessment>",
+        F.format_string("%.6f", "cloud_pct"), "</Cloud_Coverage_Assessment><Snow_Coverage_Assessment>", F.format_string("%.6f", "snow_pct"),
+        "</Snow_Coverage_Assessment></n1:Quality_Indicators_Info></n1:Level-1C_User_Product>",
+    )
+
+
+def granule_xml(flawed: bool) -> Column:
+    sid = F.col("scene_id")
+    bad = lambda i: (sid % 10 == i) if flawed else F.lit(False)
+    sizes, positions = [], []
+    for res in (10, 20, 60):
+        rows, cols = X.GRID.shape(res)
+        gone = bad(4) if res == 20 else F.lit(False)
+        sizes.append(_when(~gone, f'<Size resolution="{res}"><NROWS>{rows}</NROWS><NCOLS>{cols}</NCOLS></Size>'))
+        positions.append(_text(f'<Geoposition resolution="{res}"><ULX>', F.col("origin_e").cast("bigint"), "</ULX><ULY>", F.col("origin_n").cast("bigint"),
+                               f"</ULY><XDIM>{res}</XDIM><YDIM>-{res}</YDIM></Geoposition>"))
+    return _text(
+        '<n1:Level-1C_Tile_ID xmlns:n1="urn:tile"><n1:General_Info><SENSING_TIME>2025-10-02T10:27:28.089482Z</SENSING_TIME></n1:General_Info>',
+        "<n1:Geometric_Info><Tile_Geocoding><HORIZONTAL_CS_CODE>EPSG:", F.when(bad(5), F.lit("none")).otherwise(F.col("epsg").cast("string")),
+        "</HORIZONTAL_CS_CODE>", *sizes, *positions, "</Tile_Geocoding><Tile_Angles>",
+        _when(~bad(6), '<Mean_Sun_Angle><ZENITH_ANGLE unit="deg">53.5213</ZENITH_ANGLE><AZIMUTH_ANGLE unit="deg">168.3974</AZIMUTH_ANGLE></Mean_Sun_Angle>'),
+        "</Tile_Angles></n1:Geometric_Info></n1:Level-1C_Tile_ID>",
+    )
+
+
+def write_products(spark: SparkSession, sf: str, flawed: bool) -> tuple[str, str]:
+    """Product and granule documents below ``safe=<name>.SAFE`` folders."""
+    scenes = scene_footprints(spark, sf).withColumn("safe", F.format_string("SCENE_%06d.SAFE", "scene_id"))
+    product, granule = scratch_path(spark, "product"), scratch_path(spark, "granule")
+    scenes.select("safe", product_xml(flawed).alias("value")).write.partitionBy("safe").text(product)
+    copies = F.array_repeat(F.lit(1), F.when((F.col("scene_id") % 10 == 3) & F.lit(flawed), 2).otherwise(1))
+    scenes.select("safe", granule_xml(flawed).alias("value"), F.explode(copies).alias("_")).drop("_").write.partitionBy("safe").text(granule)
+    return product, granule
+
+
+def write_bands(spark: SparkSession, sf: str) -> str:
+    """An empty file per band; some scenes lack B09."""
+    ids = X.px60(spark, sf, placed=False).select("scene_id").distinct()
+    bands = ids.select("scene_id", F.explode(F.array(*[F.lit(b) for b in BANDS])).alias("band"))
+    kept = bands.filter(~((F.col("scene_id") % 10 == 8) & (F.col("band") == "B09")))
+    path = scratch_path(spark, "bands")
+    kept.select(
+        F.format_string("SCENE_%06d.SAFE", "scene_id").alias("safe"), F.format_string("T32UPV_%06d_%s.jp2", "scene_id", "band").alias("image"),
+        F.lit("").alias("value")).repartition("safe").write.partitionBy("safe", "image").text(path)
+    return path
+
+
+@query("scan_product_catalog", X.sql(
+    "select printf('SCENE_%06d.SAFE', scene_id) as product, printf('SCENE_%06d.SAFE', scene_id) as product_uri, 'Level-1C' as processing_level, '05.11' as processing_baseline, 'Craft-' || (scene_id % 3) as spacecraft, "
+    "'2025-10-02 10:27:28.089482' as sensing_time, '2025-10-02 14:31:20.000000' as generation_time, cast(32632 as bigint) as epsg, cast(180 as bigint) as nrows10, cast(150 as bigint) as ncols20, cast(30 as bigint) as nrows60, "
+    f"cast(600000 + 3000*(scene_id % 10) as double) as ulx, cast(5500020 - 1800*{I('scene_id', 10)} as double) as uly, -1e1 as ydim10, 1e4 as quantification_value, "
+    "case when scene_id % 5 = 4 then 0e0 else -1e3 end as offset_b02, case when scene_id % 5 = 4 then 0e0 else -1e3 end as offset_b12, scene_id % 5 <> 4 as has_radiometric_offset, "
+    "cast(0 as bigint) as nodata_value, cast(65535 as bigint) as saturated_value, round(c.pct, 6) as cloud, 0e0 as snow, 53.5213e0 as zenith, 168.3974e0 as azimuth, cast(5 as bigint) as points "
+    "from (select scene_id, 1e2 * count(*) filter (ref) / count(*) as pct from det group by scene_id) c"))
+def scan_product_catalog(spark, sf):
+    """XML documents read with fixed schemas into one typed row per product."""
+    cat = K.product_catalog(K.scan_products(spark, *write_products(spark, sf, flawed=False)))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return cat.select(
+        "product", "product_uri", "processing_level", "processing_baseline", "spacecraft", stamp("sensing_time"), stamp("generation_time"), "epsg",
+        F.col("sizes")[10]["nrows"].alias("nrows10"), F.col("sizes")[20]["ncols"].alias("ncols20"), F.col("sizes")[60]["nrows"].alias("nrows60"),
+        F.col("geoposition")[10]["ulx"].alias("ulx"), F.col("geoposition")[60]["uly"].alias("uly"), F.col("geoposition")[10]["ydim"].alias("ydim10"),
+        "quantification_value", F.col("radio_add_offset")["B02"].alias("offset_b02"), F.col("radio_add_offset")["B12"].alias("offset_b12"), "has_radiometric_offset",
+        "nodata_value", "saturated_value", F.col("cloud_coverage_assessment").alias("cloud"), F.col("snow_coverage_assessment").alias("snow"),
+        F.col("mean_sun_zenith").alias("zenith"), F.col("mean_sun_azimuth").alias("azimuth"), F.size("footprint").alias("points"))
+
+
+@query("catalog_quality", X.sql(
+    "select printf('SCENE_%06d.SAFE', scene_id) as product, case scene_id % 10 when 1 then 'not Level-1C' when 2 then 'quantification missing' when 3 then 'granule count is not 1' when 4 then 'resolution missing' "
+    "when 5 then 'EPSG code not found' when 6 then 'sun angle missing' when 7 then 'footprint missing' when 8 then 'band missing' else '' end as reasons, scene_id % 10 in (0, 9) as ok from ids"))
+def catalog_quality(spark, sf):
+    """Good and quarantined products, with the reasons."""
+    raw = K.scan_products(spark, *write_products(spark, sf, flawed=True))
+    lacking = K.missing_bands(raw, K.band_inventory(spark, write_bands(spark, sf)))
+    return K.catalog_quality(raw, lacking).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+_BANDS_SQL = "select scene_id, unnest([" + ", ".join(f"'{b}'" for b in BANDS) + "]) as band from ids"
+
+
+@query("band_inventory", X.sql(
+    f"select printf('SCENE_%06d.SAFE', scene_id) as product, band, printf('T32UPV_%06d_%s.jp2', scene_id, band) as image from ({_BANDS_SQL}) where not (scene_id % 10 = 8 and band = 'B09')"))
+def band_inventory(spark, sf):
+    found = K.band_inventory(spark, write_bands(spark, sf))
+    return found.select("product", "band", F.regexp_extract("path", r"([^/=]+\.jp2)", 1).alias("image"))
+
+
+@query("missing_bands", X.sql("select printf('SCENE_%06d.SAFE', scene_id) as product, 'B09' as band from ids where scene_id % 10 = 8"))
+def missing_bands(spark, sf):
+    scenes = X.px60(spark, sf, placed=False).select("scene_id").distinct().select(F.format_string("SCENE_%06d.SAFE", "scene_id").alias("product"))
+    return K.missing_bands(scenes, K.band_inventory(spark, write_bands(spark, sf)))
+
+
+@query("scan_detector_config", X.sql(
+    "select scene_id, tb as t_bright, tn as t_ndsi, tc as t_cirrus, avg_over as average_over, count(*) filter ((bright > cast(tb as float) and ndsi > cast(tn as float)) or r10 > cast(tc as float)) as cloud from "
+    "(select *, coalesce(case when scene_id % 3 = 0 then 0.31e0 end, 0.2e0 + (scene_id % 8) * 0.02e0) as tb, coalesce(case when scene_id % 4 <> 3 then -0.25e0 end, -0.2e0) as tn, 0.011e0 as tc, "
+    "nullif(cast(scene_id % 3 as bigint), 0) as avg_over from t60) group by all"))
+def scan_detector_config(spark, sf):
+    """One configuration per scene: arguments over file over defaults, 0 as off.
+
+    Every third scene gets an overriding argument; in some files a value is null.
+    """
+    ids = X.px60(spark, sf, placed=False).select("scene_id").distinct()
+    ndsi = F.when(F.col("scene_id") % 4 != 3, "-0.25").otherwise("null")
+    doc = _text('{"scene_id": ', F.col("scene_id"), ', "t_bright": ', F.lit(0.2) + (F.col("scene_id") % 8) * F.lit(0.02), ', "t_ndsi": ', ndsi,
+                ', "t_cirrus": 0.011, "average_over": ', F.col("scene_id") % 3, ', "_note": "chosen by inspection"}')
+    path = scratch_path(spark, "config")
+    ids.select(doc.alias("value")).write.text(path)
+    schema = "scene_id bigint, t_bright double, t_ndsi double, t_cirrus double, average_over int"
+    config = L.scan_detector_config(spark, path, schema, ["scene_id", "t_bright", "t_ndsi", "t_cirrus", "average_over"], whole=False)
+    argument = F.when(F.col("scene_id") % 3 == 0, F.lit(0.31))
+    used = config.select(
+        "scene_id", L.effective(argument, F.col("t_bright"), 0.18).alias("t_bright"), L.effective(F.lit(None).cast("double"), F.col("t_ndsi"), -0.2).alias("t_ndsi"),
+        L.effective(F.lit(None).cast("double"), F.col("t_cirrus"), 0.005).alias("t_cirrus"), L.off_if_zero(F.col("average_over")).alias("average_over"))
+    bright, slope, r10 = X.rule_columns()
+    px = X.px60(spark, sf).select("scene_id", bright.alias("b"), slope.alias("n"), r10.alias("c")).join(used, "scene_id")
+    cloud = R.cloud_rule(F.col("b"), F.col("n"), F.col("c"), F.col("t_bright"), F.col("t_ndsi"), F.col("t_cirrus"))
+    return px.groupBy("scene_id", "t_bright", "t_ndsi", "t_cirrus", "average_over").agg(F.count_if(cloud).alias("cloud"))
+
+
+def stored_verdicts(spark, sf) -> DataFrame:
+    path = scratch_path(spark, "verdicts")
+    O.write_verdicts(verdicts(spark, sf), path)
+    return L.scan_audit_verdicts(spark, path)
+
+
+@query("scan_audit_verdicts", X.sql(
+    "select scene_id, cast(tile_row as bigint) as tile_row, cast(tile_col as bigint) as tile_col, nullif(\"character\", '') as \"character\", reason, verdict from verd", REP))
+def scan_audit_verdicts(spark, sf):
+    """Verdict files written and read back with their checks."""
+    return stored_verdicts(spark, sf).select("scene_id", "tile_row", "tile_col", "character", "reason", "verdict")

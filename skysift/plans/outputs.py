@@ -1 +1,179 @@
-"""Queries."""
+"""Writer queries: each writes to the shared folder and reads the result back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skysift.constants import PROB_SCALE
+from skysift.functions import radiometry as R
+from skysift.functions import tilemath as M
+from skysift.operators import analysis as A
+from skysift.operators import compare as C
+from skysift.operators import grid as G
+from skysift.operators import resample as S
+from skysift.operators import sweep as W
+from skysift.operators import tiles as T
+from skysift.plans import fixtures as X
+from skysift.plans.aggregates import FOOT_VIEWS, scene_footprints
+from skysift.plans.comparison import REP, report_runs
+from skysift.plans.inputs import write_products
+from skysift.plans.registry import query
+from skysift.plans.scalars import BOX_VIEWS, KEY, tile_runs
+from skysift.plans.sweeps import SWEEP_VIEWS, sweep_rows
+from skysift.plans.vectors import RING_VIEWS, features
+from skysift.session import scratch_path
+from skysift.sources import catalog as K
+from skysift.sources import sinks as O
+from skysift.sources import tables as L
+
+I = X._idiv
+PARAMETERS = {"threshold": X.RULE_A, "model": {"prob_threshold": X.MODEL_THRESHOLD}, "class_mask": {}}
+
+
+def located_model(spark, sf) -> DataFrame:
+    stats = tile_runs(spark, sf).filter(F.col("detector") == "model").drop("detector")
+    return T.locate_tiles(stats, X.scenes(spark, sf), X.GRID)
+
+
+def stored_report(spark, sf) -> str:
+    path = scratch_path(spark, "report")
+    O.write_tile_report(located_model(spark, sf), path)
+    return path
+
+
+_PRINTED = ", ".join(f"printf('%.8f', {c}) as {c}" for c in ("min_latitude", "min_longitude", "max_latitude", "max_longitude"))
+_REPORT = ("rep_rows as (select scene_id, tile_row, tile_col, " + _PRINTED + ", printf('%.6f', cloud_cover_percent) as cloud_cover_percent, case when valid then 'True' else 'False' end as valid "
+           "from tiles join boxes using (scene_id, tile_row, tile_col) where detector = 'model')")
+
+
+@query("sink_tile_report", X.sql("select * exclude (tile_row, tile_col) from rep_rows", BOX_VIEWS + ", " + _REPORT))
+def sink_tile_report(spark, sf):
+    """Six text columns per tile, as they stand in the file."""
+    return L.scan_tile_report(spark, stored_report(spark, sf))
+
+
+@query("scan_tile_report", X.sql(
+    "select scene_id, tile_row, tile_col, cast(cloud_cover_percent as double) as cloud_cover_percent, valid = 'True' as valid from rep_rows", BOX_VIEWS + ", " + _REPORT))
+def scan_tile_report(spark, sf):
+    """Report rows with the tile recovered from the printed box."""
+    report = L.identify_tiles(L.scan_tile_report(spark, stored_report(spark, sf)), X.scenes(spark, sf), X.GRID)
+    return L.typed_report(report).select("scene_id", "tile_row", "tile_col", "cloud_cover_percent", "valid")
+
+
+def stored_chips(spark, sf) -> str:
+    rows = tile_runs(spark, sf).filter((F.col("detector") == "model") & F.col("valid"))
+    path = scratch_path(spark, "chips")
+    O.write_chips(O.valid_chips(X.px10(spark, sf), rows, X.GRID), path)
+    return path
+
+
+@query("sink_valid_chips", X.sql(
+    f"select p.scene_id, p.tile_row, p.tile_col, printf('tile_r%02d_c%02d', p.tile_row, p.tile_col) as name, count(*) as cells, cast(sum(r * (pos + 1)) as bigint) as r, cast(sum(g * (pos + 2)) as bigint) as g, cast(sum(b * (pos + 3)) as bigint) as b "
+    f"from (select *, {I('y', 15)} as tile_row, {I('x', 15)} as tile_col, (y % 15) * 15 + x % 15 as pos from px10) p join tiles t using (scene_id, tile_row, tile_col) where t.detector = 'model' and t.valid group by all"))
+def sink_valid_chips(spark, sf):
+    """RGB chips of the valid tiles, as position-weighted channel sums."""
+    chips = spark.read.parquet(stored_chips(spark, sf))
+    cells = chips.select("scene_id", "tile_row", "tile_col", "name", F.posexplode("cells").alias("pos", "c"))
+    return cells.groupBy("scene_id", "tile_row", "tile_col", "name").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum(F.col("c.r") * (F.col("pos") + 1)).alias("r"),
+        F.sum(F.col("c.g") * (F.col("pos") + 2)).alias("g"), F.sum(F.col("c.b") * (F.col("pos") + 3)).alias("b"))
+
+
+@query("chip_listing", X.sql("select scene_id, printf('tile_r%02d_c%02d', tile_row, tile_col) as name from tiles where detector = 'model' and valid"))
+def chip_listing(spark, sf):
+    return O.chip_listing(spark, stored_chips(spark, sf))
+
+
+@query("sink_tile_masks", X.sql(
+    f"select scene_id, {I('fy', 15)} as tile_row, {I('fx', 15)} as tile_col, count(*) as cells, cast(sum(case when b then 255 * ((fy % 15) * 15 + fx % 15) else 0 end) as bigint) as placed from fine_det group by all"))
+def sink_tile_masks(spark, sf):
+    """0/255 masks of every tile, stored and read back."""
+    fine = S.upsample_nearest(X.masks60(spark, sf).select(*KEY, "brow", "bcol", "b"), 6)
+    path = scratch_path(spark, "masks")
+    O.write_masks(O.tile_masks(fine, X.GRID, "b"), path)
+    cells = spark.read.parquet(path).select("scene_id", "tile_row", "tile_col", F.posexplode("cells").alias("pos", "v"))
+    return cells.groupBy("scene_id", "tile_row", "tile_col").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("v") * F.col("pos")).cast("bigint").alias("placed"))
+
+
+@query("sink_probability_map", X.sql("select scene_id, y, x, cast(cast(q24 / 16777216e0 as float) as double) as prob from px60"))
+def sink_probability_map(spark, sf):
+    path = scratch_path(spark, "prob")
+    O.write_probability_map(X.px60(spark, sf).withColumn("prob", F.col("q24") / F.lit(float(PROB_SCALE))), path)
+    return spark.read.parquet(path)
+
+
+@query("sink_geojson", X.sql(
+    "select v.scene_id, v.features, r.rings, r.vertices from (select scene_id, count(*) as features from (select distinct scene_id, class, component from vert) group by scene_id) v "
+    "join (select scene_id, count(*) filter (seq = 0) as rings, count(*) as vertices from vert group by scene_id) r using (scene_id)", RING_VIEWS, recursive=True))
+def sink_geojson(spark, sf):
+    """Feature collections as ordered text; counted per scene from the file."""
+    path = scratch_path(spark, "geojson")
+    O.write_geojson(features(spark, sf), path)
+    lines = spark.read.schema("value string, scene_id bigint").text(path)
+    return lines.groupBy("scene_id").agg(
+        F.count_if(F.col("value").contains('"type":"Feature",')).alias("features"),
+        F.count_if(F.col("value").isin("[", ",[")).alias("rings"), F.count_if(F.col("value").rlike(r"^,?\[-?\d")).alias("vertices"))
+
+
+@query("sink_scene_metadata", X.sql(
+    "select printf('SCENE_%06d.SAFE', scene_id) as product, cast(32632 as bigint) as epsg, case when scene_id % 5 = 4 then 0e0 else -1e3 end as offset_b11, "
+    "min(round(lat, 4)) as min_latitude, min(round(lon, 4)) as min_longitude, max(round(lat, 4)) as max_latitude, max(round(lon, 4)) as max_longitude from corners group by scene_id", FOOT_VIEWS))
+def sink_scene_metadata(spark, sf):
+    """Metadata as JSON, with the footprint box."""
+    path = scratch_path(spark, "metadata")
+    O.write_scene_metadata(K.product_catalog(K.scan_products(spark, *write_products(spark, sf, flawed=False))), path)
+    docs = spark.read.schema("product string, epsg int, radio_add_offset map<string,double>, footprint_bbox array<double>").json(path)
+    box = ("min_latitude", "min_longitude", "max_latitude", "max_longitude")
+    return docs.select("product", "epsg", F.col("radio_add_offset")["B11"].alias("offset_b11"), *[F.col("footprint_bbox")[i].alias(n) for i, n in enumerate(box)])
+
+
+def stored_summary(spark, sf) -> str:
+    foot = scene_footprints(spark, sf)
+    box = A.footprint_bbox(F.col("footprint"))
+    scenes = foot.withColumn("footprint_bbox", F.array(*box.values()))
+    path = scratch_path(spark, "summary")
+    O.write_run_summary(O.run_summaries(T.scene_summary(tile_runs(spark, sf), X.GRID, ("scene_id", "detector")), scenes, PARAMETERS), path)
+    return path
+
+
+_SUMMARY = ("select scene_id, detector, count(*) filter (valid) as valid_tiles, count(*) filter (not valid) as invalid_tiles, cast(sum(cloud_pixels) as bigint) as cloud_pixels_total, "
+            "max(nodata_fraction) as max_nodata_fraction, 1e2 * sum(cloud_pixels) / (count(*) * 225) as scene_cloud_percent from tiles group by all")
+
+
+@query("sink_run_summary", X.sql(_SUMMARY))
+def sink_run_summary(spark, sf):
+    """Run summaries written as JSON; the results block read back."""
+    docs = L.scan_run_summary(spark, stored_summary(spark, sf))
+    return docs.select(F.col("scene.scene_id").alias("scene_id"), "detector", "results.*")
+
+
+@query("scan_run_summary", X.sql(
+    "select scene_id, detector, case detector when 'threshold' then 0.3e0 end as t_bright, case detector when 'model' then 0.6e0 end as prob_threshold, cast(32632 as bigint) as epsg, cast(600000 + 3000*(scene_id % 10) as double) as easting "
+    "from (select distinct scene_id, detector from tiles)"))
+def scan_run_summary(spark, sf):
+    """Detector, parameters and geocoding of each run."""
+    docs = L.scan_run_summary(spark, stored_summary(spark, sf))
+    return docs.select(
+        F.col("scene.scene_id").alias("scene_id"), "detector", F.col("parameters")["t_bright"].alias("t_bright"), F.col("parameters")["prob_threshold"].alias("prob_threshold"),
+        F.col("scene.epsg").alias("epsg"), F.col("scene.origin_easting").alias("easting"))
+
+
+@query("sink_sweep", X.sql(
+    "select t_bright, t_ndsi, t_cirrus, " + ", ".join(f"cast(printf('%.6f', {c}) as double) as {c}" for c in ("scene_cloud_percent", "precision", "recall", "f1", "iou")) + " from sweep", SWEEP_VIEWS))
+def sink_sweep(spark, sf):
+    """Sweep as CSV with six decimals and 'off' for a disabled test."""
+    path = scratch_path(spark, "sweep")
+    O.write_sweep(sweep_rows(spark, sf), {"t_ndsi": "off", "t_cirrus": "off"}, path)
+    names = ("t_bright", "t_ndsi", "t_cirrus", "scene_cloud_percent", "precision", "recall", "f1", "iou")
+    rows = spark.read.option("header", "true").option("enforceSchema", "false").schema(", ".join(f"{n} string" for n in names)).csv(path)
+    return rows.select(*[F.nullif(n, F.lit("off")).cast("double").alias(n) for n in names])
+
+
+@query("sink_audit_sample", X.sql(
+    "select scene_id, cast(tile_row as bigint) as tile_row, cast(tile_col as bigint) as tile_col, nullif(\"character\", '') as \"character\", reason, cast(null as varchar) as verdict from sample", REP))
+def sink_audit_sample(spark, sf):
+    path = scratch_path(spark, "sample")
+    O.write_audit_sample(C.audit_sample(report_runs(spark, sf), "threshold", "model", X.NAMED), path)
+    rows = spark.read.option("header", "true").option("enforceSchema", "false").schema(L.VERDICT_SCHEMA + ", scene_id bigint").csv(path)
+    return rows.drop("notes")

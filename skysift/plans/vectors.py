@@ -10,6 +10,7 @@ from skysift.operators import regions as C
 from skysift.plans import fixtures as X
 from skysift.plans.aggregates import scene_footprints
 from skysift.plans.registry import query
+from skysift.plans.scalars import inverse_views
 
 CLASSES = {"threshold": "a", "class_mask": "ref"}
 # Small blocks, so that the fixture's regions cross block borders.
@@ -28,6 +29,26 @@ COMPONENT_VIEWS = RUN_VIEWS + (
 )
 
 
+RING_VIEWS = COMPONENT_VIEWS + (
+    ", dense as (select scene_id, 'threshold' as class, y, x, a as o from det union all select scene_id, 'class_mask', y, x, ref from det)"
+    ", d1 as (select *, coalesce(lag(o) over wx, false) as w, coalesce(lead(o) over wx, false) as e from dense window wx as (partition by scene_id, class, y order by x))"
+    ", d2 as (select scene_id, class, y, x, o, w, e, y * 50 + x as p, coalesce(lag(o) over wy, false) as n, coalesce(lag(w) over wy, false) as nw, coalesce(lag(e) over wy, false) as ne, "
+    "coalesce(lead(o) over wy, false) as s, coalesce(lead(w) over wy, false) as sw, coalesce(lead(e) over wy, false) as se from d1 window wy as (partition by scene_id, class, x order by y))"
+    ", edge as ("
+    "select scene_id, class, p*4 as id, case when not e then p*4+1 when not ne then (p+1)*4 else (p-49)*4+3 end as succ, not e or ne as turn, y as vy, x+1 as vx from d2 where o and not n "
+    "union all select scene_id, class, p*4+1, case when not s then p*4+2 when not se then (p+50)*4+1 else (p+51)*4 end, not s or se, y+1, x+1 from d2 where o and not e "
+    "union all select scene_id, class, p*4+2, case when not w then p*4+3 when not sw then (p-1)*4+2 else (p+49)*4+1 end, not w or sw, y+1, x from d2 where o and not s "
+    "union all select scene_id, class, p*4+3, case when not n then p*4 when not nw then (p-50)*4+3 else (p-51)*4+2 end, not n or nw, y, x from d2 where o and not w)"
+    ", walk as (select scene_id, class, id, id as ring, cast(0 as bigint) as seq, turn, succ from edge union all "
+    "select f.scene_id, f.class, f.id, k.ring, k.seq + case when k.turn then 1 else 0 end, f.turn, f.succ from walk k join edge f on f.scene_id = k.scene_id and f.class = k.class and f.id = k.succ where k.ring < f.id)"
+    ", ringed as (select k.scene_id, k.class, k.ring, k.seq, f.vy, f.vx, k.turn from walk k join (select scene_id, class, id, min(ring) as ring from walk group by all) m using (scene_id, class, id, ring) join edge f using (scene_id, class, id))"
+    ", ring_n as (select scene_id, class, ring, count(*) filter (turn) as n from ringed group by all)"
+    ", ring_owner as (select r.scene_id, r.class, r.ring, r.n, c.component, r.ring <> c.component * 4 as hole from ring_n r join comp c on c.scene_id = r.scene_id and c.class = r.class "
+    f"and c.y = {X._idiv(X._idiv('r.ring', 4), 50)} and {X._idiv('r.ring', 4)} % 50 between c.x0 and c.x1)"
+    ", vert as (select o.scene_id, o.class, o.component, o.ring, o.hole, o.n, unnest(case when v.seq = 0 then [0, o.n] else [v.seq] end) as seq, v.vy, v.vx from ringed v join ring_owner o using (scene_id, class, ring) where v.turn)"
+)
+
+
 def class_layers(spark, sf):
     return C.layers(X.masks60(spark, sf), CLASSES)
 
@@ -66,10 +87,10 @@ def rings(spark, sf):
     return V.polygon_rings(class_layers(spark, sf), component_runs(spark, sf), X.COARSE_SHAPE, BLOCK)
 
 
-@query("polygon_rings")
+@query("polygon_rings", X.sql("select * from vert", RING_VIEWS, recursive=True))
 def polygon_rings(spark, sf):
-    """Ring vertices; no SQL equivalent, checked by area, hole count and validity."""
-    return rings(spark, sf)
+    """Closed rings, one vertex per row; the oracle walks every edge recursively."""
+    return rings(spark, sf).drop("pixels")
 
 
 @query("ring_summary", X.sql(
@@ -84,10 +105,15 @@ def features(spark, sf):
     return V.features_wgs84(rings(spark, sf), X.scenes(spark, sf), 60)
 
 
-@query("features_wgs84")
+@query("features_wgs84", X.sql(
+    "select scene_id, class, component, ring, hole, seq, cast(round_even(lon * 1e6, 0) as bigint) as lon_micro, cast(round_even(lat * 1e6, 0) as bigint) as lat_micro from located",
+    RING_VIEWS + ", " + inverse_views(
+        "select *, cast(600000 + 3000*(scene_id % 10) + vx*60 as double) as e, "
+        f"cast(5500020 - 1800*{X._idiv('scene_id', 10)} - vy*60 as double) as n from (select * exclude (n) from vert)"), recursive=True))
 def features_wgs84(spark, sf):
-    """Vertices in rounded longitude/latitude; no SQL equivalent."""
-    return features(spark, sf).select("scene_id", "class", "component", "ring", "hole", "seq", "lon", "lat")
+    """Vertices in longitude/latitude rounded to six decimals, as micro-degrees."""
+    micro = lambda c: F.rint(F.col(c) * 1e6).cast("bigint").alias(f"{c}_micro")
+    return features(spark, sf).select("scene_id", "class", "component", "ring", "hole", "seq", micro("lon"), micro("lat"))
 
 
 @query("feature_area_check", X.sql(

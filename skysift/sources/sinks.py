@@ -1,11 +1,15 @@
-"""Writers and the tables they write."""
+"""Writers and the tables they write.
+
+Files are laid out below ``scene_id=...`` folders, so that readers prune scenes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.constants import SceneGrid
+from skysift.constants import REPORT_COLUMNS, SceneGrid
+from skysift.functions import tilemath as M
 from skysift.operators.grid import assign_tile, block_keys
 
 
@@ -42,3 +46,138 @@ def valid_chips(px: DataFrame, valid_tiles: DataFrame, grid: SceneGrid) -> DataF
     tiled = assign_tile(px, grid)
     kept = tiled.join(valid_tiles.select("scene_id", "tile_row", "tile_col"), ["scene_id", "tile_row", "tile_col"], "left_semi")
     return _cells(kept.select("scene_id", *extra, "y", "x", "r", "g", "b"), grid, F.struct("r", "g", "b"))
+
+
+def report_rows(located: DataFrame) -> DataFrame:
+    """Tile rows as the fixed-width text of the report; invalid tiles are kept."""
+    printed = {c: F.format_string("%.8f", F.col(c)) for c in REPORT_COLUMNS[:4]}
+    return located.withColumns({
+        **printed, "cloud_cover_percent": F.format_string("%.6f", F.col("cloud_cover_percent")),
+        "valid": F.when(F.col("valid"), "True").otherwise("False"),
+    }).select("scene_id", "tile_row", "tile_col", *REPORT_COLUMNS)
+
+
+def write_tile_report(located: DataFrame, path: str) -> None:
+    """One CSV per scene, six columns, row-major.
+
+    Ranges are cut between scenes, so a scene never spans two files.
+    """
+    rows = report_rows(located).repartitionByRange("scene_id").sortWithinPartitions("scene_id", "tile_row", "tile_col")
+    rows.select("scene_id", *REPORT_COLUMNS).write.partitionBy("scene_id").option("header", "true").csv(path)
+
+
+def write_chips(chips: DataFrame, path: str) -> None:
+    named = chips.withColumn("name", M.tile_name(F.col("tile_row"), F.col("tile_col")))
+    named.write.partitionBy("scene_id").parquet(path)
+
+
+def chip_listing(spark, path: str) -> DataFrame:
+    """Names of the chips present in an output; only that column is read."""
+    return spark.read.parquet(path).select("scene_id", "name")
+
+
+def write_masks(masks: DataFrame, path: str) -> None:
+    masks.write.partitionBy("scene_id").parquet(path)
+
+
+def write_probability_map(px: DataFrame, path: str) -> None:
+    """Raw probabilities kept beside the results."""
+    px.select("scene_id", "y", "x", F.col("prob").cast("float").alias("prob")).write.partitionBy("scene_id").parquet(path)
+
+
+def geojson_lines(features: DataFrame) -> DataFrame:
+    """FeatureCollections as ordered lines of text, one vertex per line.
+
+    Sorted by (scene_id, class, component, hole, ring, seq, part) the lines of a
+    scene are one JSON document; no polygon is assembled in memory. ``features``
+    has closed rings with lon/lat.
+    """
+    key = ["scene_id", "class", "component", "hole", "ring", "seq", "part", "value"]
+    comma = lambda first: F.when(first, "").otherwise(",")
+    point = F.concat(comma(F.col("seq") == 0), F.lit("["), F.format_string("%.6f", "lon"), F.lit(","), F.format_string("%.6f", "lat"), F.lit("]"))
+    points = features.select(*key[:6], F.lit(0).alias("part"), point.alias("value"))
+    first = features.filter(F.col("seq") == 0)
+    ring_open = first.select(*key[:5], F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("part"), F.concat(comma(~F.col("hole")), F.lit("[")).alias("value"))
+    ring_close = first.select(*key[:5], (F.col("n") + 1).alias("seq"), F.lit(0).alias("part"), F.lit("]").alias("value"))
+    outer = first.filter(~F.col("hole"))
+    scene = outer.groupBy("scene_id").agg(F.min(F.struct("class", "component")).alias("lead"))
+    opened = outer.join(scene, "scene_id")
+    leading = (F.col("lead.class") == F.col("class")) & (F.col("lead.component") == F.col("component"))
+    feature = F.concat(comma(leading), F.lit('{"type":"Feature","properties":{"class":"'), F.col("class"),
+                       F.lit('"},"geometry":{"type":"Polygon","coordinates":['))
+    feature_open = opened.select(*key[:5], F.lit(-2).cast("bigint").alias("seq"), F.lit(0).alias("part"), feature.alias("value"))
+    # Closes after the feature's last hole: sorted behind every ring of the component.
+    feature_close = outer.select(*key[:3], F.lit(True).alias("hole"), F.lit(2**62).alias("ring"), F.lit(0).cast("bigint").alias("seq"), F.lit(1).alias("part"), F.lit("]}}").alias("value"))
+    head = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},"features":['
+
+    def wrap(text: str, name: str) -> DataFrame:
+        return scene.select(
+            "scene_id", F.lit(name).alias("class"), F.lit(0).cast("bigint").alias("component"), F.lit(False).alias("hole"), F.lit(0).cast("bigint").alias("ring"),
+            F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("part"), F.lit(text).alias("value"))
+
+    out = wrap(head, "")
+    # U+FFFF sorts behind every class name.
+    for piece in (points, ring_open, ring_close, feature_open, feature_close, wrap("]}", "\uffff")):
+        out = out.unionByName(piece)
+    return out
+
+
+def write_geojson(features: DataFrame, path: str) -> None:
+    """Per scene, the part files in name order are one GeoJSON document."""
+    order = ["scene_id", "class", "component", "hole", "ring", "seq", "part"]
+    lines = geojson_lines(features).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("scene_id", "value").write.partitionBy("scene_id").text(path)
+
+
+def scene_metadata(catalog: DataFrame) -> DataFrame:
+    """JSON-ready summary of each product, with the box of its footprint."""
+    lats = F.transform("footprint", lambda p: p["lat"])
+    lons = F.transform("footprint", lambda p: p["lon"])
+    box = F.array(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons))
+    return catalog.withColumn("footprint_bbox", box)
+
+
+def write_scene_metadata(catalog: DataFrame, path: str) -> None:
+    scene_metadata(catalog).write.json(path)
+
+
+def run_summaries(summary: DataFrame, scenes: DataFrame, parameters: dict[str, dict[str, float | None]]) -> DataFrame:
+    """One summary document per (scene, detector)."""
+    params = F.lit(None).cast("map<string,double>")
+    for name, values in parameters.items():
+        entries = [x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("double"))]
+        params = F.when(F.col("detector") == name, F.create_map(*entries) if entries else F.create_map().cast("map<string,double>")).otherwise(params)
+    joined = summary.join(scenes, "scene_id")
+    return joined.select(
+        "detector", params.alias("parameters"),
+        F.struct("scene_id", "epsg", F.col("origin_e").alias("origin_easting"), F.col("origin_n").alias("origin_northing"), "footprint_bbox").alias("scene"),
+        F.struct("scene_cloud_percent", "valid_tiles", "invalid_tiles", "cloud_pixels_total", "max_nodata_fraction").alias("results"))
+
+
+def write_run_summary(documents: DataFrame, path: str) -> None:
+    documents.write.json(path)
+
+
+def sweep_rows(sweep: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """Sweep rows as text: scores with six decimals, ``settings`` gives the word for a disabled test."""
+    scores = ("scene_cloud_percent", "precision", "recall", "f1", "iou")
+    return sweep.withColumns({
+        **{c: F.coalesce(F.col(c).cast("string"), F.lit(off)) for c, off in settings.items()},
+        **{c: F.format_string("%.6f", F.col(c)) for c in scores},
+    })
+
+
+def write_sweep(sweep: DataFrame, settings: dict[str, str], path: str) -> None:
+    sweep_rows(sweep, settings).write.option("header", "true").csv(path)
+
+
+def write_audit_sample(sample: DataFrame, path: str) -> None:
+    """Sample with empty verdicts; an existing file is never overwritten."""
+    blank = sample.select("scene_id", "tile_row", "tile_col", "character", "reason", F.lit("").alias("verdict"), F.lit("").alias("notes"))
+    ordered = blank.repartitionByRange("scene_id").sortWithinPartitions("scene_id")
+    ordered.write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
+
+
+def write_verdicts(verdicts: DataFrame, path: str) -> None:
+    rows = verdicts.select("scene_id", "tile_row", "tile_col", "character", "reason", "verdict", F.lit("").alias("notes"))
+    rows.repartitionByRange("scene_id").write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
