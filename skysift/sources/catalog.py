@@ -43,11 +43,11 @@ def scan_products(spark: SparkSession, product_path: str, granule_path: str) ->
 
     Each kind of document is read once, with a fixed schema.
     """
-    products = _documents(spark, product_path, "n1:Level-1C_User_Product", PRODUCT_SCHEMA).select(
+    products = _documents(spark, product_path, "Level-1C_User_Product", PRODUCT_SCHEMA).select(
         "product", F.col("General_Info.Product_Info").alias("info"), F.col("General_Info.Product_Image_Characteristics").alias("image"),
         F.col("Geometric_Info.Product_Footprint.Product_Footprint.Global_Footprint.EXT_POS_LIST").alias("positions"),
         F.col("Quality_Indicators_Info").alias("quality"))
-    granules = _documents(spark, granule_path, "n1:Level-1C_Tile_ID", GRANULE_SCHEMA).groupBy("product").agg(
+    granules = _documents(spark, granule_path, "Level-1C_Tile_ID", GRANULE_SCHEMA).groupBy("product").agg(
         F.count(F.lit(1)).alias("granules"),
         F.min_by(F.struct(
             F.col("General_Info.SENSING_TIME").alias("sensing"), F.col("Geometric_Info.Tile_Geocoding").alias("geo"),

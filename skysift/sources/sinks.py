@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skysift.constants import REPORT_COLUMNS, SceneGrid
 from skysift.functions import tilemath as M
+from skysift.functions.text import fixed_text
 from skysift.operators.grid import assign_tile, block_keys
 
 
@@ -163,7 +164,7 @@ def sweep_rows(sweep: DataFrame, settings: dict[str, str]) -> DataFrame:
     scores = ("scene_cloud_percent", "precision", "recall", "f1", "iou")
     return sweep.withColumns({
         **{c: F.coalesce(F.col(c).cast("string"), F.lit(off)) for c, off in settings.items()},
-        **{c: F.format_string("%.6f", F.col(c)) for c in scores},
+        **{c: fixed_text(F.col(c)) for c in scores},
     })
 
 
