@@ -26,28 +26,28 @@ def disk_size(radius: int) -> int:
     return sum(2 * w + 1 for w in half_widths(radius).values())
 
 
-def disk_reduce(
-    halo: DataFrame, columns: Sequence[str], radius: int, how: str,
-    keys: Sequence[str] = ("scene_id",), names: Sequence[str] | None = None,
-) -> DataFrame:
-    """Sum or maximum over the disk, for a table that carries its halo.
+Spec = tuple[str, int, str]
+
+
+def disk_reduce(halo: DataFrame, specs: Sequence[Spec], how: str, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Sum or maximum over disks, for a table that carries its halo.
 
-    Missing pixels count as nothing. Right for pixels at least ``radius`` away
-    from the edge of the halo.
+    ``specs`` are (column, radius, new column); all of them share one sort by row
+    and one by column. Missing pixels count as nothing. Right for pixels at
+    least the radius away from the edge of the halo.
     """
     block = [*keys, "hrow", "hcol"]
     along_x = Window.partitionBy(*block, "y").orderBy("x")
     along_y = Window.partitionBy(*block, "x").orderBy("y")
     reduce = {"sum": F.sum, "max": F.max}[how]
-    widths = half_widths(radius)
-    rows = halo
-    for c in columns:
-        rows = rows.withColumns({
-            f"_{c}_{w}": reduce(c).over(along_x.rangeBetween(-w, w)) for w in sorted(set(widths.values()))
-        })
-
-    def combine(c: str) -> Column:
-        shifted = [F.max(f"_{c}_{w}").over(along_y.rangeBetween(dy, dy)) for dy, w in widths.items()]
+    needed = {(c, w) for c, r, _ in specs for w in half_widths(r).values()}
+    rows = halo.withColumns({
+        f"_{c}_{w}": reduce(c).over(along_x.rangeBetween(-w, w)) if w else F.col(c) for c, w in sorted(needed)
+    })
+
+    def combine(c: str, radius: int) -> Column:
+        shifted = [
+            F.max(f"_{c}_{w}").over(along_y.rangeBetween(dy, dy)) if dy else F.col(f"_{c}_{w}") for dy, w in half_widths(radius).items()]
         if how == "max":
             return F.greatest(*shifted)
         total = F.lit(0)
@@ -55,9 +55,9 @@ def disk_reduce(
             total = total + F.coalesce(s, F.lit(0))
         return total
 
-    kept = [c for c in halo.columns if names or c not in columns]
-    outs = names or columns
-    return rows.select(*kept, *[combine(c).alias(n) for c, n in zip(columns, outs)])
+    outs = {name for _, _, name in specs}
+    kept = [c for c in halo.columns if c not in outs]
+    return rows.select(*kept, *[combine(c, r).alias(n) for c, r, n in specs])
 
 
 def disk_average(
@@ -65,7 +65,7 @@ def disk_average(
 ) -> DataFrame:
     """Mean of a 24-bit probability code over a disk, mirrored at the border."""
     halo = with_halo(px.select("scene_id", "y", "x", code), shape, radius, reflect=True, edge=edge)
-    out = disk_reduce(halo, [code], radius, "sum").filter("inner")
+    out = disk_reduce(halo, [(code, radius, code)], "sum").filter("inner")
     mean = F.col(code) / F.lit(float(disk_size(radius) * PROB_SCALE))
     return out.select("scene_id", "y", "x", mean.alias("prob"))
 
@@ -73,7 +73,7 @@ def disk_average(
 def disk_dilate(px: DataFrame, flag: str, radius: int, shape: tuple[int, int], edge: int = 183) -> DataFrame:
     """True where any pixel under the disk is true; outside the scene is false."""
     halo = with_halo(px.select("scene_id", "y", "x", F.col(flag).cast("int").alias(flag)), shape, radius, edge=edge)
-    out = disk_reduce(halo, [flag], radius, "max").filter("inner")
+    out = disk_reduce(halo, [(flag, radius, flag)], "max").filter("inner")
     return out.select("scene_id", "y", "x", (F.col(flag) > 0).alias(flag))
 
 
@@ -81,7 +81,7 @@ def mask_outline(px: DataFrame, flag: str, shape: tuple[int, int], edge: int = 1
     """Mask pixels with at least one 4-neighbour outside the mask or the raster."""
     one = F.col(flag).cast("int")
     halo = with_halo(px.select("scene_id", "y", "x", one.alias(flag)), shape, 1, edge=edge)
-    out = disk_reduce(halo, [flag], 1, "sum", names=["_around"]).filter("inner")
+    out = disk_reduce(halo, [(flag, 1, "_around")], "sum").filter("inner")
     on_edge = (F.col(flag) == 1) & (F.col("_around") < 5)
     return out.select("scene_id", "y", "x", (F.col(flag) == 1).alias(flag), on_edge.alias("outline"))
 
@@ -100,13 +100,13 @@ def prob_morph_mask(
     cut = F.lit(float(threshold)) * F.lit(float(PROB_SCALE * disk_size(avg)))
     flags = fields.withColumn("cloud", (F.col(f"avg{avg}").cast("double") > cut).cast("int"))
     if dil:
-        flags = disk_reduce(flags, ["cloud"], dil, "max")
+        flags = disk_reduce(flags, [("cloud", dil, "cloud")], "max")
     return flags.filter("inner").select("scene_id", "y", "x", (F.col("cloud") > 0).alias("cloud"))
 
 
 def averaged_fields(halo: DataFrame, radii: Sequence[int], shape: tuple[int, int]) -> DataFrame:
     """Disk sums of ``v`` for several radii as avg0, avg1, ...; padding removed."""
-    out = halo
-    for r in radii:
-        out = disk_reduce(out, ["v"], r, "sum", names=[f"avg{r}"]) if r else out.withColumn("avg0", F.col("v"))
+    out = halo.withColumn("avg0", F.col("v"))
+    if any(radii):
+        out = disk_reduce(out, [("v", r, f"avg{r}") for r in radii if r], "sum")
     return out.filter(F.col("y").between(0, shape[0] - 1) & F.col("x").between(0, shape[1] - 1))

@@ -16,7 +16,7 @@ from skysift.constants import GEOJSON_DECIMALS
 from skysift.functions import geodesy
 from skysift.operators.grid import idiv, with_halo
 from skysift.operators.regions import LAYER
-from skysift.session import cut_lineage
+from skysift.session import cut_and_count, cut_lineage
 
 # Side of a pixel -> step to the pixel straight ahead and to the one diagonally
 # ahead, when walking with the region on the right: top, right, bottom, left.
@@ -134,20 +134,22 @@ def _rank_chains(chains: DataFrame) -> DataFrame:
     state = chains.select(*key, "turns", "next", F.col("next").alias("ptr"), F.col("head").alias("ring"))
     while True:
         far = hop(state, ["ring", "ptr"])
-        new = cut_lineage(state.join(far, [*LAYER, "ptr"]).select(
+        new, moved = cut_and_count(state.join(far, [*LAYER, "ptr"]).select(
             *key, "turns", "next", F.col("ptr_far").alias("ptr"), F.least("ring", "ring_far").alias("ring"),
-            (F.col("ring_far") < F.col("ring")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
+            (F.col("ring_far") < F.col("ring")).alias("moved")), "moved")
         state = new.drop("moved")
         if not moved:
             break
     state = state.select(*key, "ring", "turns", F.col("next").alias("ptr"), F.col("turns").alias("ahead"))
-    while state.filter(F.col("ptr") != F.col("ring")).limit(1).count():
+    unfinished = 1
+    while unfinished:
         far = hop(state, ["ahead", "ptr"])
         going = F.col("ptr") != F.col("ring")
-        state = cut_lineage(state.join(far, [*LAYER, "ptr"]).select(
+        step = state.join(far, [*LAYER, "ptr"]).select(
             *key, "ring", "turns", F.when(going, F.col("ptr_far")).otherwise(F.col("ptr")).alias("ptr"),
-            F.when(going, F.col("ahead") + F.col("ahead_far")).otherwise(F.col("ahead")).alias("ahead")))
+            F.when(going, F.col("ahead") + F.col("ahead_far")).otherwise(F.col("ahead")).alias("ahead"))
+        new, unfinished = cut_and_count(step.withColumn("going", F.col("ptr") != F.col("ring")), "going")
+        state = new.drop("going")
     total = state.filter(F.col("head") == F.col("ring")).select(*LAYER, "ring", F.col("ahead").alias("n"))
     return state.join(total, [*LAYER, "ring"]).select(*key, "ring", (F.col("n") - F.col("ahead")).alias("before"), "n")
 

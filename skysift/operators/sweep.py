@@ -137,10 +137,8 @@ def prob_sweep(
         return out
 
     binned = fields.select("scene_id", "hrow", "hcol", "y", "x", "inner", "ref", *[passed(a).alias(f"a{a}d0") for a in averages])
-    first = [f"a{a}d0" for a in averages]
-    for d in dilations:
-        if d:
-            binned = disk_reduce(binned, first, d, "max", names=[f"a{a}d{d}" for a in averages])
+    if any(dilations):
+        binned = disk_reduce(binned, [(f"a{a}d0", d, f"a{a}d{d}") for a in averages for d in dilations if d], "max")
     variants = F.array(*[
         F.struct(F.lit(a).alias("average_over"), F.lit(d).alias("dilation_size"), F.col(f"a{a}d{d}").alias("bin"))
         for a in averages for d in dilations])

@@ -16,6 +16,7 @@ from skysift.plans import fixtures as X
 from skysift.plans.aggregates import COUNTS_SQL, SCORES_SQL
 from skysift.plans.registry import query
 from skysift.plans.scalars import DETECTORS, KEY, tile_runs
+from skysift.session import cut_lineage
 
 I = X._idiv
 NAMED_SQL = "named(tile_row, tile_col, \"character\") as (values " + ", ".join(f"({r}, {c}, '{t}')" for r, c, t in X.NAMED) + ")"
@@ -40,9 +41,13 @@ def report_runs(spark, sf):
     return tile_runs(spark, sf).withColumn("cloud_cover_percent", printed)
 
 
-def verdicts(spark, sf):
+def stored_runs(spark, sf):
+    """The same as a stored table, for comparisons that read the runs several times."""
+    return cut_lineage(report_runs(spark, sf), "runs")
+
+
+def verdicts(runs):
     """Audit sample judged from the class mask, standing in for a human."""
-    runs = report_runs(spark, sf)
     sample = C.audit_sample(runs, "threshold", "model", X.NAMED)
     ref = runs.filter(F.col("detector") == "class_mask").select(*C.TILE, F.col("cloud_cover_percent").alias("pct"))
     verdict = F.when(F.col("pct") > 32, "cloud").when(F.col("pct") > 28, "thin_cloud").otherwise("clear")
@@ -87,7 +92,7 @@ def audit_sample(spark, sf):
     "select side, count(*) as rows from (select 'left' as side from sample where tile_row = 5 union all select 'right' from sample where tile_row = 5) group by side", REP))
 def sample_equality(spark, sf):
     """A stored sample with an altered row per named tile in row 5, against the recomputed one."""
-    fresh = C.audit_sample(report_runs(spark, sf), "threshold", "model", X.NAMED)
+    fresh = C.audit_sample(stored_runs(spark, sf), "threshold", "model", X.NAMED)
     stored = fresh.withColumn("reason", F.when(F.col("tile_row") == 5, F.concat("reason", F.lit("!"))).otherwise(F.col("reason")))
     return C.same_rows(fresh, stored).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -95,7 +100,8 @@ def sample_equality(spark, sf):
 @query("audit_agreement", X.sql(
     "select *, case when scored > 0 then matches / cast(scored as double) end as agreement from audit", REP))
 def audit_agreement(spark, sf):
-    out = C.audit_agreement(report_runs(spark, sf), verdicts(spark, sf))
+    runs = stored_runs(spark, sf)
+    out = C.audit_agreement(runs, verdicts(runs))
     return out.drop("mismatches")
 
 
@@ -104,14 +110,15 @@ def audit_agreement(spark, sf):
     "where (v.verdict = 'clear' and not r.valid) or (v.verdict = 'cloud' and r.valid)", REP))
 def audit_mismatches(spark, sf):
     """The mismatch list of the audit, one row each."""
-    out = C.audit_agreement(report_runs(spark, sf), verdicts(spark, sf))
+    runs = stored_runs(spark, sf)
+    out = C.audit_agreement(runs, verdicts(runs))
     return out.select("scene_id", "detector", F.inline("mismatches"))
 
 
 @query("verdict_counts", X.sql(
     "select verdict, count(*) as tiles, count(*) filter (verdict <> 'thin_cloud') as scored from verd group by verdict", REP))
 def verdict_counts(spark, sf):
-    return C.verdict_counts(verdicts(spark, sf))
+    return C.verdict_counts(verdicts(stored_runs(spark, sf)))
 
 
 @query("spread_table", X.sql(
@@ -142,14 +149,16 @@ def pixel_scores(spark, sf):
                                              + COUNTS_SQL.format(p="b", r="ref") + " from det group by scene_id") + ") p using (scene_id, detector) "
     "left join tcmp t using (scene_id, detector) left join audit a using (scene_id, detector)", REP))
 def comparison_table(spark, sf):
-    return C.comparison_table(report_runs(spark, sf), pixel_scores(spark, sf), verdicts(spark, sf), "class_mask", X.GRID.tile_pixels)
+    runs = stored_runs(spark, sf)
+    return C.comparison_table(runs, pixel_scores(spark, sf), verdicts(runs), "class_mask", X.GRID.tile_pixels)
 
 
 @query("decide_winner", X.sql(
     "select t.scene_id, t.scored, t.matches as simple_matches, m.matches as other_matches, case when abs(t.matches - m.matches) <= 1 or t.matches > m.matches then 'threshold' else 'model' end as winner, "
     "case when abs(t.matches - m.matches) <= 1 then 'tie: simpler method' else 'higher audit agreement' end as rule from audit t join audit m using (scene_id) where t.detector = 'threshold' and m.detector = 'model'", REP))
 def decide_winner(spark, sf):
-    return C.decide_winner(report_runs(spark, sf), verdicts(spark, sf), "threshold", "model", "class_mask")
+    runs = stored_runs(spark, sf)
+    return C.decide_winner(runs, verdicts(runs), "threshold", "model", "class_mask")
 
 
 @query("chips_vs_report", X.sql(

@@ -14,7 +14,7 @@ from skysift.functions import radiometry as R
 from skysift.operators import compare as C
 from skysift.plans import fixtures as X
 from skysift.plans.aggregates import scene_footprints
-from skysift.plans.comparison import REP, report_runs, verdicts
+from skysift.plans.comparison import REP, stored_runs, verdicts
 from skysift.plans.registry import query
 from skysift.session import scratch_path
 from skysift.sources import catalog as K
@@ -172,7 +172,7 @@ def scan_detector_config(spark, sf):
 
 def stored_verdicts(spark, sf) -> DataFrame:
     path = scratch_path(spark, "verdicts")
-    O.write_verdicts(verdicts(spark, sf), path)
+    O.write_verdicts(verdicts(stored_runs(spark, sf)), path)
     return L.scan_audit_verdicts(spark, path)
 
 

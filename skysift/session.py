@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -40,10 +41,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skysift-{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table to the shared folder and go on from there.
+
+    The rows are computed once, survive the loss of executors, and give the next
+    step real file sizes to plan with.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_and_count(df: DataFrame, flag: str) -> tuple[DataFrame, int]:
+    """``cut_lineage`` that also counts the rows where ``flag`` holds, in the same pass."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count_if(flag).alias("n")))
+    return out, seen.get["n"]
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -12,6 +12,7 @@ from skysift.constants import REPORT_COLUMNS, SceneGrid
 from skysift.functions import tilemath as M
 from skysift.functions.text import fixed_text
 from skysift.operators.grid import assign_tile, block_keys
+from skysift.session import cut_lineage
 
 
 def _cells(px: DataFrame, grid: SceneGrid, value) -> DataFrame:
@@ -61,15 +62,16 @@ def report_rows(located: DataFrame) -> DataFrame:
 def write_tile_report(located: DataFrame, path: str) -> None:
     """One CSV per scene, six columns, row-major.
 
-    Ranges are cut between scenes, so a scene never spans two files.
+    A scene has a fixed number of tiles and goes to one task, hence one file.
     """
-    rows = report_rows(located).repartitionByRange("scene_id").sortWithinPartitions("scene_id", "tile_row", "tile_col")
+    rows = report_rows(located).repartition("scene_id").sortWithinPartitions("scene_id", "tile_row", "tile_col")
     rows.select("scene_id", *REPORT_COLUMNS).write.partitionBy("scene_id").option("header", "true").csv(path)
 
 
 def write_chips(chips: DataFrame, path: str) -> None:
+    """Chip table; the chips of a tile row of a scene share a file."""
     named = chips.withColumn("name", M.tile_name(F.col("tile_row"), F.col("tile_col")))
-    named.write.partitionBy("scene_id").parquet(path)
+    named.repartition("scene_id", "tile_row").write.partitionBy("scene_id").parquet(path)
 
 
 def chip_listing(spark, path: str) -> DataFrame:
@@ -78,7 +80,7 @@ def chip_listing(spark, path: str) -> DataFrame:
 
 
 def write_masks(masks: DataFrame, path: str) -> None:
-    masks.write.partitionBy("scene_id").parquet(path)
+    masks.repartition("scene_id", "tile_row").write.partitionBy("scene_id").parquet(path)
 
 
 def write_probability_map(px: DataFrame, path: str) -> None:
@@ -126,7 +128,8 @@ def geojson_lines(features: DataFrame) -> DataFrame:
 def write_geojson(features: DataFrame, path: str) -> None:
     """Per scene, the part files in name order are one GeoJSON document."""
     order = ["scene_id", "class", "component", "hole", "ring", "seq", "part"]
-    lines = geojson_lines(features).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Range bounds are sampled from the written lines, not by computing them twice.
+    lines = cut_lineage(geojson_lines(features), "lines").repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select("scene_id", "value").write.partitionBy("scene_id").text(path)
 
 
@@ -175,10 +178,9 @@ def write_sweep(sweep: DataFrame, settings: dict[str, str], path: str) -> None:
 def write_audit_sample(sample: DataFrame, path: str) -> None:
     """Sample with empty verdicts; an existing file is never overwritten."""
     blank = sample.select("scene_id", "tile_row", "tile_col", "character", "reason", F.lit("").alias("verdict"), F.lit("").alias("notes"))
-    ordered = blank.repartitionByRange("scene_id").sortWithinPartitions("scene_id")
-    ordered.write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
+    blank.repartition("scene_id").write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
 
 
 def write_verdicts(verdicts: DataFrame, path: str) -> None:
     rows = verdicts.select("scene_id", "tile_row", "tile_col", "character", "reason", "verdict", F.lit("").alias("notes"))
-    rows.repartitionByRange("scene_id").write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
+    rows.repartition("scene_id").write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
