@@ -180,7 +180,13 @@ def point_lookup(points: DataFrame, px: DataFrame, tiles: DataFrame) -> DataFram
     """Class flags and tile verdict under each point.
 
     ``points`` has scene_id, y, x on the coarse grid; the tile of a point is
-    that of its upper-left 10 m pixel and is given as tile_row, tile_col.
+    that of its upper-left 10 m pixel and is given as tile_row, tile_col. Points
+    may crowd on a few pixels: pixels and tiles are looked up once per distinct
+    position, and the last join is one that adaptive execution may broadcast or
+    split where it is skewed.
     """
-    flagged = points.join(px.select("scene_id", "y", "x", "opaque", "cirrus", "snow"), ["scene_id", "y", "x"])
-    return flagged.join(tiles.select(*TILE, "cloud_cover_percent", "valid"), TILE)
+    where = ["scene_id", "y", "x", "tile_row", "tile_col"]
+    flags = px.select("scene_id", "y", "x", "opaque", "cirrus", "snow")
+    known = points.select(*where).distinct().join(flags, ["scene_id", "y", "x"]).join(
+        tiles.select(*TILE, "cloud_cover_percent", "valid"), TILE)
+    return points.join(known, where)

@@ -21,8 +21,8 @@ BLOCK = ("scene_id", "brow", "bcol")
 
 
 def idiv(value: Column, by: int) -> Column:
-    """Floor division for non-negative integers, kept as INT."""
-    return F.floor(value / F.lit(by)).cast("int")
+    """Integer division of non-negative values, kept as INT."""
+    return F.call_function("div", value, F.lit(by)).cast("int")
 
 
 def with_block(px: DataFrame, grid: SceneGrid, resolution: int) -> DataFrame:

@@ -8,7 +8,7 @@ over DataFrames. Vertices stay one per row, so no ring is ever gathered whole.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,55 +69,57 @@ def boundary_edges(layer: DataFrame, shape: tuple[int, int], edge: int = 183) ->
     return inner.select(*block, F.inline(found))
 
 
-def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
+def _follow(back: np.ndarray, rounds: int, *tracks: tuple[np.ndarray, np.ufunc | None]) -> list[np.ndarray]:
+    """Pointer doubling along ``back`` (-1 ends a walk); each track is folded, or replaced where its fold is None."""
+    out = [t for t, _ in tracks]
+    for _ in range(rounds):
+        live = back >= 0
+        b = np.where(live, back, 0)
+        out = [np.where(live, t[b] if fold is None else fold(t, t[b]), t) for t, (_, fold) in zip(out, tracks)]
+        back = np.where(live, back[b], -1)
+    return out
+
+
+def _chains(edges: pa.Table) -> pa.Table:
     """Follow the edges of one block: turns ranked along their chain, and one row per chain.
 
     Chains start where an edge is entered from another block; a ring inside the
-    block starts at its smallest edge. Pointer doubling on at most one block of
-    edges.
+    block starts at its smallest edge.
     """
-    pdf = pdf.sort_values("id", ignore_index=True)
-    ids = pdf["id"].to_numpy(np.int64)
-    turn = pdf["turn"].to_numpy(np.int64)
-    succ = pdf["succ"].to_numpy(np.int64)
+    ids = edges["id"].to_numpy()
+    order = np.argsort(ids)
+    ids, succ, turn, lift, vy, vx = (edges[c].to_numpy()[order].astype(np.int64) for c in ("id", "succ", "turn", "lift", "vy", "vx"))
     n = len(ids)
-    spot = np.searchsorted(ids, succ)
-    inside = (spot < n) & (ids[np.minimum(spot, n - 1)] == succ)
-    nxt = np.where(inside, spot, -1)
-    prev = np.full(n, -1)
-    prev[nxt[inside]] = np.flatnonzero(inside)
+    spot = np.minimum(np.searchsorted(ids, succ), n - 1)
+    inside = ids[spot] == succ
+    back = np.full(n, -1)
+    back[spot[inside]] = np.flatnonzero(inside)
 
-    rounds = max(1, int(np.ceil(np.log2(n))) + 1)
+    rounds = n.bit_length() + 1
     # Smallest edge met when walking back; a walk that ends marks an open chain.
-    least, back, open_ = np.arange(n), prev.copy(), prev < 0
-    for _ in range(rounds):
-        live = back >= 0
-        b = np.where(live, back, 0)
-        least = np.where(live, np.minimum(least, least[b]), least)
-        open_ = open_ | (live & open_[b])
-        back = np.where(live, back[b], -1)
-    lead = np.unique(least[~open_])
-    prev[lead] = -1
-
-    head, rank, back = np.arange(n), np.zeros(n, np.int64), prev.copy()
-    rank[back >= 0] = turn[back[back >= 0]]
-    for _ in range(rounds):
-        live = back >= 0
-        b = np.where(live, back, 0)
-        head = np.where(live, head[b], head)
-        rank = np.where(live, rank + rank[b], rank)
-        back = np.where(live, back[b], -1)
-    layer = {c: pdf[c].iloc[0] for c in LAYER}
+    least, open_ = _follow(back, rounds, (np.arange(n), np.minimum), (back < 0, np.logical_or))
+    back[np.unique(least[~open_])] = -1
+    before = np.where(back >= 0, turn[np.maximum(back, 0)], 0)
+    head, rank = _follow(back, rounds, (np.arange(n), None), (before, np.add))
+
+    # Ids are sorted, so the first edge of a chain in this order is its smallest.
+    heads, first, chain = np.unique(head, return_index=True, return_inverse=True)
+    leaves = np.zeros(len(heads), np.int64)
+    leaves[chain[~inside]] = succ[~inside]
+    opened = np.zeros(len(heads), bool)
+    opened[chain[~inside]] = True
+    total = lambda values: np.bincount(chain, weights=values, minlength=len(heads)).astype(np.int64)
     turned = turn == 1
-    points = pd.DataFrame({
-        "head": ids[head[turned]], "rank": rank[turned], "vy": pdf["vy"].to_numpy()[turned], "vx": pdf["vx"].to_numpy()[turned]})
-    # Ids are sorted, so the first row of a chain is its smallest edge.
-    edges = pd.DataFrame({"head": ids[head], "least": ids, "least_rank": rank, "turns": turn, "lift": pdf["lift"].to_numpy()})
-    sums = edges.groupby("head", as_index=False).agg({"least": "first", "least_rank": "first", "turns": "sum", "lift": "sum"})
-    leaves = pd.DataFrame({"head": ids[head[~inside]], "next": succ[~inside]})
-    sums = sums.merge(leaves, on="head", how="left")
-    out = pd.concat([points.assign(is_chain=False), sums.assign(is_chain=True)], ignore_index=True).assign(**layer)
-    return out.astype({c: "Int64" for c in CHAIN_COLUMNS})[[*LAYER, "is_chain", *CHAIN_COLUMNS]]
+    points = {"head": ids[head[turned]], "rank": rank[turned], "vy": vy[turned], "vx": vx[turned]}
+    sums = {"head": ids[heads], "turns": total(turn), "lift": total(lift), "least": ids[first], "least_rank": rank[first],
+            "next": pa.array(leaves, mask=~opened)}
+
+    def rows(columns: dict, count: int, is_chain: bool) -> pa.Table:
+        given = {c: pa.array([edges[c][0].as_py()] * count, edges.schema.field(c).type) for c in LAYER}
+        given["is_chain"] = pa.array([is_chain] * count, pa.bool_())
+        return pa.table(given | {c: pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(count, pa.int64()) for c in CHAIN_COLUMNS})
+
+    return pa.concat_tables([rows(points, int(turned.sum()), False), rows(sums, len(heads), True)])
 
 
 def _rank_chains(chains: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def polygon_rings(layer: DataFrame, runs: DataFrame, shape: tuple[int, int], edg
     edges = boundary_edges(layer, shape, edge)
     types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
     schema = f"scene_id {types['scene_id']}, class string, is_chain boolean, " + ", ".join(f"`{c}` bigint" for c in CHAIN_COLUMNS)
-    walked = cut_lineage(edges.groupBy(*LAYER, "hrow", "hcol").applyInPandas(_chains, schema))
+    walked = cut_lineage(edges.groupBy(*LAYER, "hrow", "hcol").applyInArrow(_chains, schema))
     chains = walked.filter("is_chain")
     closed = chains.filter(F.col("next").isNull()).select(*LAYER, "head", F.col("head").alias("ring"), F.lit(0).cast("bigint").alias("before"), F.col("turns").alias("n"))
     ranked = cut_lineage(closed.unionByName(_rank_chains(chains.filter(F.col("next").isNotNull()))))
@@ -176,7 +178,7 @@ def polygon_rings(layer: DataFrame, runs: DataFrame, shape: tuple[int, int], edg
     rings = found.select(*LAYER, "lead", "pixels", F.col("s.least").alias("ring"), F.col("s.shift").alias("shift"))
     # The region is that of the run under the smallest edge.
     where = rings.withColumns({
-        "y": idiv(F.col("ring") / 4, width), "x": (F.floor(F.col("ring") / 4) % width).cast("int"),
+        "y": idiv(F.col("ring"), 4 * width), "x": idiv(F.col("ring") % (4 * width), 4),
     }).withColumn("_bucket", idiv(F.col("x"), bucket))
     spans = runs.select(*LAYER, "y", "x0", "x1", "component", F.explode(F.sequence(idiv(F.col("x0"), bucket), idiv(F.col("x1"), bucket))).alias("_bucket"))
     owned = where.join(spans, [*LAYER, "y", "_bucket"]).filter(F.col("x").between(F.col("x0"), F.col("x1"))).select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +57,15 @@ def run_overlap_join(runs: DataFrame, payload: Sequence[str] = (), bucket: int =
     return upper.join(lower, [*LAYER, "_row", "_bucket"]).filter(touch).drop("_row", "_bucket")
 
 
-def _join_runs(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+def _join_runs(runs: pa.Table, width: int) -> pa.Table:
     """Label the runs of one block with the first pixel of their region."""
-    pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
-    y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
+    y, x0, x1 = (runs[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    order = np.argsort(y * width + x0)
+    y, x0, x1 = y[order], x0[order], x1[order]
     label = y * width + x0
     # Runs of the next row that overlap run i form the index range [lo, hi).
     lo = np.searchsorted(y * width + x1, (y + 1) * width + x0, "left")
-    hi = np.searchsorted(y * width + x0, (y + 1) * width + x1, "right")
+    hi = np.searchsorted(label, (y + 1) * width + x1, "right")
     n = np.maximum(hi - lo, 0)
     upper = np.repeat(np.arange(len(y)), n)
     lower = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
@@ -78,7 +79,7 @@ def _join_runs(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
         if np.array_equal(new, root):
             break
         root = new
-    return pdf.assign(label=label[root])
+    return runs.take(pa.array(order)).append_column("label", pa.array(label[root]))
 
 
 def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -> DataFrame:
@@ -92,10 +93,9 @@ def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -
     placed = layer.filter("on").withColumns({"hrow": idiv(F.col("y"), edge), "hcol": idiv(F.col("x"), edge)}).repartition(
         shuffle_width(spark), "scene_id", "hrow", "hcol")
     block_runs = mask_runs(placed, ["hrow", "hcol"])
-    columns = [f.name for f in block_runs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in block_runs.schema.fields) + ", label bigint"
     labelled = cut_lineage(
-        block_runs.groupBy(*LAYER, "hrow", "hcol").applyInPandas(lambda pdf: _join_runs(pdf[columns], width), schema))
+        block_runs.groupBy(*LAYER, "hrow", "hcol").applyInArrow(lambda runs: _join_runs(runs, width), schema))
 
     ends = labelled.filter((F.col("x1") + 1) % edge == 0).select(*LAYER, "y", (F.col("x1") + 1).alias("x"), F.col("label").alias("u"))
     starts = labelled.filter(F.col("x0") % edge == 0).select(*LAYER, "y", F.col("x0").alias("x"), F.col("label").alias("v"))

@@ -10,6 +10,7 @@ from skysift.operators import model as D
 from skysift.plans import fixtures as X
 from skysift.plans.registry import query
 from skysift.plans.scalars import KEY
+from skysift.session import cut_lineage
 
 I = X._idiv
 
@@ -57,9 +58,10 @@ def cloud_probability(spark, sf):
 
     No SQL equivalent: the model is fitted iteratively.
     """
-    labelled = stack(spark, sf).join(
+    features = cut_lineage(stack(spark, sf), "features")
+    labelled = features.join(
         X.px60(spark, sf).select(*KEY, "brow", "bcol", R.class_union(F.col("opaque"), F.col("cirrus")).alias("ref")),
         ["scene_id", "brow", "bcol", "y", "x"])
     model = D.train_cloud_model(labelled, "ref", trees=5, depth=3)
-    scored = D.cloud_probability(model, stack(spark, sf))
+    scored = D.cloud_probability(model, features)
     return scored.select(*KEY, R.encode_prob24(F.col("prob")).alias("code"))
