@@ -12,6 +12,8 @@ from skysift.operators import grid as G
 from skysift.operators.tiles import run_tiles
 from skysift.plans import fixtures as X
 from skysift.plans.registry import query
+from skysift.session import scratch_path
+from skysift.sources import pixels as P
 
 KEY = ("scene_id", "y", "x")
 BANDS5 = ("b02", "b03", "b04", "b10", "b11")
@@ -21,12 +23,11 @@ DETECTORS = {"threshold": "a", "model": "b", "class_mask": "ref"}
 @query("scan_band_window", X.sql(
     "select scene_id, y, x, b03 as dn from px10 where y between 40 and 109 and x between 33 and 121"))
 def scan_band_window(spark, sf):
-    """One band, one window of the 10 m grid, of every scene.
-
-    Coarse rows outside the window are dropped before they are expanded; on a
-    stored pixel table the same predicates reach the parquet scan.
-    """
-    return X.px10(spark, sf, (40, 110, 33, 122)).select(*KEY, F.col("b03").alias("dn"))
+    """One band, one window of the 10 m grid, of every scene, from a stored table."""
+    path = scratch_path(spark, "px10")
+    P.write_scene_folders(X.px10(spark, sf).select(*KEY, "b02", "b03", "b04", "b08"), X.GRID, 10, path)
+    stored = "scene_id bigint, y int, x int, b02 bigint, b03 bigint, b04 bigint, b08 bigint"
+    return P.scan_window(spark, path, stored, ["b03"], window=(40, 110, 33, 122)).withColumnRenamed("b03", "dn")
 
 
 @query("scan_class_mask", X.sql(
@@ -34,14 +35,17 @@ def scan_band_window(spark, sf):
     "case when opaque then 1 else 0 end > 0 as opaque, case when cirrus then 1 else 0 end > 0 as cirrus, "
     "case when snow then 1 else 0 end > 0 as snow from px60)"))
 def scan_class_mask(spark, sf):
-    """Three byte channels -> three booleans."""
+    """Three stored byte channels -> three booleans."""
+    path = scratch_path(spark, "classes")
     stored = X.px60(spark, sf).select(*KEY, *[F.col(c).cast("int").alias(c) for c in ("opaque", "cirrus", "snow")])
-    return stored.select(*KEY, *[(F.col(c) > 0).alias(c) for c in ("opaque", "cirrus", "snow")])
+    P.write_scene_folders(stored, X.GRID, 60, path)
+    return P.scan_class_mask(spark, path)
 
 
 @query("scan_rgb_window", X.sql(
     "select scene_id, y, x, r, g, b from px10 where y between 100 and 130 and x between 200 and 260"))
 def scan_rgb_window(spark, sf):
+    """RGB of one window; derived rows outside it are dropped before they are expanded."""
     return X.px10(spark, sf, (100, 131, 200, 261)).select(*KEY, "r", "g", "b")
 
 

@@ -42,7 +42,7 @@ def test_histogram_sweep_equals_brute_force(spark):
         assert r.scene_cloud_percent == pytest.approx(100 * cloud.mean())
 
 
-NARROW = ["tile_stats", "overlap_tile_counts", "prob_curve", "threshold_sweep", "disk_average", "mask_components", "polygon_rings", "comparison_table"]
+NARROW = ["tile_stats", "prob_curve", "threshold_sweep", "disk_average", "mask_components"]
 
 
 @pytest.mark.parametrize("name", NARROW)
@@ -76,6 +76,36 @@ def test_scan_reads_only_what_it_needs(spark):
     assert re.search(r"ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>", text)
 
 
+def test_window_scan_is_pushed_down(spark):
+    text = plan(QUERIES["scan_band_window"](spark, SF))
+    assert "ReadSchema: struct<y:int,x:int,b03:bigint>" in text
+    assert "GreaterThanOrEqual(y,40), LessThan(y,110), GreaterThanOrEqual(x,33)" in text
+    from skysift.sources import pixels as P
+
+    path = scratch_path(spark, "prune")
+    P.write_scene_folders(X.px60(spark, "/root/testdata/sf0.01").select("scene_id", "y", "x", "b02"), X.GRID, 60, path)
+    one = P.scan_window(spark, path, "scene_id bigint, y int, x int, b02 bigint", ["b02"], scenes=[3])
+    assert "PartitionFilters: [isnotnull(scene_id" in plan(one) and one.count() == 1500
+
+
+def test_bucketed_tables_need_no_exchange(spark):
+    from skysift.operators import tiles as T
+    from skysift.sources import pixels as P
+
+    names = {}
+    for res, px in ((10, X.px10(spark, SF)), (20, X.px20(spark, SF)), (60, X.px60(spark, SF))):
+        names[res] = f"px{res}_stored"
+        spark.sql(f"drop table if exists {names[res]}")
+        P.store_by_block(px, X.GRID, res, names[res], 4, scratch_path(spark, names[res]))
+    stack = detect.fine_stack(*[spark.table(names[r]) for r in (10, 20, 60)])
+    rule = detect.build("threshold", **X.RULE_A)
+    counts = T.fine_tile_counts(rule(stack), X.GRID, ["cloud"])
+    assert "Exchange" not in plan(counts)
+    want = QUERIES["tile_stats"](spark, SF).select("scene_id", "tile_row", "tile_col", "cloud_pixels")
+    got = counts.select("scene_id", F.col("tile_row").cast("bigint"), F.col("tile_col").cast("bigint"), "cloud")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
 def config(spark, *texts):
     return spark.createDataFrame([(t,) for t in texts], "raw string")
 
