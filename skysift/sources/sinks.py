@@ -5,49 +5,55 @@ Files are laid out below ``scene_id=...`` folders, so that readers prune scenes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.constants import REPORT_COLUMNS, SceneGrid
 from skysift.functions import tilemath as M
 from skysift.functions.text import fixed_text
-from skysift.operators.grid import assign_tile, block_keys
+from skysift.operators.grid import assign_tile, block_keys, idiv
 from skysift.session import cut_lineage
 
 
-def _cells(px: DataFrame, grid: SceneGrid, value) -> DataFrame:
+def _cells(px: DataFrame, grid: SceneGrid, packed: Column, bits: int, unpack) -> DataFrame:
     """One row per tile with its cells in row-major order.
 
-    A group is one tile, whose size is fixed by the grid.
+    A group is one tile, whose size is fixed by the grid. Position and value are
+    packed into one BIGINT (value in the low ``bits``), which keeps the buffers
+    small and sorts as a plain number.
     """
     extra = block_keys(px)
-    pos = F.col("py") * grid.tile_px + F.col("px")
+    pos = (F.col("py") * grid.tile_px + F.col("px")).cast("bigint")
     grouped = (
         assign_tile(px, grid, offsets=True)
         .groupBy("scene_id", *extra, "tile_row", "tile_col")
-        .agg(F.array_sort(F.collect_list(F.struct(pos.alias("p"), value.alias("v")))).alias("_c"))
+        .agg(F.sort_array(F.collect_list(F.shiftleft(pos, bits) + packed)).alias("_c"))
     )
-    full = F.size("_c") == grid.tile_pixels
-    cells = F.when(full, F.transform("_c", lambda s: s["v"])).otherwise(
-        F.raise_error(F.lit("tile is not complete")).cast(grouped.select(F.transform("_c", lambda s: s["v"])).schema[0].dataType))
-    return grouped.select("scene_id", "tile_row", "tile_col", cells.alias("cells"))
+    whole = F.when(F.size("_c") == grid.tile_pixels, F.col("_c")).otherwise(
+        F.raise_error(F.lit("tile is not complete")).cast("array<bigint>"))
+    return grouped.select("scene_id", "tile_row", "tile_col", F.transform(whole, unpack).alias("cells"))
 
 
 def tile_masks(px: DataFrame, grid: SceneGrid, flag: str) -> DataFrame:
     """0/255 mask of every tile, row-major."""
-    return _cells(px, grid, F.when(F.col(flag), 255).otherwise(0))
+    return _cells(px, grid, F.when(F.col(flag), 255).otherwise(0), 8, lambda c: c.bitwiseAND(255).cast("int"))
 
 
 def valid_chips(px: DataFrame, valid_tiles: DataFrame, grid: SceneGrid) -> DataFrame:
     """RGB cells of the valid tiles only.
 
-    Pixels are narrowed to valid tiles before they are grouped; Spark
-    broadcasts the tile list only while its size is small.
+    Pixels are narrowed to valid tiles before they are grouped. The tile list is
+    keyed by block too, so placed pixels stay where they are.
     """
     extra = block_keys(px)
-    tiled = assign_tile(px, grid)
-    kept = tiled.join(valid_tiles.select("scene_id", "tile_row", "tile_col"), ["scene_id", "tile_row", "tile_col"], "left_semi")
-    return _cells(kept.select("scene_id", *extra, "y", "x", "r", "g", "b"), grid, F.struct("r", "g", "b"))
+    listed = valid_tiles.select("scene_id", "tile_row", "tile_col").withColumns({
+        k: idiv(F.col(t) * grid.tile_px, grid.block_px) for k, t in (("brow", "tile_row"), ("bcol", "tile_col")) if k in extra})
+    kept = assign_tile(px, grid).join(listed, ["scene_id", *extra, "tile_row", "tile_col"], "left_semi")
+    byte = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(255).cast("smallint")
+    rgb = F.shiftleft(F.col("r").cast("bigint"), 16) + F.shiftleft(F.col("g").cast("bigint"), 8) + F.col("b").cast("bigint")
+    return _cells(
+        kept.select("scene_id", *extra, "y", "x", "r", "g", "b"), grid, rgb, 24,
+        lambda c: F.struct(byte(c, 16).alias("r"), byte(c, 8).alias("g"), byte(c, 0).alias("b")))
 
 
 def report_rows(located: DataFrame) -> DataFrame:
