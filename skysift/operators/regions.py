@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysift.operators.graph import connected_components
 from skysift.operators.grid import idiv
-from skysift.session import cut_and_count, cut_lineage, shuffle_width
+from skysift.session import cut_lineage, shuffle_width
 
 LAYER = ["scene_id", "class"]
 
@@ -111,23 +112,8 @@ def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -
 
 
 def propagate_labels(links: DataFrame) -> DataFrame:
-    """Smallest node reachable from each linked node: (scene, class, node, root).
-
-    Each round takes the least label of the neighbours and then jumps to the
-    label of that label; the state is written out every round.
-    """
-    both = cut_lineage(links.unionByName(links.select(*LAYER, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    state = both.groupBy(*LAYER, F.col("u").alias("node")).agg(F.min("v").alias("m")).select(
-        *LAYER, "node", F.least("node", "m").alias("root"))
-    while True:
-        near = both.join(state.withColumnRenamed("node", "v"), [*LAYER, "v"]).groupBy(*LAYER, F.col("u").alias("node")).agg(F.min("root").alias("m"))
-        pulled = state.join(near, [*LAYER, "node"]).select(*LAYER, "node", "root", F.least("root", "m").alias("next"))
-        jump = state.select(*LAYER, F.col("node").alias("next"), F.col("root").alias("far"))
-        new, moved = cut_and_count(pulled.join(jump, [*LAYER, "next"]).select(
-            *LAYER, "node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")), "moved")
-        state = new.drop("moved")
-        if not moved:
-            return state
+    """Smallest node reachable from each linked node: (scene, class, node, root)."""
+    return connected_components(links, LAYER)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
+import skysift
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,18 +23,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, where it isn't installed on them."""
+    home = os.path.dirname(os.path.abspath(skysift.__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "skysift"), "zip", os.path.dirname(home), "skysift")
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (tests on one machine) is a local
-    folder made and set.
+    A session on one machine (``local[...]``) that names none gets a folder of
+    its own; a cluster has to name one, since executors don't share ``/tmp``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not base:
-        current = sc._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not current.isDefined():
         sc.setCheckpointDir(base)
     return base
 
@@ -50,7 +62,19 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def cut_and_count(df: DataFrame, flag: str) -> tuple[DataFrame, int]:

@@ -1,17 +1,14 @@
 """Every registered query against its SQL on the smallest data."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry_module
 from oracle_check import compare
+from skysift import plans
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
-# Built on rings, which test_regions covers; run with SKYSIFT_ALL=1.
-SLOW = {"features_wgs84", "feature_area_check", "feature_extent_check", "check_features", "check_runs", "ring_summary", "sink_geojson"}
-NAMES = [n for n in QUERIES if n not in SLOW or os.environ.get("SKYSIFT_ALL")]
+QUERIES, ORACLES = plans.queries(), plans.oracle_sql()
+NAMES = list(QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
