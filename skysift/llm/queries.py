@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import simhash_tree
+from skysift.llm import bpe_tree, simhash_tree, suffix_automaton
 from skysift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_tree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_automaton.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
+    ).withColumn("contaminated", suffix_automaton.contaminated())
+
+
+@query
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_tree.decode(bpe_tree.encode(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
