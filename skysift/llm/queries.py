@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe_tree, fm_index, simhash_tree, suffix_automaton
+from skysift.llm import bpe_tree, fm_index, hilbert_shards, host_rules, simhash_tree, sql, suffix_automaton
 from skysift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -47,3 +47,15 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_rules.host_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", *host_rules.MEASURES, "base_failed", "kept")
+
+
+@query
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
+    return placed.select("row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
