@@ -6,8 +6,14 @@ encoding of its bytes exactly when every two adjacent tokens are (the pair
 encodes to itself), because merges inside a token don't look at its neighbours
 and the first merge across a border would already happen in the pair alone. So
 a window has grown far enough once the token left of it and the token right of
-it each form such a pair with the window's edge. Decoding concatenates up the
-same tree.
+it each form such a pair with the window's edge. Decoding is the same reduction with
+concatenation.
+
+The matches of the splitting pattern are found for a whole batch of texts from
+the classes of their bytes, each different match is reduced once, and its tokens
+are copied to all its places. That holds for texts of ASCII and the letters from
+U+00C0 to U+00FF; texts with other characters, or under another pattern, are
+split by the pattern itself.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes. Rows
 are encoded one by one, so repeated rows and ties need no rule. Columns named in
@@ -30,11 +36,63 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import list_array, steps
+from skysift.llm.common import list_array, ramp, steps, text_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of a leaf of the tree, and pieces and pairs a worker remembers.
 LEAF, KNOWN = 24, 250_000
+#: Tokens decoded in one step (more where one text has more).
+DECODED = 1 << 20
+#: Classes of bytes: other, letter, digit, white space; bytes from 0x80 are parts of letters here.
+OTHER, LETTER, DIGIT, SPACE = range(4)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[[*range(9, 14), 32]] = SPACE
+
+
+def plain_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have no characters but ASCII and the letters U+00C0 to U+00FF (nor the separators 1C to 1F)."""
+    before = np.empty_like(data)
+    before[:1], before[1:] = 0, data[:-1]
+    tail = (data & 0xC0 == 0x80) & (before == 0xC3) & (data != 0x97) & (data != 0xB7)
+    odd = (data >= 0x80) & (data != 0xC3) & ~tail | (data >= 0x1C) & (data < 0x20)
+    total = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(odd, out=total[1:])
+    return total[offsets[1:]] == total[offsets[:-1]]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the matches of the splitting pattern begin in plain texts; they cover every byte."""
+    n = len(data)
+    kind = CLASS[data]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    change = first[:n].copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(change)
+    stop = np.append(run[1:], n)
+    what = kind[run]
+    followed = ~first[stop]
+    begin = change
+    # Of white space before something else, the last character stands alone: a blank goes with what follows.
+    last = stop[(what == SPACE) & followed] - 1
+    begin[last] = True
+    blank = data[last] == 32
+    begin[last[blank] + 1] = False
+    # 's 't 'm 'd 're 've 'll, where a match begins at the apostrophe.
+    mark = run[(what == OTHER) & followed & (stop == run + 1)]
+    mark = mark[(data[mark] == 39) & begin[mark]]
+    one = np.append(data, [0, 0])[mark + 1]
+    two = np.append(data, [0, 0])[mark + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ~first[np.minimum(mark + 2, n)] & ((two == 101) & ((one == 114) | (one == 118)) | (one == 108) & (two == 108))
+    for at, size in ((mark[short], 2), (mark[long], 3)):
+        begin[at + 1] = False
+        rest = at + size
+        rest = rest[rest < n]
+        begin[rest] |= kind[rest] == LETTER
+    return np.flatnonzero(begin)
 
 
 def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -75,7 +133,11 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.split = regex.compile(pattern).findall
+        self.usual = pattern == public_tokenizers.PATTERN
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
@@ -120,15 +182,48 @@ class Codec:
         return found
 
     def encode(self, text: str) -> list[int]:
-        known = self.pieces.get
-        return list(chain.from_iterable([known(p) or self.piece(p) for p in self.split(text)]))
+        return list(chain.from_iterable([self.known(p) for p in self.split(text)]))
+
+    def known(self, text: str) -> tuple[int, ...]:
+        return self.pieces.get(text) or self.piece(text)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all texts, and how many each has."""
+        data, offsets = text_bytes(texts)
+        counts = np.zeros(len(texts), np.int64)
+        plain = plain_texts(data, offsets) if self.usual else np.zeros(len(texts), bool)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            whole = data.tobytes()
+            slow = [self.encode(whole[offsets[i]:offsets[i + 1]].decode()) for i in odd]
+            counts[odd] = [len(x) for x in slow]
+            data = data[np.repeat(plain, np.diff(offsets))]
+            offsets = np.append(0, np.cumsum(np.diff(offsets) * plain))
+        ids = np.zeros(0, np.int32)
+        if len(data):
+            begin = pieces(data, offsets)
+            cuts = np.append(begin, len(data))
+            coded = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+            found = [self.known(p) for p in coded.dictionary.to_pylist()]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+            which = coded.indices.to_numpy()
+            each = size[which]
+            ids = flat[np.repeat((np.cumsum(size) - size)[which], each) + ramp(each)]
+            total = np.append(0, np.cumsum(each))
+            counts[plain] = np.diff(total[np.searchsorted(begin, offsets)])[plain]
+        if len(odd):
+            out = np.empty(int(counts.sum()), np.int32)
+            mine = np.repeat(plain, counts)
+            out[mine] = ids
+            out[~mine] = np.fromiter(chain.from_iterable(slow), np.int32)
+            ids = out
+        return ids, counts
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        """Halves are decoded and concatenated up the tree; a leaf is a run of tokens."""
-        if len(ids) <= 4096:
-            return b"".join([self.tokens[i] for i in ids])
-        middle = len(ids) // 2
-        return self.decode(ids[:middle]) + self.decode(ids[middle:])
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the tokens one after the other, and the length of each."""
+        size = self.sizes[ids]
+        return self.bytes[np.repeat(self.begins[ids], size) + ramp(size)], size
 
 
 @lru_cache(maxsize=2)
@@ -143,9 +238,7 @@ def encode(docs: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = RAN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for part in steps(batches, "_text"):
-            found = [own.encode(t) if t else [] for t in part.column("_text").to_pylist()]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+            ids, counts = own.encode_all(part.column("_text"))
             yield pa.record_batch([*part.columns[1:], list_array(pa.array(ids), counts)], [*part.schema.names[1:], "token_ids"])
 
     return _map(docs.select(F.col("text").alias("_text"), *carry), run, docs, carry, "token_ids array<int>")
@@ -158,10 +251,17 @@ def decode(tokens: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [own.decode(ids or []) for ids in part.column("token_ids").to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+            total = np.cumsum(batch.column("token_ids").value_lengths().fill_null(0).to_numpy().astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + DECODED, "right")))
+                part = batch.slice(start, stop - start)
+                start = stop
+                lists = part.column("token_ids")
+                data, size = own.decode(lists.flatten().to_numpy())
+                ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))]
+                cells = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.record_batch([*part.columns, cells], [*part.schema.names, "decoded"])
 
     return _map(tokens.select(*names), run, tokens, names, "decoded binary")
 

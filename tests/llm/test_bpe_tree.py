@@ -1,8 +1,9 @@
 import base64
-import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -42,5 +43,32 @@ def test_tree_equals_flat_merges(encoding):
             assert own.tree(data) == bpe_tree.merge(data, own.ranks)
 
 
+def test_pieces_equal_pattern():
+    r = random.Random(9)
+    split = bpe_tree.codec(bpe_tree.RANKS, public_tokenizers.PATTERN).split
+    texts = ["".join(r.choice("ab sStldmrev''  \n\t9!#éÖ\x00\x0b\x85") for _ in range(r.randrange(40))) for _ in range(4000)] + ["'s", "x's", " 's", "''s", "'re", "'r", "'ll'", "\n's"]
+    data, offsets = bpe_tree.text_bytes(pa.array(texts))
+    plain = bpe_tree.plain_texts(data, offsets)
+    assert plain.sum() > 400 and all(p == ("\x85" not in t) for p, t in zip(plain, texts))
+    texts = [t for t, p in zip(texts, plain) if p]
+    data, offsets = bpe_tree.text_bytes(pa.array(texts))
+    begin = bpe_tree.pieces(data, offsets)
+    at = np.searchsorted(begin, offsets)
+    whole = data.tobytes()
+    for i, t in enumerate(texts):
+        cuts = [*begin[at[i]:at[i + 1]], offsets[i + 1]]
+        assert [whole[a:b].decode() for a, b in zip(cuts, cuts[1:])] == split(t), t
+
+
+def test_mixed_batches_match_tiktoken(encoding):
+    r = random.Random(8)
+    own = bpe_tree.codec(bpe_tree.RANKS, public_tokenizers.PATTERN)
+    texts = ["".join(r.choice("the 're cat's\n  99!éßÖ×÷²½漢\u3000\x1c\x1f\x85\xa0") for _ in range(r.randrange(60))) for _ in range(1500)]
+    ids, counts = own.encode_all(pa.array(texts))
+    at = np.cumsum(counts) - counts
+    for t, a, n in zip(texts, at, counts):
+        assert ids[a:a + n].tolist() == encoding.encode_ordinary(t), repr(t)
+
+
 def test_empty_table(documents):
     assert bpe_tree.decode(bpe_tree.encode(documents([]))).count() == 0
