@@ -87,13 +87,13 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of each whole text."""
+    """(doc_id, tag, fp): the SimHash of each whole text; tag is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fingerprint_array(part.column("text"), shingle))})
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "tag": part.column("tag"), "fp": pa.array(fingerprint_array(part.column("text"), shingle))})
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tag"), F.col("text")).mapInArrow(run, "doc_id bigint, tag bigint, fp bigint")
 
 
 def half(fps: np.ndarray, tree: int) -> np.ndarray:
@@ -219,12 +219,25 @@ def links(distinct: DataFrame, leaf: int = LEAF, sample: int = SAMPLE) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id reachable over links."""
+    """(doc_id, tag, fp, component_id, root): component_id is the smallest id reachable over links, root names the component."""
     prints = cut_lineage(fingerprints(docs, shingle), "prints")
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     parts = connected_components(links(distinct.select("fp")))
     # Fingerprints with a link, and the smallest id of their component.
     rooted = distinct.join(parts.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "tag", "fp", "component_id", "root")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The documents, all columns, with one row of each component.
+
+    The row with the smallest id stays (of several texts with that id the one of
+    least hash, of equal rows one); a null id stays only where there is no other.
+    """
+    key = lambda c: F.coalesce(c.cast("bigint"), F.lit(-(1 << 63)))
+    stay = near_duplicates(docs, shingle).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("row"))
+    stay = stay.select(key(F.col("row.doc_id")).alias("_key"), F.col("row.tag").alias("_tag"))
+    keyed = docs.withColumns({"_key": key(F.col("doc_id")), "_tag": F.xxhash64("text")})
+    return keyed.join(stay, ["_key", "_tag"], "left_semi").dropDuplicates(["_key", "_tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
