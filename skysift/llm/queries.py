@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe_tree, byte_conv, fm_index, hilbert_shards, host_rules, pii_votes, simhash_tree, sql, suffix_automaton
+from skysift.llm import bpe_tree, byte_conv, fm_index, hilbert_shards, host_rules, longest_match, pii_votes, simhash_tree, sql, suffix_automaton
 from skysift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,8 +66,8 @@ def op2_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_votes.find(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint") for k in pii_votes.KINDS}
-    return found.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [F.expr(f"size(filter(spans, s -> s.base and s.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in pii_votes.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 @query
@@ -75,3 +75,8 @@ def op8_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = byte_conv.score(docs, byte_conv.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", byte_conv.held_out().alias("held_out"), "score", (F.col("score") >= byte_conv.CUT).cast("int").alias("predicted"))
+
+
+@query
+def op1_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_match.token_counts(table(spark, sf_dir, "documents"))
