@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe_tree, byte_conv, fm_index, hilbert_shards, host_rules, longest_match, pii_votes, simhash_tree, sql, suffix_automaton
+from skysift.llm import bpe_tree, byte_conv, fm_index, hilbert_shards, host_rules, longest_match, pii_votes, revisits, simhash_tree, sql, suffix_automaton
 from skysift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,10 @@ def op8_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_match.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n")
+    return found.select("record_id", "canonical", "status", "refers_to", "digest", headers.alias("headers"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skysift.llm import hilbert_shards, host_rules
+from skysift.llm import hilbert_shards, host_rules, revisits
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -76,4 +76,46 @@ from n
 """
 
 
-ORACLES = {"op6_host_rules": _host_rules(), "op7_hilbert_shards": _hilbert_shards()}
+def _revisits() -> str:
+    head = "^[A-Za-z][A-Za-z0-9+.-]*://"
+    permitted = ", ".join(f"'{h}'" for h in revisits.PERMITTED)
+    return rf"""
+with p as (select page_id, url, 1600000000 + page_id * 60 as t, md5(coalesce(html, '')) as tag, strlen(coalesce(html, '')) as size, sha256(coalesce(html, '')) as digest from pages),
+rec as (
+  select page_id * 8 as record_id, 'response' as kind, url, t as ts, tag as etag, t::varchar as modified, digest,
+    ['content-type: text/html', 'content-length: ' || size, 'etag: ' || tag, 'last-modified: ' || t, 'cache-control: max-age=60', 'server: s' || page_id % 5] as headers from p
+  union all select page_id * 8 + 1, 'revisit', url || '#again', t + 600, tag, null, null,
+    ['date: ' || (t + 600), 'cache-control: max-age=120', 'content-length: 0', 'etag: ' || tag] from p
+  union all select page_id * 8 + 2, 'revisit', regexp_replace(url, '^https?://', 'HTTPS://'), t + 7200, o, t::varchar, null,
+    ['date: ' || (t + 7200), 'cache-control: max-age=120', 'content-length: 0', 'etag: ' || o]
+    from (select *, case when page_id % 3 = 0 then 'x' || tag else 'W/' || tag end as o from p)
+  union all select page_id * 8 + 3, 'revisit', url, t + 90000, null, t::varchar, null,
+    ['date: ' || (t + 90000), 'cache-control: max-age=120', 'content-length: 0', 'expires: ' || (t + 90000)] from p
+  union all select page_id * 8 + 4, 'revisit', url, t - 5, null, null, null, ['date: ' || (t - 5), 'cache-control: max-age=120', 'content-length: 0'] from p),
+bare as (select * exclude (url), regexp_replace(url, '#.*$', '') as u from rec),
+parts as (
+  select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '{head}([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(u, '{head}[^/?]*([^?]*)', 1), '/+$', '') as place,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))), '&') as q
+  from bare),
+c as (select * exclude (u, place, q), place || case when q = '' then '' else '?' || q end as canonical from parts),
+found as (
+  select v.record_id, v.canonical, v.etag, v.modified, v.headers,
+    arg_max({{'id': r.record_id, 'etag': r.etag, 'modified': r.modified, 'digest': r.digest, 'headers': r.headers}}, r.ts::hugeint * 1000000000000 + r.record_id) as r
+  from (from c where kind = 'revisit') v left join (from c where kind = 'response') r
+    on v.canonical = r.canonical and (r.ts < v.ts or r.ts = v.ts and r.record_id < v.record_id)
+  group by all),
+judged as (
+  select *, case when r is null or r.id is null then 'no_response' when etag is null and modified is null then 'unvalidated'
+    when etag is not null then case when regexp_replace(etag, '^W/', '') = regexp_replace(r.etag, '^W/', '') then 'resolved' else 'mismatch' end
+    when modified = r.modified then 'resolved' else 'mismatch' end as status,
+    list_filter(headers, lambda h: split_part(h, ': ', 1) in ({permitted})) as fresh from found)
+select record_id, canonical, status, case when status in ('resolved', 'unvalidated') then r.id end as refers_to, case when status in ('resolved', 'unvalidated') then r.digest end as digest,
+  array_to_string(list_sort(case when status in ('resolved', 'unvalidated')
+    then list_concat(list_filter(r.headers, lambda h: not list_contains(list_transform(fresh, lambda f: split_part(f, ': ', 1)), split_part(h, ': ', 1))), fresh)
+    else headers end), chr(10)) as headers
+from judged
+"""
+
+
+ORACLES = {"op3_not_modified_revisits": _revisits(), "op6_host_rules": _host_rules(), "op7_hilbert_shards": _hilbert_shards()}
