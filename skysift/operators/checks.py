@@ -13,6 +13,7 @@ from skysift.operators import analysis as A
 from skysift.operators import compare as C
 from skysift.operators import outline as V
 from skysift.operators.grid import tile_bbox
+from skysift.session import cut_lineage
 
 ROW = ("scene_id", "check_id", "ok", "skipped", "detail")
 
@@ -23,6 +24,14 @@ def _row(df: DataFrame, check_id: str, ok: Column, detail: Column, skipped: Colu
         (F.lit(False) if skipped is None else skipped).alias("skipped"), detail.alias("detail"))
 
 
+def expected(result: DataFrame, scenes: DataFrame, check_id: str, missing: str = "no report") -> DataFrame:
+    """A row of the check for every scene of the list; a scene without one fails."""
+    listed = scenes.select("scene_id").distinct()
+    return listed.join(result, "scene_id", "left").select(
+        "scene_id", F.coalesce("check_id", F.lit(check_id)).alias("check_id"), F.coalesce("ok", F.lit(False)).alias("ok"),
+        F.coalesce("skipped", F.lit(False)).alias("skipped"), F.coalesce("detail", F.lit(missing)).alias("detail"))
+
+
 def tile_windows(tiles: DataFrame, grid: SceneGrid) -> DataFrame:
     """Pixel window of each tile: y0, y1, x0, x1 (half open)."""
     t = grid.tile_px
@@ -30,7 +39,7 @@ def tile_windows(tiles: DataFrame, grid: SceneGrid) -> DataFrame:
         "y0": F.col("tile_row") * t, "y1": (F.col("tile_row") + 1) * t, "x0": F.col("tile_col") * t, "x1": (F.col("tile_col") + 1) * t})
 
 
-def check_grid_cover(windows: DataFrame, grid: SceneGrid) -> DataFrame:
+def check_grid_cover(windows: DataFrame, grid: SceneGrid, scenes: DataFrame | None = None) -> DataFrame:
     """CK1: the windows cover every pixel exactly once, by interval arithmetic.
 
     Equal squares on distinct multiples of the tile edge, inside the scene and
@@ -46,18 +55,24 @@ def check_grid_cover(windows: DataFrame, grid: SceneGrid) -> DataFrame:
     sums = seen.groupBy("scene_id").agg(
         F.sum("n").alias("tiles"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(~F.col("square")).alias("misplaced"))
     ok = (F.col("tiles") == grid.rows * grid.cols) & (F.col("repeated") == 0) & (F.col("misplaced") == 0)
-    return _row(sums, "CK1", ok, F.format_string("%d tiles, %d repeated, %d misplaced", "tiles", "repeated", "misplaced"))
+    rows = _row(sums, "CK1", ok, F.format_string("%d tiles, %d repeated, %d misplaced", "tiles", "repeated", "misplaced"))
+    return rows if scenes is None else expected(rows, scenes, "CK1", "no tiles")
 
 
-def check_report_schema(lines: DataFrame, grid: SceneGrid) -> DataFrame:
-    """CK2: exact header and row count, on the text lines of the reports."""
+def check_report_schema(lines: DataFrame, grid: SceneGrid, scenes: DataFrame | None = None) -> DataFrame:
+    """CK2: exact header and row count, on the text lines of the reports.
+
+    Here and below ``scenes`` lists the scenes that were to be delivered; without
+    it only those that are there can be judged.
+    """
     header = F.col("value") == ",".join(REPORT_COLUMNS)
     sums = lines.groupBy("scene_id").agg(F.count_if(header).alias("headers"), F.count_if(~header).alias("rows"))
     ok = (F.col("headers") == 1) & (F.col("rows") == grid.rows * grid.cols)
-    return _row(sums, "CK2", ok, F.format_string("%d header, %d data rows", "headers", "rows"))
+    rows = _row(sums, "CK2", ok, F.format_string("%d header, %d data rows", "headers", "rows"))
+    return rows if scenes is None else expected(rows, scenes, "CK2")
 
 
-def check_report_values(report: DataFrame, grid: SceneGrid) -> DataFrame:
+def check_report_values(report: DataFrame, grid: SceneGrid, scenes: DataFrame | None = None) -> DataFrame:
     """CK3: range, decimals, verdict words, and no valid row over the cut.
 
     An invalid row under the cut is allowed: it may have too much no-data.
@@ -69,7 +84,8 @@ def check_report_values(report: DataFrame, grid: SceneGrid) -> DataFrame:
         | ((F.col("valid") == "True") & ~M.within_cut(M.percent_to_count(percent, grid.tile_pixels), grid.tile_pixels))
     )
     sums = report.groupBy("scene_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad"))
-    return _row(sums, "CK3", F.col("bad") == 0, F.format_string("%d of %d rows are wrong", "bad", "rows"))
+    rows = _row(sums, "CK3", F.col("bad") == 0, F.format_string("%d of %d rows are wrong", "bad", "rows"))
+    return rows if scenes is None else expected(rows, scenes, "CK3")
 
 
 def check_geography(identified: DataFrame, scenes: DataFrame, grid: SceneGrid) -> DataFrame:
@@ -77,25 +93,28 @@ def check_geography(identified: DataFrame, scenes: DataFrame, grid: SceneGrid) -
 
     ``identified`` is a typed report with tile ids; ``scenes`` has the geocoding
     (skipped where it is unknown) and the footprint box as f_* columns, NULL if unknown.
+    A scene without report rows fails, and so does a row whose tile was not found.
     """
     names = list(REPORT_COLUMNS[:4])
     given = identified.select("scene_id", "tile_row", "tile_col", *[F.col(n).alias(f"r_{n}") for n in names])
-    located = tile_bbox(given.join(scenes, "scene_id"), grid)
+    # A row of no tile is measured against the first one, and counted as lost.
+    joined = given.join(scenes, "scene_id").withColumns({"_row": F.col("tile_row"), "tile_row": F.coalesce("tile_row", F.lit(0)), "tile_col": F.coalesce("tile_col", F.lit(0))})
+    located = tile_bbox(joined, grid).withColumn("tile_row", F.col("_row"))
     gap = F.greatest(*[F.abs(F.col(n) - F.col(f"r_{n}")) for n in names])
     sums = (
         located.groupBy("scene_id").agg(
-            F.max(gap).alias("worst"),
+            F.max(gap).alias("worst"), F.count_if(F.col("tile_row").isNull()).alias("lost"),
             F.count_if((F.col("r_min_latitude") >= F.col("r_max_latitude")) | (F.col("r_min_longitude") >= F.col("r_max_longitude"))).alias("flat"),
             F.max(F.col("epsg").isNull()).alias("unknown"),
             F.greatest(
                 F.abs(F.min("r_min_latitude") - F.min("f_min_latitude")), F.abs(F.min("r_min_longitude") - F.min("f_min_longitude")),
                 F.abs(F.max("r_max_latitude") - F.max("f_max_latitude")), F.abs(F.max("r_max_longitude") - F.max("f_max_longitude"))).alias("edge"))
     )
-    ok = F.col("unknown") | ((F.col("flat") == 0) & (F.col("worst") <= 1e-6) & (F.coalesce("edge", F.lit(0.0)) <= 1e-4))
+    ok = F.col("unknown") | ((F.col("lost") == 0) & (F.col("flat") == 0) & (F.col("worst") <= 1e-6) & (F.coalesce("edge", F.lit(0.0)) <= 1e-4))
     detail = F.when(F.col("unknown"), "no geocoding").otherwise(
-        F.concat(F.when(F.col("worst") <= 1e-6, "boxes match").otherwise("boxes differ"), F.lit("; "),
+        F.concat(F.when((F.col("worst") <= 1e-6) & (F.col("lost") == 0), "boxes match").otherwise("boxes differ"), F.lit("; "),
                  F.when(F.col("edge").isNull(), "no footprint").when(F.col("edge") <= 1e-4, "union matches").otherwise("union differs")))
-    return _row(sums, "CK4", ok, detail, F.col("unknown"))
+    return expected(_row(sums, "CK4", ok, detail, F.col("unknown")), scenes, "CK4")
 
 
 def check_chips(chips: DataFrame, report: DataFrame, fidelity: DataFrame, grid: SceneGrid) -> DataFrame:
@@ -122,15 +141,24 @@ def check_consistency(report: DataFrame, summary: DataFrame, chips: DataFrame) -
     return _row(joined, "CK6", near & (F.col("valid_rows") == F.col("chips")), F.format_string("%d valid rows, %d chips", "valid_rows", "chips"))
 
 
-def check_features(features: DataFrame, mask_area: DataFrame, footprints: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """CK7: rings are sound, lie inside the footprint, and have the mask's area."""
+def check_features(features: DataFrame, mask_area: DataFrame, footprints: DataFrame, tolerance: float = 1e-3, delivered: DataFrame | None = None) -> DataFrame:
+    """CK7: rings are sound, lie inside the footprint, and have the mask's area.
+
+    ``delivered`` lists the scenes that promised a collection; others are skipped.
+    A collection without any ring for a mask that has area fails.
+    """
+    features = cut_lineage(features, "features")
     rings = V.ring_validity(features).groupBy("scene_id").agg(F.count(F.lit(1)).alias("rings"), F.count_if(~F.col("ok")).alias("broken"))
     outside = V.feature_extent_check(features, footprints).groupBy("scene_id").agg(F.count_if(~F.col("ok")).alias("outside"))
     area = V.feature_area_check(features, mask_area, tolerance).groupBy("scene_id").agg(F.count_if(~F.col("ok")).alias("off_area"))
     joined = area.join(rings, "scene_id", "left").join(outside, "scene_id", "left")
-    skipped = F.col("rings").isNull()
-    filled = joined.withColumn("_skip", skipped).fillna(0)
-    ok = (F.col("broken") == 0) & (F.col("outside") == 0) & (F.col("off_area") == 0)
+    if delivered is None:
+        joined = joined.withColumn("_skip", F.lit(False))
+    else:
+        promised = delivered.select("scene_id", F.lit(True).alias("_promised")).distinct()
+        joined = joined.join(promised, "scene_id", "left").withColumn("_skip", F.col("_promised").isNull()).drop("_promised")
+    filled = joined.fillna(0)
+    ok = F.col("_skip") | ((F.col("broken") == 0) & (F.col("outside") == 0) & (F.col("off_area") == 0))
     return _row(filled, "CK7", ok, F.format_string("%d rings, %d broken, %d outside, %d classes off in area", "rings", "broken", "outside", "off_area"), F.col("_skip"))
 
 
@@ -187,12 +215,21 @@ def check_totals(*results: DataFrame) -> DataFrame:
     rows = results[0]
     for r in results[1:]:
         rows = rows.unionByName(r)
-    status = F.when(F.col("skipped"), "SKIP").when(F.col("ok"), "PASS").otherwise("FAIL")
+    status = F.when(~F.col("ok"), "FAIL").when(F.col("skipped"), "SKIP").otherwise("PASS")
     return rows.groupBy("scene_id").agg(*[F.count_if(status == s).alias(s.lower()) for s in ("PASS", "FAIL", "SKIP")])
 
 
-def assert_checks(results: DataFrame) -> None:
-    """Fail the job if any check failed; only the failures reach the driver, at most 20."""
-    failed = results.filter(~F.col("ok")).limit(20).collect()
-    if failed:
-        raise AssertionError("; ".join(f"scene {r.scene_id} {r.check_id}: {r.detail}" for r in failed))
+def assert_checks(results: DataFrame, path: str | None = None) -> None:
+    """Fail the job if any check failed.
+
+    The message counts the failures of each check and names the first scene; the
+    full list is written to ``path`` if one is given.
+    """
+    failed = results.filter(~F.col("ok"))
+    if path:
+        failed.write.parquet(path)
+        failed = results.sparkSession.read.parquet(path)
+    first = F.min(F.struct("scene_id", "detail")).alias("first")
+    counts = failed.groupBy("check_id").agg(F.count(F.lit(1)).alias("n"), first).orderBy("check_id").collect()
+    if counts:
+        raise AssertionError("; ".join(f"{r.n} failed, first scene {r.first.scene_id} {r.check_id}: {r.first.detail}" for r in counts))

@@ -149,9 +149,9 @@ def decide_winner(runs: DataFrame, verdicts: DataFrame, simple: str, other: str,
     gap = F.col("simple_matches") - F.col("other_matches")
     tie = F.abs(gap) <= TIE_MARGIN
     winner = F.when(tie | (gap > 0), simple).otherwise(other)
-    return by_scene.select(
-        "scene_id", "scored", "simple_matches", "other_matches",
-        F.when(complete, winner).otherwise(F.raise_error(F.lit("a run is missing"))).alias("winner"),
+    # A filter, so that no choice of columns drops the guard.
+    return by_scene.filter(F.assert_true(complete, "a run is missing").isNull()).select(
+        "scene_id", "scored", "simple_matches", "other_matches", winner.alias("winner"),
         F.when(tie, "tie: simpler method").otherwise("higher audit agreement").alias("rule"),
     )
 
@@ -166,14 +166,15 @@ def chips_vs_report(chips: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def run_recompute_diff(recomputed: DataFrame, report: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """Recomputed tiles against a stored report, per scene."""
+    """Recomputed tiles against a stored report, per scene; every tile has to be on both sides."""
     joined = recomputed.select(*TILE, "cloud_cover_percent", "valid").join(
-        report.select(*TILE, F.col("cloud_cover_percent").alias("stored"), F.col("valid").alias("stored_valid")), TILE)
+        report.select(*TILE, F.col("cloud_cover_percent").alias("stored"), F.col("valid").alias("stored_valid")), TILE, "full")
+    lone = F.count_if(F.col("valid").isNull() | F.col("stored_valid").isNull())
     gap = F.max(F.abs(F.col("cloud_cover_percent") - F.col("stored")))
     flips = F.count_if(F.col("valid") != F.col("stored_valid"))
     return joined.groupBy("scene_id").agg(
-        F.count(F.lit(1)).alias("tiles"), gap.alias("max_gap"), flips.alias("verdict_changes"),
-        ((gap <= tolerance) & (flips == 0)).alias("ok"))
+        F.count(F.lit(1)).alias("tiles"), lone.alias("one_sided"), gap.alias("max_gap"), flips.alias("verdict_changes"),
+        F.coalesce((gap <= tolerance) & (flips == 0) & (lone == 0), F.lit(False)).alias("ok"))
 
 
 def point_lookup(points: DataFrame, px: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -183,10 +184,10 @@ def point_lookup(points: DataFrame, px: DataFrame, tiles: DataFrame) -> DataFram
     that of its upper-left 10 m pixel and is given as tile_row, tile_col. Points
     may crowd on a few pixels: pixels and tiles are looked up once per distinct
     position, and the last join is one that adaptive execution may broadcast or
-    split where it is skewed.
+    split where it is skewed. A point off every pixel keeps its row, with NULL flags.
     """
     where = ["scene_id", "y", "x", "tile_row", "tile_col"]
     flags = px.select("scene_id", "y", "x", "opaque", "cirrus", "snow")
-    known = points.select(*where).distinct().join(flags, ["scene_id", "y", "x"]).join(
-        tiles.select(*TILE, "cloud_cover_percent", "valid"), TILE)
-    return points.join(known, where)
+    known = points.select(*where).distinct().join(flags, ["scene_id", "y", "x"], "left").join(
+        tiles.select(*TILE, "cloud_cover_percent", "valid"), TILE, "left")
+    return points.join(known, where, "left")

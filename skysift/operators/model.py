@@ -38,7 +38,7 @@ def feature_stack(px10: DataFrame, px20: DataFrame, px60: DataFrame, offset: flo
         n = float(factor * factor)
         refl = sums.select(*keys, *[
             R.clip_reflectance(((F.col(b) / F.lit(n) + F.lit(offset)) / F.lit(quantification)).cast("float")).alias(b) for b in bands])
-        out = refl if out is None else out.join(refl.hint("shuffle_hash") if len(keys) == 5 else refl, keys)
+        out = refl if out is None else out.join(refl, keys)
     kept = [c for c in out.columns if c not in FEATURES]
     return out.select(*kept, *FEATURES)
 

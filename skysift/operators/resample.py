@@ -51,14 +51,11 @@ def with_cell(px: DataFrame, factor: int) -> DataFrame:
 def multires_join(fine: DataFrame, coarse: DataFrame, factor: int, columns: Sequence[str]) -> DataFrame:
     """Put coarse columns on the fine grid: equi-join on the enclosing pixel.
 
-    Tables placed by block join inside their partition, without an exchange.
-    The hash table is built from the coarse side, which holds 1/4 to 1/36 of the
-    rows of the same blocks; nothing is broadcast.
+    Tables placed by block join inside their partition, without an exchange; the
+    join itself is left to the planner, so either side may spill.
     """
     keys = ["scene_id", *[k for k in block_keys(fine) if k in coarse.columns]]
     right = coarse.select(*keys, F.col("y").alias("cy"), F.col("x").alias("cx"), *columns)
-    if len(keys) == 3:
-        right = right.hint("shuffle_hash")
     return with_cell(fine, factor).join(right, [*keys, "cy", "cx"]).drop("cy", "cx")
 
 

@@ -173,12 +173,13 @@ def chips_vs_report(spark, sf):
 
 
 @query("run_recompute_diff", X.sql(
-    "select scene_id, count(*) as tiles, max(abs(t.cloud_cover_percent - r.pct)) as max_gap, 0 as verdict_changes, max(abs(t.cloud_cover_percent - r.pct)) <= 1e-4 as ok "
+    "select scene_id, count(*) as tiles, cast(case when scene_id % 4 = 3 then 1 else 0 end as bigint) as one_sided, max(abs(t.cloud_cover_percent - r.pct)) filter (not (scene_id % 4 = 3 and tile_row = 5 and tile_col = 5)) as max_gap, 0 as verdict_changes, scene_id % 4 <> 3 and max(abs(t.cloud_cover_percent - r.pct)) <= 1e-4 as ok "
     "from tiles t join rep r using (scene_id, tile_row, tile_col, detector) where detector = 'model' group by scene_id", REP).replace("0 as verdict_changes", "cast(0 as bigint) as verdict_changes"))
 def run_recompute_diff(spark, sf):
-    """Tiles recomputed from the masks against the printed report."""
+    """Tiles recomputed from the masks against the printed report, which lacks a tile in every fourth scene."""
     fresh = tile_runs(spark, sf).filter(F.col("detector") == "model")
-    stored = report_runs(spark, sf).filter(F.col("detector") == "model")
+    lost = (F.col("scene_id") % 4 == 3) & (F.col("tile_row") == 5) & (F.col("tile_col") == 5)
+    stored = report_runs(spark, sf).filter((F.col("detector") == "model") & ~lost)
     return C.run_recompute_diff(fresh, stored, 1e-4)
 
 

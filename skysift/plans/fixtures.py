@@ -34,8 +34,12 @@ EXTRA60 = {
 TWENTY = {"b05": 31, "b06": 37, "b07": 41, "b8a": 43, "b11": 29, "b12": 47}
 
 
-def px60(spark: SparkSession, sf_dir: str, placed: bool = True) -> DataFrame:
-    """One row per 60 m pixel, every band averaged to that grid."""
+def px60(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """One row per 60 m pixel, every band averaged to that grid.
+
+    ``placed`` hash-partitions by block, which pays before a join of several
+    resolutions only; projections and sums need no exchange of pixels.
+    """
     orders = tune(spark).read.parquet(f"{sf_dir}/orders.parquet")
     base = orders.select(
         F.col("o_orderkey").cast("bigint").alias("k"),
@@ -96,14 +100,14 @@ def _clip(px: DataFrame, window: Window | None) -> DataFrame:
     return px.filter((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
 
 
-def px20(spark: SparkSession, sf_dir: str, window: Window | None = None) -> DataFrame:
+def px20(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = False) -> DataFrame:
     cols = {b: F.expr(f"{b} + ((i * 3 + j) * {m}) % 53") for b, m in TWENTY.items()}
-    return _clip(_fine(_within(px60(spark, sf_dir), window, 3), 3, cols), window)
+    return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 3), 3, cols), window)
 
 
-def px10(spark: SparkSession, sf_dir: str, window: Window | None = None) -> DataFrame:
+def px10(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = False) -> DataFrame:
     """10 m bands and the display RGB; a (y0, y1, x0, x1) window reads less."""
-    return _clip(_fine(_within(px60(spark, sf_dir), window, 6), 6, {
+    return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 6), 6, {
         "b02": F.expr("case when b02 = 0 then 0 else b02 + ((i * 6 + j) * 37) % 101 end"),
         "b03": F.expr("b03 + ((i * 6 + j) * 41) % 103"),
         "b04": F.expr("b04 + ((i * 6 + j) * 43) % 107"),

@@ -213,7 +213,7 @@ FINE_TILES = _STACK + (f", fine_tiles as (select scene_id, {I('y', 15)} as tile_
 
 def fine_stack(spark, sf):
     """Five bands on the 10 m grid."""
-    return detect.fine_stack(X.px10(spark, sf), X.px20(spark, sf), X.px60(spark, sf))
+    return detect.fine_stack(X.px10(spark, sf, placed=True), X.px20(spark, sf, placed=True), X.px60(spark, sf, placed=True))
 
 
 @query("multires_join", X.sql(

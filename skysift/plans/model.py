@@ -30,7 +30,7 @@ def _logit(shift: str) -> str:
 
 
 def stack(spark, sf):
-    return D.feature_stack(X.px10(spark, sf), X.px20(spark, sf), X.px60(spark, sf), X.OFFSET, X.QUANT)
+    return D.feature_stack(X.px10(spark, sf, placed=True), X.px20(spark, sf, placed=True), X.px60(spark, sf, placed=True), X.OFFSET, X.QUANT)
 
 
 @query("feature_stack", X.sql("select scene_id, y, x, " + ", ".join(f"cast({b} as double) as {b}" for b in D.FEATURES) + " from stack13", STACK))
@@ -60,7 +60,7 @@ def cloud_probability(spark, sf):
     """
     features = cut_lineage(stack(spark, sf), "features")
     labelled = features.join(
-        X.px60(spark, sf).select(*KEY, "brow", "bcol", R.class_union(F.col("opaque"), F.col("cirrus")).alias("ref")),
+        X.px60(spark, sf, placed=True).select(*KEY, "brow", "bcol", R.class_union(F.col("opaque"), F.col("cirrus")).alias("ref")),
         ["scene_id", "brow", "bcol", "y", "x"])
     model = D.train_cloud_model(labelled, "ref", trees=5, depth=3)
     scored = D.cloud_probability(model, features)

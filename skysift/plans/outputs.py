@@ -57,7 +57,10 @@ def sink_tile_report(spark, sf):
     "select scene_id, tile_row, tile_col, cast(cloud_cover_percent as double) as cloud_cover_percent, valid = 'True' as valid from rep_rows", BOX_VIEWS + ", " + _REPORT))
 def scan_tile_report(spark, sf):
     """Report rows with the tile recovered from the printed box."""
-    report = L.identify_tiles(L.scan_tile_report(spark, stored_report(spark, sf)), X.scenes(spark, sf), X.GRID)
+    # Corners off by less than the tolerance, as another projection library would print them.
+    off = lambda c, by: F.format_string("%.8f", F.col(c).cast("double") + by)
+    read = L.scan_tile_report(spark, stored_report(spark, sf)).withColumns({"min_latitude": off("min_latitude", 5e-8), "max_longitude": off("max_longitude", -5e-8)})
+    report = L.identify_tiles(read, X.scenes(spark, sf), X.GRID)
     return L.typed_report(report).select("scene_id", "tile_row", "tile_col", "cloud_cover_percent", "valid")
 
 
@@ -176,4 +179,4 @@ def sink_audit_sample(spark, sf):
     path = scratch_path(spark, "sample")
     O.write_audit_sample(C.audit_sample(report_runs(spark, sf), "threshold", "model", X.NAMED), path)
     rows = spark.read.option("header", "true").option("enforceSchema", "false").schema(L.VERDICT_SCHEMA + ", scene_id bigint").csv(path)
-    return rows.drop("notes")
+    return rows.drop("notes").withColumnsRenamed({"row": "tile_row", "col": "tile_col"})

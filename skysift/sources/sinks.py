@@ -90,8 +90,9 @@ def write_masks(masks: DataFrame, path: str) -> None:
 
 
 def write_probability_map(px: DataFrame, path: str) -> None:
-    """Raw probabilities kept beside the results."""
-    px.select("scene_id", "y", "x", F.col("prob").cast("float").alias("prob")).write.partitionBy("scene_id").parquet(path)
+    """Raw probabilities kept beside the results; a row of blocks of a scene shares a file."""
+    dealt = px.repartition("scene_id", *[k for k in block_keys(px) if k == "brow"])
+    dealt.select("scene_id", "y", "x", F.col("prob").cast("float").alias("prob")).write.partitionBy("scene_id").parquet(path)
 
 
 def geojson_lines(features: DataFrame) -> DataFrame:
@@ -134,8 +135,8 @@ def geojson_lines(features: DataFrame) -> DataFrame:
 def write_geojson(features: DataFrame, path: str) -> None:
     """Per scene, the part files in name order are one GeoJSON document."""
     order = ["scene_id", "class", "component", "hole", "ring", "seq", "part"]
-    # Range bounds are sampled from the written lines, not by computing them twice.
-    lines = cut_lineage(geojson_lines(features), "lines").repartitionByRange(*order).sortWithinPartitions(*order)
+    # Rings are traced once, and range bounds sampled from the written lines.
+    lines = cut_lineage(geojson_lines(cut_lineage(features, "features")), "lines").repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select("scene_id", "value").write.partitionBy("scene_id").text(path)
 
 
@@ -178,15 +179,23 @@ def sweep_rows(sweep: DataFrame, settings: dict[str, str]) -> DataFrame:
 
 
 def write_sweep(sweep: DataFrame, settings: dict[str, str], path: str) -> None:
-    sweep_rows(sweep, settings).write.option("header", "true").csv(path)
+    """One file in the order of the settings; a disabled test comes first. The grid of settings bounds the rows."""
+    order = [F.col(c).asc_nulls_first() for c in ("t_bright", "t_ndsi", "t_cirrus")]
+    sweep_rows(sweep.coalesce(1).sortWithinPartitions(*order), settings).write.option("header", "true").csv(path)
+
+
+def _audit_rows(sample: DataFrame, verdict: Column) -> DataFrame:
+    """Rows as they stand in the file: named tiles first, then row-major; one task per scene."""
+    ordered = sample.repartition("scene_id").sortWithinPartitions("scene_id", F.coalesce("character", F.lit("")) == "", "tile_row", "tile_col")
+    return ordered.select(
+        "scene_id", F.col("tile_row").alias("row"), F.col("tile_col").alias("col"), "character", "reason", verdict.alias("verdict"), F.lit("").alias("notes"))
 
 
 def write_audit_sample(sample: DataFrame, path: str) -> None:
     """Sample with empty verdicts; an existing file is never overwritten."""
-    blank = sample.select("scene_id", "tile_row", "tile_col", "character", "reason", F.lit("").alias("verdict"), F.lit("").alias("notes"))
-    blank.repartition("scene_id").write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
+    blank = _audit_rows(sample, F.lit(""))
+    blank.write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
 
 
 def write_verdicts(verdicts: DataFrame, path: str) -> None:
-    rows = verdicts.select("scene_id", "tile_row", "tile_col", "character", "reason", "verdict", F.lit("").alias("notes"))
-    rows.repartition("scene_id").write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)
+    _audit_rows(verdicts, F.col("verdict")).write.mode("errorifexists").partitionBy("scene_id").option("header", "true").csv(path)

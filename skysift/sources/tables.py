@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.constants import REPORT_COLUMNS, SceneGrid
-from skysift.operators.grid import tile_bbox, tile_grid
+from skysift.functions.geodesy import with_utm
 
 VERDICTS = ("cloud", "thin_cloud", "clear")
 REPORT_SCHEMA = ", ".join(f"{c} string" for c in REPORT_COLUMNS)
@@ -17,7 +17,7 @@ SUMMARY_SCHEMA = (
     "scene struct<scene_id: bigint, epsg: int, origin_easting: double, origin_northing: double, footprint_bbox: array<double>>, "
     "results struct<scene_cloud_percent: double, valid_tiles: bigint, invalid_tiles: bigint, cloud_pixels_total: bigint, max_nodata_fraction: double>"
 )
-VERDICT_SCHEMA = "tile_row int, tile_col int, character string, reason string, verdict string, notes string"
+VERDICT_SCHEMA = "row int, col int, character string, reason string, verdict string, notes string"
 
 
 def parse_config(texts: DataFrame, raw: str, schema: str, required: Sequence[str]) -> DataFrame:
@@ -54,12 +54,18 @@ def scan_tile_report(spark: SparkSession, path: str) -> DataFrame:
 def identify_tiles(report: DataFrame, scenes: DataFrame, grid: SceneGrid) -> DataFrame:
     """Recover (tile_row, tile_col) of report rows from their printed box.
 
-    Files have no row order in Spark, so the corner is matched to the grid.
+    Files have no row order in Spark. The box centre, projected to the scene's
+    grid, lies in its tile however the corners were rounded; outside the grid, or
+    without geocoding, both are NULL.
     """
-    tiles = tile_bbox(tile_grid(scenes.select("scene_id", "epsg", "origin_e", "origin_n"), grid), grid)
-    printed = lambda c: F.format_string("%.8f", F.col(c)).alias(c)
-    known = tiles.select("scene_id", "tile_row", "tile_col", printed("min_latitude"), printed("min_longitude"))
-    return report.join(known, ["scene_id", "min_latitude", "min_longitude"], "left")
+    middle = lambda a, b: (F.col(a).cast("double") + F.col(b).cast("double")) / 2
+    placed = report.join(scenes.select("scene_id", F.col("epsg").alias("_epsg"), F.col("origin_e").alias("_e0"), F.col("origin_n").alias("_n0")), "scene_id", "left")
+    centred = placed.withColumns({"_lat": middle("min_latitude", "max_latitude"), "_lon": middle("min_longitude", "max_longitude")})
+    metres = grid.tile_px * grid.metres
+    cell = lambda gap, most: F.when((gap >= 0) & (gap < most * metres), F.floor(gap / metres).cast("int"))
+    found = with_utm(centred, [("_lat", "_lon", "_e", "_n")], "_epsg").withColumns({
+        "tile_row": cell(F.col("_n0") - F.col("_n"), grid.rows), "tile_col": cell(F.col("_e") - F.col("_e0"), grid.cols)})
+    return found.drop("_epsg", "_e0", "_n0", "_lat", "_lon", "_e", "_n")
 
 
 def typed_report(report: DataFrame) -> DataFrame:
@@ -72,11 +78,10 @@ def scan_run_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_audit_verdicts(spark: SparkSession, path: str, expected: int = 16) -> DataFrame:
-    """Human verdicts per scene; a wrong word or a wrong number of rows fails the job."""
+    """Human verdicts per scene; a wrong word or a wrong number of rows fails the job, whatever columns are asked for."""
     rows = spark.read.option("header", "true").option("enforceSchema", "false").schema(VERDICT_SCHEMA + ", scene_id bigint").csv(path)
-    word = F.when(F.col("verdict").isin(*VERDICTS), F.col("verdict")).otherwise(
-        F.raise_error(F.concat(F.lit("unknown verdict: "), F.coalesce("verdict", F.lit("none")))))
+    known = F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False))
+    rows = rows.filter(F.assert_true(known, F.concat(F.lit("unknown verdict: "), F.coalesce("verdict", F.lit("none")))).isNull())
     counts = rows.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = rows.withColumn("verdict", word).join(counts, "scene_id")
-    full = F.when(F.col("_n") == expected, F.col("verdict")).otherwise(F.raise_error(F.concat(F.lit("verdict rows: "), F.col("_n"))))
-    return sized.withColumn("verdict", full).drop("_n")
+    sized = rows.join(counts, "scene_id").filter(F.assert_true(F.col("_n") == expected, F.concat(F.lit("verdict rows: "), F.col("_n"))).isNull())
+    return sized.withColumnsRenamed({"row": "tile_row", "col": "tile_col"}).drop("_n")
