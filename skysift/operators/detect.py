@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skysift.constants import MODEL_DEFAULTS, THRESHOLD_DEFAULTS
 from skysift.functions import radiometry as R
 from skysift.operators.grid import block_keys
+from skysift.operators.neighborhood import prob_morph_mask
 from skysift.operators.resample import multires_join
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -59,10 +60,29 @@ def threshold(
 
 
 @register("model")
-def model(prob_threshold: float | None = None, column: str = "q24") -> Detector:
-    """Fixed-point probability over a threshold."""
-    limit = MODEL_DEFAULTS["prob_threshold"] if prob_threshold is None else prob_threshold
-    return lambda px: px.withColumn("cloud", R.prob24_mask(F.col(column), limit))
+def model(
+    prob_threshold: float | None = None, average_over: int | None = None, dilation_size: int | None = None,
+    shape: tuple[int, int] | None = None, edge: int = 183, column: str = "q24", configured: dict[str, float] | None = None,
+) -> Detector:
+    """Fixed-point probability, averaged over a disk, over a threshold, dilated by a disk.
+
+    An argument goes before ``configured`` (a parsed file), that before the
+    default; 0 turns averaging or dilation off. Both need ``shape``, the rows and
+    columns of a scene.
+    """
+    given = {"prob_threshold": prob_threshold, "average_over": average_over, "dilation_size": dilation_size}
+    used = {k: v if v is not None else (configured or {}).get(k, MODEL_DEFAULTS[k]) for k, v in given.items()}
+    average, dilate = int(used["average_over"] or 0), int(used["dilation_size"] or 0)
+    if not average and not dilate:
+        return lambda px: px.withColumn("cloud", R.prob24_mask(F.col(column), used["prob_threshold"]))
+    if shape is None:
+        raise ValueError("averaging and dilation need the shape of a scene")
+
+    def apply(px: DataFrame) -> DataFrame:
+        mask = prob_morph_mask(px, column, used["prob_threshold"], average, dilate, shape, edge=edge)
+        return px.join(mask.select("scene_id", "y", "x", "cloud"), ["scene_id", "y", "x"])
+
+    return apply
 
 
 def band_stack(long: DataFrame, bands: Sequence[str]) -> DataFrame:

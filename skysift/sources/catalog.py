@@ -38,10 +38,11 @@ def _documents(spark: SparkSession, path: str, tag: str, schema: str) -> DataFra
     return found.select("*", F.regexp_extract(F.col("_metadata.file_path"), PRODUCT_PATTERN, 1).alias("product"))
 
 
-def scan_products(spark: SparkSession, product_path: str, granule_path: str) -> DataFrame:
+def scan_products(spark: SparkSession, product_path: str, granule_path: str, folders: DataFrame | None = None) -> DataFrame:
     """Raw metadata, one row per product: the product document and its granules.
 
-    Each kind of document is read once, with a fixed schema.
+    Each kind of document is read once, with a fixed schema. A product with any
+    document, or named in ``folders`` (product), has a row; what it lacks is NULL.
     """
     products = _documents(spark, product_path, "Level-1C_User_Product", PRODUCT_SCHEMA).select(
         "product", F.col("General_Info.Product_Info").alias("info"), F.col("General_Info.Product_Image_Characteristics").alias("image"),
@@ -52,7 +53,8 @@ def scan_products(spark: SparkSession, product_path: str, granule_path: str) ->
         F.min_by(F.struct(
             F.col("General_Info.SENSING_TIME").alias("sensing"), F.col("Geometric_Info.Tile_Geocoding").alias("geo"),
             F.col("Geometric_Info.Tile_Angles.Mean_Sun_Angle").alias("sun")), F.col("General_Info.SENSING_TIME")).alias("granule"))
-    return products.join(granules, "product", "left")
+    found = products.join(granules, "product", "full")
+    return found if folders is None else folders.select("product").distinct().join(found, "product", "full")
 
 
 def _offsets(listed: Column) -> Column:
@@ -80,8 +82,10 @@ def _footprint(text: Column) -> Column:
     return F.transform(pairs, lambda i: F.struct(F.get(numbers, 2 * i).alias("lat"), F.get(numbers, 2 * i + 1).alias("lon")))
 
 
-def product_catalog(raw: DataFrame) -> DataFrame:
-    """Typed metadata of sound products."""
+def product_catalog(raw: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """Typed metadata; with ``quality`` (product, ok) of the products that passed only."""
+    if quality is not None:
+        raw = raw.join(quality.filter("ok").select("product"), "product", "left_semi")
     info, image, geo = F.col("info"), F.col("image"), F.col("granule.geo")
     listed = image["Radiometric_Offset_List"]["RADIO_ADD_OFFSET"]
     return raw.select(
@@ -129,14 +133,17 @@ def catalog_quality(raw: DataFrame, lacking: DataFrame) -> DataFrame:
         F.transform(geo["Size"], lambda s: s["_resolution"]), F.transform(geo["Geoposition"], lambda s: s["_resolution"]))
     complete = F.size(F.array_intersect(resolutions, F.array(*[F.lit(r) for r in RESOLUTIONS]))) == len(RESOLUTIONS)
     absent = lacking.groupBy("product").agg(F.array_join(F.array_sort(F.collect_set("band")), ",").alias("absent"))
+    has_product, has_granule = F.col("info").isNotNull(), F.col("granules").isNotNull()
+    of_product, of_granule = (lambda bad: has_product & bad), (lambda bad: has_granule & bad)
     rules = [
-        (~F.coalesce(F.col("info.PROCESSING_LEVEL"), F.lit("")).contains("Level-1C"), "not Level-1C"),
-        (F.col("image.QUANTIFICATION_VALUE._VALUE").isNull(), "quantification missing"),
-        (F.coalesce("granules", F.lit(0)) != 1, "granule count is not 1"),
-        (~F.coalesce(complete, F.lit(False)), "resolution missing"),
-        (~F.coalesce(geo["HORIZONTAL_CS_CODE"].rlike(r"\d+$"), F.lit(False)), "EPSG code not found"),
-        (F.col("granule.sun.ZENITH_ANGLE._VALUE").isNull(), "sun angle missing"),
-        (F.coalesce(F.length(F.trim("positions")), F.lit(0)) == 0, "footprint missing"),
+        (~has_product, "product document missing"), (~has_granule, "granule document missing"),
+        (of_product(~F.coalesce(F.col("info.PROCESSING_LEVEL"), F.lit("")).contains("Level-1C")), "not Level-1C"),
+        (of_product(F.col("image.QUANTIFICATION_VALUE._VALUE").isNull()), "quantification missing"),
+        (of_granule(F.coalesce("granules", F.lit(0)) != 1), "granule count is not 1"),
+        (of_granule(~F.coalesce(complete, F.lit(False))), "resolution missing"),
+        (of_granule(~F.coalesce(geo["HORIZONTAL_CS_CODE"].rlike(r"\d+$"), F.lit(False))), "EPSG code not found"),
+        (of_granule(F.col("granule.sun.ZENITH_ANGLE._VALUE").isNull()), "sun angle missing"),
+        (of_product(F.coalesce(F.length(F.trim("positions")), F.lit(0)) == 0), "footprint missing"),
         (F.col("absent").isNotNull(), "band missing"),
     ]
     reasons = F.filter(F.array(*[F.when(bad, text) for bad, text in rules]), lambda r: r.isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skysift.constants import SceneGrid
@@ -23,8 +24,25 @@ def screen_arrivals(
     return fine_tile_counts(detector(px), grid, list(flags))
 
 
+def to_files(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the tiles that changed in each batch below ``path``; a batch that is run again replaces its own files."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of each tile from the last batch that changed it."""
+    rows = spark.read.parquet(path)
+    kept = [c for c in rows.columns if c not in ("scene_id", "tile_row", "tile_col", "batch")]
+    newest = rows.groupBy("scene_id", "tile_row", "tile_col").agg(F.max_by(F.struct(*kept), "batch").alias("_last"))
+    return newest.select("scene_id", "tile_row", "tile_col", "_last.*")
+
+
 def to_table(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current counts in a memory table (for tests and small runs)."""
+    """Keep the current counts in a memory table: for tests only, all counts go to the driver."""
     return (
         counts.writeStream.outputMode("complete").format("memory").queryName(name)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -57,7 +57,15 @@ def test_result_does_not_depend_on_partitions(spark, name):
     assert seen[0] == seen[1] == seen[2]
 
 
-def test_pixels_move_once_per_source(spark):
+@pytest.fixture
+def large_tables(spark):
+    """Plans as for tables beyond the broadcast limit."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pixels_move_once_per_source(spark, large_tables):
     """Placement is the only exchange of pixel rows: joins and the aggregate stay in place."""
     text = plan(QUERIES["multires_join"](spark, SF))
     assert len(re.findall(r"Exchange hashpartitioning\(scene_id#\d+L, brow#\d+, bcol#\d+, 8\)", text)) == 3
@@ -88,7 +96,7 @@ def test_window_scan_is_pushed_down(spark):
     assert "PartitionFilters: [isnotnull(scene_id" in plan(one) and one.count() == 1500
 
 
-def test_bucketed_tables_need_no_exchange(spark):
+def test_bucketed_tables_need_no_exchange(spark, large_tables):
     from skysift.operators import tiles as T
     from skysift.sources import pixels as P
 
@@ -136,7 +144,7 @@ def test_verdict_file_rules(spark):
             assert L.scan_audit_verdicts(spark, path).count() == 16
         else:
             with pytest.raises(Exception, match=problem):
-                L.scan_audit_verdicts(spark, path).collect()
+                L.scan_audit_verdicts(spark, path).count()
 
 
 def test_audit_sample_is_never_overwritten(spark):
@@ -158,7 +166,7 @@ def test_band_order_is_checked(spark):
 
 def test_failed_checks_stop_the_job(spark):
     row = spark.createDataFrame([(1, "CK1", False, False, "hole")], "scene_id bigint, check_id string, ok boolean, skipped boolean, detail string")
-    with pytest.raises(AssertionError, match="scene 1 CK1: hole"):
+    with pytest.raises(AssertionError, match="1 failed, first scene 1 CK1: hole"):
         H.assert_checks(row)
     H.assert_checks(row.withColumn("ok", F.lit(True)))
 
@@ -187,9 +195,73 @@ def test_arriving_scenes_reach_the_batch_result(spark):
     path = scratch_path(spark, "arrivals")
     px.filter("y < 15").write.parquet(path)
     px.filter("y >= 15").write.mode("append").parquet(path)
-    counts = screen_arrivals(spark, path, px.schema, grid, detect.build("model", prob_threshold=0.6))
+    counts = screen_arrivals(spark, path, px.schema, grid, detect.build("model", prob_threshold=0.6, average_over=0, dilation_size=0))
     to_table(counts, "arrived", scratch_path(spark, "stream")).awaitTermination()
     from skysift.operators.tiles import fine_tile_counts
 
-    batch = fine_tile_counts(detect.build("model", prob_threshold=0.6)(px), grid, ["cloud"])
+    batch = fine_tile_counts(detect.build("model", prob_threshold=0.6, average_over=0, dilation_size=0)(px), grid, ["cloud"])
     assert spark.table("arrived").exceptAll(batch).count() == 0 and batch.count() == 60
+
+    from skysift.streaming.arrivals import latest_counts, to_files
+
+    out = scratch_path(spark, "arrived")
+    to_files(counts, out, scratch_path(spark, "stream")).awaitTermination()
+    got = latest_counts(spark, out).select(*batch.columns)
+    assert got.exceptAll(batch).count() == 0 and got.count() == 60
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from skysift.operators import graph
+
+    rounds = []
+    keep = graph._cut_and_mark
+    monkeypatch.setattr(graph, "_cut_and_mark", lambda edges, keys: rounds.append(1) or keep(edges, keys))
+    # A U of 64 nodes whose arms meet in the largest one, and a lone pair under another key.
+    order = [*range(0, 64, 2), *range(63, 0, -2)]
+    rows = [(1, a, b) for a, b in zip(order, order[1:])] + [(2, 7, 3), (2, 3, 3)]
+    got = {tuple(r) for r in graph.connected_components(spark.createDataFrame(rows, "k int, u bigint, v bigint"), ["k"]).collect()}
+    assert got == {(1, n, 0) for n in range(64)} | {(2, 7, 3), (2, 3, 3)}
+    assert len(rounds) <= 10
+
+
+def test_pixels_move_only_where_needed(spark):
+    def exchanges(name):
+        text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        return text.split("Initial Plan")[0].count("Exchange ")
+
+    for name in ("brightness", "ndsi", "cloud_rule", "clip_reflectance", "quantize8", "block_mean"):
+        assert exchanges(name) <= (1 if name == "block_mean" else 0), name
+    for name in ("confusion_counts", "class_shares", "branch_code", "disk_average", "mask_outline"):
+        assert exchanges(name) <= 1, name
+
+
+def test_model_detector_averages_and_dilates(spark):
+    from skysift.operators.neighborhood import prob_morph_mask
+
+    px = X.px60(spark, SF)
+    want = prob_morph_mask(px, "q24", 0.4, 1, 1, X.COARSE_SHAPE, edge=X.EDGE)
+    on = lambda df: df.filter("cloud").select("scene_id", "y", "x")
+    got = detect.build("model", shape=X.COARSE_SHAPE, edge=X.EDGE)(px)
+    assert on(got).exceptAll(on(want)).count() == 0 and on(got).count() == on(want).count() and got.count() == px.count()
+    plain = detect.build("model", configured={"average_over": 0, "dilation_size": 0, "prob_threshold": 0.6})(px)
+    assert on(plain).count() == px.filter(f"q24 > {0.6 * (1 << 24)}").count()
+    with pytest.raises(ValueError):
+        detect.build("model")
+
+
+def test_missing_outputs_fail(spark):
+    scenes = spark.createDataFrame([(1,), (2,)], "scene_id bigint")
+    lines = spark.createDataFrame([], "value string, scene_id bigint")
+    rows = H.check_report_schema(lines, X.GRID, scenes).collect()
+    assert [(r.ok, r.detail) for r in rows] == [(False, "no report")] * 2
+    lost = spark.createDataFrame([(1, "CK7", False, True, "x")], "scene_id bigint, check_id string, ok boolean, skipped boolean, detail string")
+    assert H.check_totals(lost).first().fail == 1
+
+
+def test_points_off_every_pixel_keep_their_row(spark):
+    from skysift.operators import compare as C
+
+    points = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 9, 9, 0, 0)], "scene_id int, y int, x int, tile_row int, tile_col int")
+    px = spark.createDataFrame([(1, 0, 0, True, False, False)], "scene_id int, y int, x int, opaque boolean, cirrus boolean, snow boolean")
+    tiles = spark.createDataFrame([(1, 0, 0, 1.0, True)], "scene_id int, tile_row int, tile_col int, cloud_cover_percent double, valid boolean")
+    assert sorted((r.y, r.opaque) for r in C.point_lookup(points, px, tiles).collect()) == [(0, True), (9, None)]
