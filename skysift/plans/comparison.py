@@ -16,7 +16,9 @@ from skysift.plans import fixtures as X
 from skysift.plans.aggregates import COUNTS_SQL, SCORES_SQL
 from skysift.plans.registry import query
 from skysift.plans.scalars import DETECTORS, KEY, tile_runs
-from skysift.session import cut_lineage
+from skysift.session import cut_lineage, scratch_path
+from skysift.sources.sinks import write_tile_report
+from skysift.sources.tables import load_runs
 
 I = X._idiv
 NAMED_SQL = "named(tile_row, tile_col, \"character\") as (values " + ", ".join(f"({r}, {c}, '{t}')" for r, c, t in X.NAMED) + ")"
@@ -42,8 +44,13 @@ def report_runs(spark, sf):
 
 
 def stored_runs(spark, sf):
-    """The same as a stored table, for comparisons that read the runs several times."""
-    return cut_lineage(report_runs(spark, sf), "runs")
+    """The runs as read back from their report files, stored for comparisons that read them several times."""
+    tiles, scenes = cut_lineage(tile_runs(spark, sf), "runs"), X.scenes(spark, sf)
+    paths = {d: scratch_path(spark, f"report-{d}") for d in DETECTORS}
+    for detector, path in paths.items():
+        rows = tiles.filter(F.col("detector") == detector).drop("detector")
+        write_tile_report(T.locate_tiles(rows, scenes, X.GRID), path)
+    return cut_lineage(load_runs(spark, paths, scenes, X.GRID), "runs")
 
 
 def verdicts(runs):

@@ -10,6 +10,7 @@ from skysift.operators import checks as H
 from skysift.operators import grid as G
 from skysift.operators import resample as S
 from skysift.operators import tiles as T
+from skysift.operators.screening import screen
 from skysift.plans import fixtures as X
 from skysift.plans.aggregates import scene_footprints
 from skysift.plans.outputs import located_model, stored_chips, stored_report
@@ -17,6 +18,7 @@ from skysift.plans.registry import query
 from skysift.plans.scalars import KEY, tile_runs
 from skysift.plans.vectors import RUN_VIEWS, features
 from skysift.sources import sinks as O
+from skysift.session import scratch_path
 from skysift.sources import tables as L
 
 I = X._idiv
@@ -153,6 +155,19 @@ def check_mask_dtype_shape(spark, sf):
     return H.check_mask_shape(masks, ["a", "b", "ref", "nodata"], counts, X.GRID)
 
 
+@query("screen_catalog", X.sql("select scene_id, cast(5 as bigint) as pass, cast(0 as bigint) as fail, cast(0 as bigint) as skip from ids where scene_id % 3 <> 2"))
+def screen_catalog(spark, sf):
+    """The whole job over all scenes, a third of which declare a wrong size; totals of the checks of its files."""
+    foot = footprint_scenes(spark, sf)
+    box = F.array("f_min_latitude", "f_min_longitude", "f_max_latitude", "f_max_longitude")
+    scenes = foot.withColumns({
+        "footprint_bbox": box, "nrows": F.lit(X.GRID.height) - F.when(F.col("scene_id") % 3 == 2, 6).otherwise(0), "ncols": F.lit(X.GRID.width)})
+    out = scratch_path(spark, "screened")
+    rows = screen(scenes, X.masks60(spark, sf), X.px10(spark, sf), X.GRID, 6, "model", out, flag="b", parameters={"prob_threshold": X.MODEL_THRESHOLD})
+    H.assert_checks(rows)
+    return H.check_totals(rows)
+
+
 @query("check_runs", X.sql(
     "select scene_id, 6 - f as pass, f as fail, cast(case when scene_id % 3 = 2 then 1 else 0 end as bigint) as skip from (select scene_id, "
     "cast((case when scene_id % 4 = 1 then 1 else 0 end) + (case when bad > 0 then 1 else 0 end) + (case when scene_id % 3 = 1 then 1 else 0 end) + (case when scene_id % 5 = 2 then 1 else 0 end) + (case when scene_id % 6 = 5 then 1 else 0 end) as bigint) as f from "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skysift.constants import REPORT_COLUMNS, SceneGrid
 from skysift.functions.geodesy import with_utm
+from skysift.functions.tilemath import percent_to_count
 
 VERDICTS = ("cloud", "thin_cloud", "clear")
 REPORT_SCHEMA = ", ".join(f"{c} string" for c in REPORT_COLUMNS)
@@ -73,6 +74,20 @@ def typed_report(report: DataFrame) -> DataFrame:
     return report.withColumns({**{c: F.col(c).cast("double") for c in numbers}, "valid": F.col("valid") == "True"})
 
 
+def load_runs(spark: SparkSession, reports: dict[str, str], scenes: DataFrame, grid: SceneGrid) -> DataFrame:
+    """Tile rows of finished runs from their report files; ``reports`` maps the detector to its folder.
+
+    A printed percentage of six decimals gives the pixel count back exactly.
+    """
+    runs = None
+    for detector, path in reports.items():
+        rows = typed_report(identify_tiles(scan_tile_report(spark, path), scenes, grid)).select(
+            F.lit(detector).alias("detector"), "scene_id", "tile_row", "tile_col", "cloud_cover_percent",
+            percent_to_count(F.col("cloud_cover_percent"), grid.tile_pixels).alias("cloud_pixels"), "valid")
+        runs = rows if runs is None else runs.unionByName(rows)
+    return runs
+
+
 def scan_run_summary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUMMARY_SCHEMA).option("mode", "FAILFAST").json(path)
 
