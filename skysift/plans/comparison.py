@@ -17,7 +17,7 @@ from skysift.plans.aggregates import COUNTS_SQL, SCORES_SQL
 from skysift.plans.registry import query
 from skysift.plans.scalars import DETECTORS, KEY, tile_runs
 from skysift.session import cut_lineage, scratch_path
-from skysift.sources.sinks import write_tile_report
+from skysift.sources.sinks import write_run_reports
 from skysift.sources.tables import load_runs
 
 I = X._idiv
@@ -45,12 +45,9 @@ def report_runs(spark, sf):
 
 def stored_runs(spark, sf):
     """The runs as read back from their report files, stored for comparisons that read them several times."""
-    tiles, scenes = cut_lineage(tile_runs(spark, sf), "runs"), X.scenes(spark, sf)
-    paths = {d: scratch_path(spark, f"report-{d}") for d in DETECTORS}
-    for detector, path in paths.items():
-        rows = tiles.filter(F.col("detector") == detector).drop("detector")
-        write_tile_report(T.locate_tiles(rows, scenes, X.GRID), path)
-    return cut_lineage(load_runs(spark, paths, scenes, X.GRID), "runs")
+    scenes, path = cut_lineage(X.scenes(spark, sf), "scenes"), scratch_path(spark, "reports")
+    write_run_reports(T.locate_tiles(tile_runs(spark, sf), scenes, X.GRID), path)
+    return cut_lineage(load_runs(spark, path, scenes, X.GRID), "runs")
 
 
 def verdicts(runs):

@@ -100,13 +100,14 @@ def _clip(px: DataFrame, window: Window | None) -> DataFrame:
     return px.filter((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
 
 
-def px20(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = False) -> DataFrame:
+def px20(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = True) -> DataFrame:
+    """20 m bands. ``placed`` deals out the coarse rows by block before they are enlarged."""
     cols = {b: F.expr(f"{b} + ((i * 3 + j) * {m}) % 53") for b, m in TWENTY.items()}
     return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 3), 3, cols), window)
 
 
-def px10(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = False) -> DataFrame:
-    """10 m bands and the display RGB; a (y0, y1, x0, x1) window reads less."""
+def px10(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = True) -> DataFrame:
+    """10 m bands and the display RGB; a (y0, y1, x0, x1) window reads less, ``placed`` as above."""
     return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 6), 6, {
         "b02": F.expr("case when b02 = 0 then 0 else b02 + ((i * 6 + j) * 37) % 101 end"),
         "b03": F.expr("b03 + ((i * 6 + j) * 41) % 103"),

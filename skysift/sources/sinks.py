@@ -5,6 +5,8 @@ Files are laid out below ``scene_id=...`` folders, so that readers prune scenes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,13 @@ def valid_chips(px: DataFrame, valid_tiles: DataFrame, grid: SceneGrid) -> DataF
         lambda c: F.struct(byte(c, 16).alias("r"), byte(c, 8).alias("g"), byte(c, 0).alias("b")))
 
 
-def report_rows(located: DataFrame) -> DataFrame:
+def report_rows(located: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Tile rows as the fixed-width text of the report; invalid tiles are kept."""
     printed = {c: F.format_string("%.8f", F.col(c)) for c in REPORT_COLUMNS[:4]}
     return located.withColumns({
         **printed, "cloud_cover_percent": F.format_string("%.6f", F.col("cloud_cover_percent")),
         "valid": F.when(F.col("valid"), "True").otherwise("False"),
-    }).select("scene_id", "tile_row", "tile_col", *REPORT_COLUMNS)
+    }).select(*more, "scene_id", "tile_row", "tile_col", *REPORT_COLUMNS)
 
 
 def write_tile_report(located: DataFrame, path: str) -> None:
@@ -70,8 +72,17 @@ def write_tile_report(located: DataFrame, path: str) -> None:
 
     A scene has a fixed number of tiles and goes to one task, hence one file.
     """
-    rows = report_rows(located).repartition("scene_id").sortWithinPartitions("scene_id", "tile_row", "tile_col")
-    rows.select("scene_id", *REPORT_COLUMNS).write.partitionBy("scene_id").option("header", "true").csv(path)
+    _write_reports(report_rows(located), ["scene_id"], path)
+
+
+def write_run_reports(located: DataFrame, path: str) -> None:
+    """The same for the rows of several runs, below ``detector=...`` folders."""
+    _write_reports(report_rows(located, ["detector"]), ["detector", "scene_id"], path)
+
+
+def _write_reports(rows: DataFrame, folders: list[str], path: str) -> None:
+    ordered = rows.repartition(*folders).sortWithinPartitions(*folders, "tile_row", "tile_col")
+    ordered.select(*folders, *REPORT_COLUMNS).write.partitionBy(*folders).option("header", "true").csv(path)
 
 
 def write_chips(chips: DataFrame, path: str) -> None:

@@ -47,9 +47,9 @@ def off_if_zero(value: Column) -> Column:
     return F.nullif(value, F.lit(0))
 
 
-def scan_tile_report(spark: SparkSession, path: str) -> DataFrame:
-    """Report files below ``scene_id=...`` folders, as text columns; the header must match."""
-    return spark.read.option("header", "true").option("enforceSchema", "false").schema(REPORT_SCHEMA + ", scene_id bigint").csv(path)
+def scan_tile_report(spark: SparkSession, path: str, folders: str = "") -> DataFrame:
+    """Report files below ``scene_id=...`` folders, as text columns; the header must match. ``folders`` declares further ones."""
+    return spark.read.option("header", "true").option("enforceSchema", "false").schema(REPORT_SCHEMA + f", {folders}scene_id bigint").csv(path)
 
 
 def identify_tiles(report: DataFrame, scenes: DataFrame, grid: SceneGrid) -> DataFrame:
@@ -74,18 +74,14 @@ def typed_report(report: DataFrame) -> DataFrame:
     return report.withColumns({**{c: F.col(c).cast("double") for c in numbers}, "valid": F.col("valid") == "True"})
 
 
-def load_runs(spark: SparkSession, reports: dict[str, str], scenes: DataFrame, grid: SceneGrid) -> DataFrame:
-    """Tile rows of finished runs from their report files; ``reports`` maps the detector to its folder.
+def load_runs(spark: SparkSession, path: str, scenes: DataFrame, grid: SceneGrid) -> DataFrame:
+    """Tile rows of finished runs from their report files below ``detector=...`` folders.
 
     A printed percentage of six decimals gives the pixel count back exactly.
     """
-    runs = None
-    for detector, path in reports.items():
-        rows = typed_report(identify_tiles(scan_tile_report(spark, path), scenes, grid)).select(
-            F.lit(detector).alias("detector"), "scene_id", "tile_row", "tile_col", "cloud_cover_percent",
-            percent_to_count(F.col("cloud_cover_percent"), grid.tile_pixels).alias("cloud_pixels"), "valid")
-        runs = rows if runs is None else runs.unionByName(rows)
-    return runs
+    return typed_report(identify_tiles(scan_tile_report(spark, path, "detector string, "), scenes, grid)).select(
+        "detector", "scene_id", "tile_row", "tile_col", "cloud_cover_percent",
+        percent_to_count(F.col("cloud_cover_percent"), grid.tile_pixels).alias("cloud_pixels"), "valid")
 
 
 def scan_run_summary(spark: SparkSession, path: str) -> DataFrame:
