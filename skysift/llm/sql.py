@@ -62,7 +62,7 @@ d as (
   select doc_id, source, lang, strlen(coalesce(text, '')) + 1 as size, hex(coalesce(text, '')) as h from documents),
 ends as (select min(doc_id) as id_low, max(doc_id) as id_high, min(source) as source_low, max(source) as source_high, min(lang) as lang_low, max(lang) as lang_high from d),
 c as (
-  select doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+  select doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::bigint)),
       lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as text_crc32,
     least(2 * (length(bin(size)) - 1) + case when size > 1 then (size >> (length(bin(size)) - 2)) & 1 else 0 end, {top - 1}) as c_size,
     ((doc_id - id_low) * {top} // (id_high - id_low + 1))::bigint as c_id, {string_cell("source")} as c_source, {string_cell("lang")} as c_lang
