@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from skysift.llm.common import list_array, ramp, steps, text_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Bytes from which merging uses a heap.
+SHORT = 96
 #: Bytes of a leaf of the tree, and pieces and pairs a worker remembers.
 LEAF, KNOWN = 24, 250_000
 #: Tokens decoded in one step (more where one text has more).
@@ -96,10 +98,28 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The encoding of a short run of bytes: merge the leftmost pair of least rank until none is left."""
+    """The encoding of a run of bytes: merge the leftmost pair of least rank until none is left."""
     n = len(data)
     if n == 1:
         return [ranks[data]]
+    if n > SHORT:
+        return _merge_long(data, ranks)
+    get, none = ranks.get, len(ranks) + 256
+    cut = list(range(n + 1))
+    rank = [get(data[i:i + 2], none) for i in range(n - 1)]
+    while rank and (least := min(rank)) != none:
+        i = rank.index(least)
+        del cut[i + 1], rank[i]
+        if i < len(rank):
+            rank[i] = get(data[cut[i]:cut[i + 2]], none)
+        if i:
+            rank[i - 1] = get(data[cut[i - 1]:cut[i + 1]], none)
+    return [ranks[data[a:b]] for a, b in zip(cut, cut[1:])]
+
+
+def _merge_long(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap, for windows that have grown."""
+    n = len(data)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i:i + 2])) is not None]
