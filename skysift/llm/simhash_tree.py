@@ -231,13 +231,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The documents, all columns, with one row of each component.
+    """The documents, all columns, with one row of each component."""
+    return keep_least(docs, near_duplicates(docs, shingle))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with one row of each component (root) of ``found`` (doc_id, tag, root).
 
     The row with the smallest id stays (of several texts with that id the one of
     least hash, of equal rows one); a null id stays only where there is no other.
     """
     key = lambda c: F.coalesce(c.cast("bigint"), F.lit(-(1 << 63)))
-    stay = near_duplicates(docs, shingle).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("row"))
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("row"))
     stay = stay.select(key(F.col("row.doc_id")).alias("_key"), F.col("row.tag").alias("_tag"))
     keyed = docs.withColumns({"_key": key(F.col("doc_id")), "_tag": F.xxhash64("text")})
     return keyed.join(stay, ["_key", "_tag"], "left_semi").dropDuplicates(["_key", "_tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
