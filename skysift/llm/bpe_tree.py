@@ -1,13 +1,14 @@
-"""Byte-level BPE as a tree reduction.
+"""Byte-level BPE, long pieces as a tree reduction.
 
-Encoding is a reduction over the halves of a piece. Two encoded neighbours join
+Pieces of at most ``LEAF`` bytes, which nearly all are, are merged directly.
+Encoding a longer piece is a reduction over its halves. Two encoded neighbours join
 by re-encoding a window around their border: a sequence of tokens is the
 encoding of its bytes exactly when every two adjacent tokens are (the pair
 encodes to itself), because merges inside a token don't look at its neighbours
 and the first merge across a border would already happen in the pair alone. So
 a window has grown far enough once the token left of it and the token right of
-it each form such a pair with the window's edge. Decoding is the same reduction with
-concatenation.
+it each form such a pair with the window's edge. Decoding is a flat lookup of the
+tokens' bytes, one after the other; it needs no tree.
 
 The matches of the splitting pattern are found for a whole batch of texts from
 the classes of their bytes, each different match is reduced once, and its tokens
