@@ -227,17 +227,24 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words", coverage: int =
     return (F.col(n_hit) > 0) & (coverage * F.col(n_hit) >= F.col(n_words))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", window: int = WINDOW, coverage: int = COVERAGE,
+                  longest: int | None = None) -> DataFrame:
     """The documents, all columns, without contamination.
 
     Documents whose hit words reach the coverage limit go (``remove="documents"``),
     or lose the words of their hit spans (``"spans"``; the words left are joined by
-    one space). Documents below the limit stay as they are.
+    one space). Documents below the limit stay as they are, except that with
+    ``longest`` they lose the words of hit spans of more words than that.
     """
     found = hits(docs, bench, docs.columns, window).withColumn("_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)"))
     bad = contaminated("_hit", "n_words", coverage)
     if remove == "documents":
-        return found.filter(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
-    spared = F.expr(r"""array_join(filter(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0),
-        (w, i) -> not exists(spans, s -> i >= s.start and i < s.end)), ' ')""")
-    return found.withColumn("text", F.when(bad, spared).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        found = found.filter(~bad)
+    if remove == "documents" and longest is None:
+        return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    without = lambda least: F.expr(rf"""array_join(filter(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0),
+        (w, i) -> not exists(spans, s -> s.end - s.start > {least} and i >= s.start and i < s.end)), ' ')""")
+    text = F.when(bad, without(0))
+    if longest is not None:
+        text = text.when(F.exists("spans", lambda s: s["end"] - s["start"] > longest), without(longest))
+    return found.withColumn("text", text.otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])

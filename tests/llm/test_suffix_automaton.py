@@ -71,3 +71,12 @@ def test_removal(spark, documents):
     assert sorted(r.doc_id for r in kept) == [1, 2, 3] and set(kept[0].asDict()) == set(docs.columns)
     cut = {r.doc_id: r.text for r in suffix_automaton.decontaminate(docs, items, remove="spans").collect()}
     assert cut == {0: "Clean text The rest", 1: "long " * 1000 + passage, 2: "clean", 3: None}
+
+
+def test_long_spans_go_below_the_coverage(spark, documents):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = documents(["long " * 2000 + passage + " tail", "long " * 2000 + " ".join(passage.split()[:20]), passage, None])
+    items = bench(spark, [(1, passage)])
+    for remove, rest in (("documents", {}), ("spans", {2: ""})):
+        got = {r.doc_id: r.text for r in suffix_automaton.decontaminate(docs, items, remove=remove, longest=30).collect()}
+        assert got == {0: "long " * 2000 + "tail", 1: docs.collect()[1].text, 3: None} | rest
