@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe_tree, byte_conv, fm_index, hilbert_shards, host_rules, longest_match, pii_votes, revisits, simhash_tree, sql, suffix_automaton
+from skysift.llm import (
+    bpe_tree, byte_conv, centroids, fm_index, hilbert_shards, host_rules, longest_match, phrases, pii_votes, revisits, simhash_tree, sql, suffix_automaton, url_filter,
+)
 from skysift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +89,19 @@ def op3_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
     headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))), "\n")
     return found.select("record_id", "canonical", "status", "refers_to", "digest", headers.alias("headers"))
+
+
+@query
+def op11_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.rule_table(spark), url_filter.junk_pages(pages)).select("doc.page_id", "host", "path", "rule", "verdict", "listed")
+
+
+@query
+def op13_integer_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(table(spark, sf_dir, "embeddings")))

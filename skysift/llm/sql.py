@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from skysift.llm import hilbert_shards, host_rules, revisits
+from string import ascii_lowercase, ascii_uppercase
+
+from skysift.llm import centroids, hilbert_shards, host_rules, phrases, revisits, url_filter
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -118,4 +120,82 @@ from judged
 """
 
 
-ORACLES = {"op3_not_modified_revisits": _revisits(), "op6_host_rules": _host_rules(), "op7_hilbert_shards": _hilbert_shards()}
+
+def _canonical(url: str) -> str:
+    """The canonical form of a URL expression; its fragment goes first."""
+    head, u = "^[A-Za-z][A-Za-z0-9+.-]*://", f"regexp_replace({url}, '#.*$', '')"
+    query = f"array_to_string(list_sort(list_filter(string_split(regexp_extract({u}, '[?](.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))), '&')"
+    return rf"""(regexp_replace(regexp_replace(lower(regexp_extract({u}, '{head}([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract({u}, '{head}[^/?]*([^?]*)', 1), '/+$', '') || case when {query} = '' then '' else '?' || {query} end)"""
+
+
+def _collocations() -> str:
+    least, top, inside = phrases.SUPPORT, phrases.TOP, phrases.INSIDE_PERCENT
+    return rf"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[.,;:!?\x0A-\x0D]')) as x from documents),
+w as (select lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda y: y <> '') as ws from piece),
+total as (select lang, sum(len(ws))::bigint as n from w group by lang),
+size as (select unnest(range(1, {phrases.LONGEST + 1})) as k),
+occ as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from w, size),
+f as (select lang, k, phrase, count(*) as a from occ group by all having count(*) >= {least}),
+cut as (
+  select f.lang, f.k, phrase, a, size.k as c, array_to_string(string_split(phrase, ' ')[1:size.k], ' ') as head, array_to_string(string_split(phrase, ' ')[size.k + 1:], ' ') as tail
+  from f, size where size.k < f.k),
+scored as (
+  select cut.*, x.a as l, y.a as r, (1000000::hugeint * cut.a * cut.a // (x.a::hugeint * y.a))::bigint as score
+  from cut join f x on x.lang = cut.lang and x.phrase = head join f y on y.lang = cut.lang and y.phrase = tail),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+longer as (
+  select lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as phrase, a as longer from f where k = 3),
+kept as (
+  select * from lowest t where not exists (select 1 from longer o where o.lang = t.lang and o.phrase = t.phrase and 100 * o.longer >= {inside} * t.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join total using (lang) qualify rank <= {top}
+"""
+
+
+def _url_filter() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+    return rf"""
+with rules(verdict, h, p) as (values {rules}),
+page as (
+  select row_number() over () as i, page_id, {_canonical("case when contains(url, '://') then url end")} as canonical, html,
+    translate(coalesce(regexp_extract(url, '{url_filter.PARTS}', 1), ''), '{ascii_uppercase}', '{ascii_lowercase}') as host, coalesce(regexp_extract(url, '{url_filter.PARTS}', 2), '') as path from pages),
+bad as (select distinct {_canonical("url")} as canonical from pages where regexp_matches(html, '{url_filter.JUNK}')),
+fit as (
+  select i, h || p as rule, verdict from page join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+  qualify row_number() over (partition by i order by length(h || p) desc, length(h) desc, verdict desc) = 1)
+select page_id, host, path, rule, coalesce(verdict, case when bad.canonical is not null then 'block' else 'allow' end) as verdict, bad.canonical is not null as listed
+from page left join fit using (i) left join bad on bad.canonical = page.canonical
+"""
+
+
+def _centroids() -> str:
+    size = centroids.SIZE
+    far = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint"
+    parts = [f"""q as materialized (
+  select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::bigint) as v from embeddings
+  where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size})""",
+        f"""c0 as materialized (
+  select row_number() over (order by h) - 1 as k, v as c from (select sha256('{centroids.SEED}:' || vec_id) as h, v from q order by h limit {centroids.CLUSTERS}))"""]
+    for r in range(centroids.ROUNDS + 1):
+        parts.append(f"a{r} as materialized (select i, any_value(vec_id) as vec_id, any_value(v) as v, min({{'d': {far}, 'k': k}}) as best from q, c{r} group by i)")
+        if r < centroids.ROUNDS:
+            parts.append(f"""c{r + 1} as materialized (
+  select k, coalesce(m.c, c{r}.c) as c from c{r} left join (
+    select k, list((s - ((s % n) + n) % n) // n order by j) as c from (
+      select best.k as k, j, sum(v[j])::bigint as s, count(*) as n from a{r}, range(1, {size + 1}) t(j) group by all) group by k) m using (k))""")
+    last = centroids.ROUNDS
+    return f"""
+with {", ".join(parts)}
+select vec_id, best.k::int as cluster, best.d as distance, sum(best.d) over (partition by best.k)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256
+from a{last} join c{last} on c{last}.k = best.k
+"""
+
+
+ORACLES = {
+    "op3_not_modified_revisits": _revisits(), "op6_host_rules": _host_rules(), "op7_hilbert_shards": _hilbert_shards(),
+    "op11_son_collocations": _collocations(), "op12_bloom_url_filter": _url_filter(), "op13_integer_centroids": _centroids(),
+}
