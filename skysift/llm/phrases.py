@@ -47,7 +47,7 @@ SHARDS = 5
 #: Parts of a hot phrase's lookups, and of a language's ranking.
 SALTS, RANKERS = 8, 64
 #: Bytes of text whose occurrences are counted together.
-STEP = 16 << 20
+STEP = 4 << 20
 
 #: Pieces end at these; words at these and at space and tab.
 ENDS = ~byte_class((0x0A, 0x0D), *[(ord(c), ord(c)) for c in ".,;:!?"])
