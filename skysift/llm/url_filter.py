@@ -102,8 +102,9 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, carry: Sequence
         F.monotonically_increasing_id().alias("row"), "doc", "host", "path", F.filter("keys", lambda k, i: F.get("maybe", i)).alias("keys")), "tested")
     filter_.destroy()
     asked = tested.filter(F.size("keys") > 0).withColumn("key", F.explode("keys")).drop("keys")
-    real = cut_lineage(asked.select("key").distinct().join(keys, "key"), "real")
-    spread = real.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    # Written with its salts, so that Spark knows the size it would broadcast.
+    spread = cut_lineage(asked.select("key").distinct().join(keys, "key").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), "real")
     found = asked.withColumn("salt", F.pmod("row", F.lit(SALTS))).join(spread, ["key", "salt"], "left")
     best = found.groupBy("row").agg(
         F.first("doc").alias("doc"), F.first("host").alias("host"), F.first("path").alias("path"),
