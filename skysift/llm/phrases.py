@@ -4,20 +4,21 @@ Documents are dealt to ``SHARDS`` shards by a hash of their text. A phrase with
 ``support`` occurrences in a language occurs in at least one shard as often as that
 shard's share of the language's words asks for, so
 
-1. words are counted by shard and language,
-2. each shard is mined completely: its phrases that reach
-   ceil(support * words of the shard / words of the language) remain,
-3. the union of what remains is the list of candidates, and
-4. a second scan counts all candidates over all shards exactly. A bounded Bloom filter
-   of the candidates thins what this scan has to shuffle; the join decides.
+1. each shard is mined completely, word by word longer: of its phrases those remain that
+   reach ceil(support * words of the shard / words of the language). A longer phrase is
+   only looked at where both phrases it is made of may have remained,
+2. the union of what remains is the list of candidates, and
+3. another scan counts all candidates over all shards exactly.
 
 The number of shards doesn't grow with the data: a shard is a fifth of the corpus,
 itself counted by many tasks. With as many shards as tasks the lowered support would
 be one occurrence, and nothing would be pruned.
 
-Inside a task occurrences are counted by numpy before anything leaves it, so a frequent
-word costs one row a step. Lookups of parts of phrases are salted, since one word can
-begin a large share of all phrases.
+Mining works on 64-bit hashes, where a collision can only add a candidate; the last scan
+counts words. The candidates reach the scans as a Bloom filter of bounded size, and the
+join at the end decides. Inside a task occurrences are counted by numpy before anything
+leaves it, so a frequent word costs one row a step. Lookups of parts of phrases are
+salted, since one word can begin a large share of all phrases.
 
 Defined cases: a null text has no words, a null language is "und". Words are joined by
 one space; a word holds no space, so phrases are unambiguous. Repeated rows count each
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.llm import bloom
-from skysift.llm.common import LOWER, byte_class, steps, text_bytes, word_array, words
+from skysift.llm.common import LOWER, byte_class, ramp, steps, text_bytes, word_array, words
 from skysift.session import cut_lineage, drop_scratch
 
 SUPPORT, LONGEST, TOP = 10, 3, 2000
@@ -66,47 +67,60 @@ def _encode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
 
 
+def _hashes(names: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary values: polynomials over their bytes."""
+    _, offsets, data = names.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[names.offset:names.offset + len(names) + 1]
+    data = np.frombuffer(data, np.uint8)[cuts[0]:cuts[-1]]
+    sizes = np.diff(cuts)
+    powers = np.cumprod(np.full(int(sizes.max()), ODD, np.uint64))
+    return _stir(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[ramp(sizes)], cuts[:-1] - cuts[0]))
+
+
 class Step:
-    """The phrases of one step: distinct ones of each group of documents, with counts and hashes."""
+    """The phrases of one step of text: distinct ones of each group of documents, with counts and hashes."""
 
-    def __init__(self, texts: pa.Array, group: np.ndarray):
+    def __init__(self, texts: pa.Array, group: np.ndarray, seeds: np.ndarray):
         data, offsets = text_bytes(texts)
         data = LOWER[data]
         starts, ends, bounds = words(data, offsets, WORD)
-        self.n = np.diff(bounds)
+        self.own = np.zeros(0, np.int64)
         if not len(starts):
-            self.words, self.own = pa.array([], pa.binary()), np.zeros(0, np.int64)
             return
         coded = word_array(data, starts, ends, WORD).dictionary_encode()
-        self.words = coded.dictionary
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
-        text = np.repeat(np.arange(len(self.n)), self.n)
-        self.joined = (text[1:] == text[:-1]) & (np.diff(np.cumsum(ENDS[data])[starts]) == 0)
-        size = len(self.words)
+        self.words, size = coded.dictionary, len(coded.dictionary)
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        # Whether the next word belongs to the same piece.
+        self.joined = np.append((text[1:] == text[:-1]) & (np.diff(np.cumsum(ENDS[data], dtype=np.int32)[starts]) == 0), False)
         # Ids of (group, word).
         self.own, base = _encode(group[text] * size + coded.indices.to_numpy())
-        self.base_group, self.base_word = base // size, base % size
+        self.group, self.word = base // size, base % size
+        self.hashes = _hashes(self.words)
+        self.seeds = seeds
+
+    def phrases(self, longest: int, listed: bloom.Bloom | None = None) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """For 1 to ``longest`` words: their number; group, words by position, count and hash of each distinct phrase.
 
-    def phrases(self, longest: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """For 1 to ``longest`` words: group, word ids by position, count and 64-bit hash of each distinct phrase."""
+        With ``listed`` a longer phrase is only built where both phrases that it is made of may be listed.
+        """
         if not len(self.own):
             return
-        ids, last, at = self.own, [self.base_word], np.arange(len(self.own))
-        group = self.base_group
-        hashes = _stir(self.hashes[self.base_word] * ODD + np.uint64(1))
+        ids, at, group, places = self.own, np.arange(len(self.own)), self.group, [self.word]
+        inner = self.hashes[self.word]
         for k in range(1, longest + 1):
-            yield group, last, np.bincount(ids, minlength=len(group)), hashes
+            h = _stir(inner ^ self.seeds[group]).view(np.int64)
+            yield k, group, places, np.bincount(ids, minlength=len(group)), h
             if k == longest:
                 return
-            # Occurrences that go on: the gap behind their last word ends no piece.
-            on = np.flatnonzero((at + k - 1 < len(self.joined)) & self.joined[np.minimum(at + k - 1, len(self.joined) - 1)]) if len(self.joined) else np.zeros(0, np.int64)
+            alive = np.full(len(self.own) + 1, -1)
+            alive[at] = ids if listed is None else np.where(listed.might_hold(h)[ids], ids, -1)
+            on = np.flatnonzero((alive[:-1] >= 0) & (alive[1:] >= 0) & self.joined)
             if not len(on):
                 return
-            codes = ids[on] * len(self.base_word) + self.own[at[on] + k]
-            ids, at = (x := _encode(codes))[0], at[on]
-            head, tail = x[1] // len(self.base_word), x[1] % len(self.base_word)
-            group, last = group[head], [p[head] for p in last] + [self.base_word[tail]]
-            hashes = _stir((hashes[head] + self.hashes[last[-1]]) * ODD + np.uint64(1))
+            ids, codes = _encode(alive[on] * len(self.word) + self.own[on + k])
+            at, head, tail = on, codes // len(self.word), self.word[codes % len(self.word)]
+            group, places = group[head], [p[head] for p in places] + [tail]
+            inner = _stir(inner[head] * ODD + self.hashes[tail])
 
     def names(self, places: list[np.ndarray]) -> pa.Array:
         parts = [self.words.take(pa.array(p)) for p in places]
@@ -114,48 +128,6 @@ class Step:
         return joined.cast(pa.large_string()).cast(pa.string())
 
 
-def _groups(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Group of each row, and shard and language of each group."""
-    lang = batch.column("lang").dictionary_encode()
-    shard = batch.column("shard").to_numpy()
-    group, pairs = _encode(lang.indices.to_numpy().astype(np.int64) * SHARDS + shard)
-    return group, pairs % SHARDS, lang.dictionary.take(pa.array(pairs // SHARDS))
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in steps(batches):
-        data, offsets = text_bytes(part.column("text"))
-        n = np.diff(words(data, offsets, WORD)[2])
-        group, shard, lang = _groups(part)
-        yield pa.record_batch({"shard": pa.array(shard), "lang": lang, "n": pa.array(np.bincount(group, n, len(shard)).astype(np.int64))})
-
-
-def _tally(longest: int, listed=None):
-    """(shard, lang, size, phrase, h, n): phrases counted by step; only those that ``listed`` may hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _gathered(batches):
-            group, shard, lang = _groups(part)
-            step = Step(part.column("text"), group)
-            lang_hash = np.array([xxhash.xxh64_intdigest(x) for x in lang.to_pylist()], np.uint64)
-            for k, (own, places, n, h) in enumerate(step.phrases(longest), 1):
-                h = (h ^ lang_hash[own]).view(np.int64)
-                keep = slice(None)
-                if listed is not None:
-                    keep = np.flatnonzero(listed.value.might_hold(h))
-                    own, places, n, h = own[keep], [p[keep] for p in places], n[keep], h[keep]
-                for i in range(0, len(own), 1 << 17):
-                    cut = slice(i, i + (1 << 17))
-                    yield pa.record_batch({
-                        "shard": pa.array(shard[own[cut]]), "lang": lang.take(pa.array(own[cut])), "size": pa.array(np.full(len(own[cut]), k, np.int32)),
-                        "phrase": step.names([p[cut] for p in places]), "h": pa.array(h[cut]), "n": pa.array(n[cut].astype(np.int64))})
-
-    return run
-
-
-TALLY = "shard bigint, lang string, size int, phrase string, h bigint, n bigint"
-
-
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows in steps of about ``STEP`` bytes of text, put together from small batches and cut from large ones."""
     waiting, size = [], 0
@@ -170,30 +142,88 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from steps(iter([pa.concat_batches(waiting)]), size=STEP)
 
 
+def _walk(batches: Iterator[pa.RecordBatch], longest: int, listed: bloom.Bloom | None):
+    """What ``Step.phrases`` finds, with the step and the shard, language and language hash of each group."""
+    for part in _gathered(batches):
+        lang = part.column("lang").dictionary_encode()
+        group, pairs = _encode(lang.indices.to_numpy().astype(np.int64) * SHARDS + part.column("shard").to_numpy())
+        names = lang.dictionary.take(pa.array(pairs // SHARDS))
+        seeds = np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()], np.uint64)
+        step = Step(part.column("text"), group, seeds)
+        for found in step.phrases(longest, listed):
+            yield step, pairs % SHARDS, names, seeds.view(np.int64), found
+
+
+ROWS = 1 << 17
+
+
+def _mine(size: int, listed=None):
+    """(shard, tongue, h, n) of the phrases of ``size`` words, counted by step; tongue is the hash of the language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, shard, _, seeds, (k, group, _, n, h) in _walk(batches, size, listed and listed.value):
+            for i in range(0, len(group) if k == size else 0, ROWS):
+                cut = slice(i, i + ROWS)
+                yield pa.record_batch({
+                    "shard": pa.array(shard[group[cut]].astype(np.int32)), "tongue": pa.array(seeds[group[cut]]), "h": pa.array(h[cut]), "n": pa.array(n[cut].astype(np.int64))})
+
+    return run
+
+
+def _count(longest: int, listed):
+    """(lang, size, phrase, h, n) of the phrases that ``listed`` may hold, counted by step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, _, names, _, (k, group, places, n, h) in _walk(batches, longest, listed.value):
+            keep = np.flatnonzero(listed.value.might_hold(h))
+            for i in range(0, len(keep), ROWS):
+                cut = keep[i:i + ROWS]
+                yield pa.record_batch({
+                    "lang": names.take(pa.array(group[cut])), "size": pa.array(np.full(len(cut), k, np.int32)),
+                    "phrase": step.names([p[cut] for p in places]), "h": pa.array(h[cut]), "n": pa.array(n[cut].astype(np.int64))})
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, tongue, lang, n): words by shard and language."""
+    for _, shard, names, seeds, (_, group, _, n, _) in _walk(batches, 1, None):
+        yield pa.record_batch({
+            "shard": pa.array(shard.astype(np.int32)), "tongue": pa.array(seeds), "lang": names, "n": pa.array(np.bincount(group, n, len(shard)).astype(np.int64))})
+
+
 def _exact(x: Column) -> Column:
     return x.cast("decimal(18,0)")
 
 
 def counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, n) of all phrases of 1 to ``longest`` words that occur ``support`` times, and (lang, total) words."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
         F.pmod(F.xxhash64("text"), F.lit(SHARDS)).alias("shard"))
-    sizes = cut_lineage(rows.mapInArrow(_totals, "shard bigint, lang string, n bigint").groupBy("shard", "lang").agg(F.sum("n").alias("n")), "sizes")
+    sizes = rows.mapInArrow(_totals, "shard int, tongue bigint, lang string, n bigint").groupBy("shard", "tongue", "lang").agg(F.sum("n").alias("n"))
+    sizes = cut_lineage(sizes, "sizes")
     totals = cut_lineage(sizes.groupBy("lang").agg(F.sum("n").alias("total")).filter("total > 0"), "totals")
     # The smallest whole number that reaches the shard's share of the support.
-    share = sizes.join(totals, "lang").select("shard", "lang", F.greatest(F.lit(1), F.expr(f"({support} * n + total - 1) div total")).alias("least"))
-    share = cut_lineage(share, "share")
-    mined = rows.mapInArrow(_tally(longest), TALLY).groupBy("shard", "lang", "phrase").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
-    local = mined.join(share, ["shard", "lang"]).filter("n >= least")
-    candidates = cut_lineage(local.groupBy("lang", "phrase").agg(F.first("h").alias("h")), "candidates")
-    listed = spark.sparkContext.broadcast(bloom.build(candidates))
-    seen = rows.mapInArrow(_tally(longest, listed), TALLY).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
-    found = cut_lineage(seen.filter(F.col("n") >= support).join(candidates.select("lang", "phrase"), ["lang", "phrase"], "left_semi"), "found")
+    share = cut_lineage(sizes.join(totals, "lang").select(
+        "shard", "tongue", F.greatest(F.lit(1), F.expr(f"({support} * n + total - 1) div total")).alias("least")), "share")
+    candidates, listed = None, None
+    for size in range(1, longest + 1):
+        mined = rows.mapInArrow(_mine(size, listed), "shard int, tongue bigint, h bigint, n bigint").groupBy("shard", "tongue", "h").agg(F.sum("n").alias("n"))
+        found = mined.join(share, ["shard", "tongue"]).filter("n >= least").select("h").distinct()
+        new = cut_lineage(found if candidates is None else candidates.unionByName(found), "candidates")
+        drop_scratch(*[t for t in (candidates,) if t])
+        candidates = new
+        if listed:
+            listed.destroy()
+        listed = sc.broadcast(bloom.build(candidates))
+    seen = rows.mapInArrow(_count(longest, listed), "lang string, size int, phrase string, h bigint, n bigint").groupBy("lang", "size", "phrase", "h").agg(F.sum("n").alias("n"))
+    frequent = seen.filter(F.col("n") >= support).join(candidates, "h", "left_semi").select("lang", "size", "phrase", "n")
+    frequent = cut_lineage(frequent, "frequent")
     listed.destroy()
     drop_scratch(sizes, share, candidates)
-    return found, totals
+    return frequent, totals
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP) -> DataFrame:
