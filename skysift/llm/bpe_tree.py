@@ -18,7 +18,8 @@ split by the pattern itself.
 
 Defined cases: a null or empty text has no tokens and decodes to no bytes. Rows
 are encoded one by one, so repeated rows and ties need no rule. Columns named in
-``carry`` come through unchanged, others are not read. The rank file must be
+``carry`` come through unchanged (``encode`` gives one called ``token_ids`` back as
+``token_ids_``), others are not read. The rank file must be
 readable on the executors, as installed packages are.
 """
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -36,8 +37,9 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from skysift.llm.common import list_array, ramp, steps, text_bytes
+from skysift.llm.common import free_names, list_array, ramp, steps, text_bytes
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes from which merging uses a heap.
@@ -260,15 +262,15 @@ def encode(docs: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = RAN
         own = codec(ranks, pattern)
         for part in steps(batches, "_text"):
             ids, counts = own.encode_all(part.column("_text"))
-            yield pa.record_batch([*part.columns[1:], list_array(pa.array(ids), counts)], [*part.schema.names[1:], "token_ids"])
+            yield pa.record_batch([*part.columns[1:], list_array(pa.array(ids), counts)], [*names, "token_ids"])
 
-    return _map(docs.select(F.col("text").alias("_text"), *carry), run, docs, carry, "token_ids array<int>")
+    names = free_names(carry, ("token_ids",))
+    schema = StructType([*(StructField(n, docs.schema[c].dataType) for n, c in zip(names, carry)), StructField("token_ids", ArrayType(IntegerType()))])
+    return docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)]).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(carry, token_ids, decoded): the bytes that the tokens stand for."""
-    names = [*carry, "token_ids"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
@@ -282,11 +284,7 @@ def decode(tokens: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = R
                 data, size = own.decode(lists.flatten().to_numpy())
                 ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))]
                 cells = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.record_batch([*part.columns, cells], [*part.schema.names, "decoded"])
-
-    return _map(tokens.select(*names), run, tokens, names, "decoded binary")
-
+                yield pa.record_batch([*part.columns, cells], schema.names)
 
-def _map(df: DataFrame, run: Callable, schema_of: DataFrame, carry: Sequence[str], more: str) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in schema_of.schema.fields}
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), more]))
+    schema = StructType([*(tokens.schema[n] for n in (*carry, "token_ids")), StructField("decoded", BinaryType())])
+    return tokens.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], "token_ids").mapInArrow(run, schema)

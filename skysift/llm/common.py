@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one step of a batch works on.
 STEP_BYTES = 4 << 20
@@ -96,3 +98,28 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     cuts = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=cuts[1:])
     return pa.ListArray.from_arrays(pa.array(cuts), values)
+
+
+def free_names(carry: Sequence[str], own: Sequence[str]) -> list[str]:
+    """The carried names, with as many underscores behind as keep them apart from an operator's own."""
+    out: list[str] = []
+    for name in carry:
+        while name in own or name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def by_text(docs: DataFrame, carry: Sequence[str], own: str, make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The carried columns and those that ``make`` gives for the texts; ``own`` names and types the latter.
+
+    A carried column with a name of the operator's own gets an underscore behind it.
+    """
+    added = StructType.fromDDL(own)
+    schema = StructType([StructField(n, docs.schema[c].dataType) for n, c in zip(free_names(carry, added.names), carry)] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *make(part.column("_text"))], schema.names)
+
+    return docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)]).mapInArrow(run, schema)

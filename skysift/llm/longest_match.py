@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import PLAIN_WORD, steps, text_bytes, word_array, words
+from skysift.llm.common import PLAIN_WORD, by_text, text_bytes, word_array, words
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -125,23 +125,20 @@ def automaton(ranks: str) -> Automaton:
 
 def token_counts(docs: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = RANKS) -> DataFrame:
     """(carry, n_words, n_tokens, longest): words, greedy pieces, and the most pieces of one word of each whole text."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "n_words bigint, n_tokens bigint, longest bigint"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         own = automaton(ranks)
-        for part in steps(batches, "_text"):
-            data, offsets = text_bytes(part.column("_text"))
-            starts, ends, bounds = words(data, offsets, PLAIN_WORD)
-            total, most = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
-            if len(starts):
-                coded = word_array(data, starts, ends, PLAIN_WORD).dictionary_encode()
-                _, cuts, flat = coded.dictionary.buffers()
-                cuts = np.frombuffer(cuts, np.int64)[:len(coded.dictionary) + 1]
-                each = own.counts(np.frombuffer(flat, np.uint8), cuts[:-1], cuts[1:])[coded.indices.to_numpy()]
-                some = np.flatnonzero(np.diff(bounds))
-                total[some] = np.add.reduceat(each, bounds[some])
-                most[some] = np.maximum.reduceat(each, bounds[some])
-            yield pa.record_batch([*part.columns[1:], pa.array(np.diff(bounds)), pa.array(total), pa.array(most)], [*part.schema.names[1:], "n_words", "n_tokens", "longest"])
-
-    return docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(run, schema)
+        data, offsets = text_bytes(texts)
+        starts, ends, bounds = words(data, offsets, PLAIN_WORD)
+        total, most = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        if len(starts):
+            coded = word_array(data, starts, ends, PLAIN_WORD).dictionary_encode()
+            _, cuts, flat = coded.dictionary.buffers()
+            cuts = np.frombuffer(cuts, np.int64)[:len(coded.dictionary) + 1]
+            each = own.counts(np.frombuffer(flat, np.uint8), cuts[:-1], cuts[1:])[coded.indices.to_numpy()]
+            some = np.flatnonzero(np.diff(bounds))
+            total[some] = np.add.reduceat(each, bounds[some])
+            most[some] = np.maximum.reduceat(each, bounds[some])
+        return [pa.array(np.diff(bounds)), pa.array(total), pa.array(most)]
+
+    return by_text(docs, carry, "n_words bigint, n_tokens bigint, longest bigint", make)

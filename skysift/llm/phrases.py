@@ -10,7 +10,7 @@ shard's share of the language's words asks for, so
 2. the union of what remains is the list of candidates, and
 3. another scan counts all candidates over all shards exactly.
 
-The number of shards doesn't grow with the data: a shard is a fifth of the corpus,
+The number of shards doesn't grow with the data: a shard is a third of the corpus,
 itself counted by many tasks. With as many shards as tasks the lowered support would
 be one occurrence, and nothing would be pruned.
 
@@ -44,7 +44,7 @@ SUPPORT, LONGEST, TOP = 10, 3, 2000
 #: A longer candidate hides those inside it from this share of their count.
 INSIDE_PERCENT = 50
 #: Shards of the corpus; fewer than ``SUPPORT``, so that a shard's own support is more than one.
-SHARDS = 5
+SHARDS = 3
 #: Parts of a hot phrase's lookups, and of a language's ranking.
 SALTS, RANKERS = 8, 64
 #: Bytes of text whose occurrences are counted together.
@@ -142,11 +142,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from steps(iter([pa.concat_batches(waiting)]), size=STEP)
 
 
-def _walk(batches: Iterator[pa.RecordBatch], longest: int, listed: bloom.Bloom | None):
-    """What ``Step.phrases`` finds, with the step and the shard, language and language hash of each group."""
+def _walk(batches: Iterator[pa.RecordBatch], longest: int, listed: bloom.Bloom | None, apart: bool = True):
+    """What ``Step.phrases`` finds, with the step and the shard, language and language hash of each group; shards are kept ``apart``."""
     for part in _gathered(batches):
         lang = part.column("lang").dictionary_encode()
-        group, pairs = _encode(lang.indices.to_numpy().astype(np.int64) * SHARDS + part.column("shard").to_numpy())
+        group, pairs = _encode(lang.indices.to_numpy().astype(np.int64) * SHARDS + part.column("shard").to_numpy() * apart)
         names = lang.dictionary.take(pa.array(pairs // SHARDS))
         seeds = np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()], np.uint64)
         step = Step(part.column("text"), group, seeds)
@@ -174,7 +174,7 @@ def _count(longest: int, listed):
     """(lang, size, phrase, h, n) of the phrases that ``listed`` may hold, counted by step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step, _, names, _, (k, group, places, n, h) in _walk(batches, longest, listed.value):
+        for step, _, names, _, (k, group, places, n, h) in _walk(batches, longest, listed.value, apart=False):
             keep = np.flatnonzero(listed.value.might_hold(h))
             for i in range(0, len(keep), ROWS):
                 cut = keep[i:i + ROWS]

@@ -14,9 +14,10 @@ there are at most 4 * 3**6 * 8 whatever the size of the corpus.
 
 Defined cases: a null or empty text has no spans. Kinds are searched one by one,
 so a base span may overlap one of another kind; an added span overlaps no base
-span and no earlier added one. Repeated rows get equal results and count in the
+span and no other added one; of overlapping candidates the surest stays. Repeated rows get equal results and count in the
 vote as often as they occur. Without candidates nothing is added. Columns named
-in ``carry`` come through unchanged, others are not read.
+in ``carry`` come through unchanged (one called ``spans`` as ``spans_``), others are
+not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import list_array, steps
+from skysift.llm.common import by_text, list_array, steps
 
 KINDS = ("email", "ip", "card", "phone")
 #: Probability from which a candidate is added; rounds of expectation maximisation and of the classifier.
@@ -48,6 +49,8 @@ GROUP = re.compile(r"[0-9]+")
 INNER_PHONE = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(])\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}[\x20]?[\[(]at[\])][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?[\[(]dot[\])][\x20]?[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+#: What every spelled address holds.
+AT = re.compile(r"at[\])]", re.IGNORECASE)
 #: Digits, a plus or an at sign: without one of them there is nothing to find.
 ANY = re.compile(r"[0-9@+\[(]")
 
@@ -115,7 +118,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         elif inner := INNER_PHONE.match(text, *m.span()):
             more.append(("phone", *inner.span()))
     more += (("phone", *m.span()) for m in LOCAL_PHONE.finditer(text))
-    if "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
+    if AT.search(text):
         more += (("email", *m.span()) for m in SPELLED.finditer(text))
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     more.sort(key=lambda s: (s[1], -s[2]))
@@ -123,22 +126,16 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
 
 
 def _inner_cards(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Numbers in a failing chain: one group of 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5."""
+    """Numbers in a failing chain: every run of groups of 3 digits or more that has 12 to 19 digits in all."""
     groups = [m.span() for m in GROUP.finditer(text, start, end)]
-    sizes = [b - a for a, b in groups]
-    i = 0
-    while i < len(groups):
-        if 13 <= sizes[i] <= 19:
-            n = 1
-        elif sizes[i:i + 4] == [4, 4, 4, 4]:
-            n = 4
-        elif sizes[i:i + 3] == [4, 6, 5]:
-            n = 3
-        else:
-            i += 1
-            continue
-        yield groups[i][0], groups[i + n - 1][1]
-        i += n
+    for i, (first, _) in enumerate(groups):
+        digits = 0
+        for a, b in groups[i:i + 6]:
+            digits += b - a
+            if digits > 19 or b - a < 3:
+                break
+            if digits >= 12:
+                yield first, b
 
 
 def ballot(text: str, span: Span) -> tuple[str, int]:
@@ -244,12 +241,18 @@ def spans_of(text: str | None, weights: np.ndarray) -> list[tuple[str, int, int,
     """(kind, start, end, base) by start and kind."""
     base, more = scan(text or "")
     out = [(*s, True) for s in base]
-    taken = sorted((a, b) for _, a, b in base)
-    for s in more:
-        if len(weights) and not any(a < s[2] and s[1] < b for a, b in taken):
-            if 1 / (1 + np.exp(-features(s[0], *ballot(text, s)) @ weights)) >= SURE:
-                out.append((*s, False))
-                taken.append((s[1], s[2]))
+    taken = [(a, b) for _, a, b in base]
+    sure = []
+    for s in more if len(weights) else []:
+        if not any(a < s[2] and s[1] < b for a, b in taken):
+            p = 1 / (1 + np.exp(-features(s[0], *ballot(text, s)) @ weights))
+            if p >= SURE:
+                sure.append((-p, s))
+    # Of overlapping candidates the surest stays, then the first, then the longest.
+    for _, s in sorted(sure, key=lambda x: (x[0], x[1][1], -x[1][2])):
+        if not any(a < s[2] and s[1] < b for a, b in taken):
+            out.append((*s, False))
+            taken.append((s[1], s[2]))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -259,18 +262,15 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 def find(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: np.ndarray | None = None) -> DataFrame:
     """(carry, spans): all personal data of each whole text, in code points; the classifier is fitted if not given."""
     weights = fit(docs) if weights is None else weights
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), f"spans {SPANS}"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, "_text"):
-            found = [spans_of(t, weights) for t in part.column("_text").to_pylist()]
-            flat = [s for own in found for s in own]
-            cells = pa.StructArray.from_arrays(
-                [pa.array([s[i] for s in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.bool_()))], ["kind", "start", "end", "base"])
-            yield pa.record_batch([*part.columns[1:], list_array(cells, np.array([len(s) for s in found], np.int64))], [*part.schema.names[1:], "spans"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        found = [spans_of(t, weights) for t in texts.to_pylist()]
+        flat = [s for own in found for s in own]
+        cells = pa.StructArray.from_arrays(
+            [pa.array([s[i] for s in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.bool_()))], ["kind", "start", "end", "base"])
+        return [list_array(cells, np.array([len(s) for s in found], np.int64))]
 
-    return docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(run, schema)
+    return by_text(docs, carry, f"spans {SPANS}", make)
 
 
 def redact(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
@@ -285,9 +285,7 @@ def redact(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             done = max(done, b)
         return "".join([*out, text[done:]]) if out else text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
-            at = part.schema.get_field_index("text")
-            yield part.set_column(at, "text", pa.array([clean(t) for t in part.column("text").to_pylist()], pa.string()))
-
-    return docs.mapInArrow(run, docs.schema)
+    # The document's own columns travel in a struct, whatever their names.
+    packed = docs.select("text", F.struct("*").alias("doc"))
+    found = by_text(packed, ["doc"], "clean string", lambda texts: [pa.array([clean(t) for t in texts.to_pylist()], pa.string())])
+    return found.select(F.col("doc").withField("text", F.col("clean")).alias("doc")).select("doc.*")

@@ -242,7 +242,8 @@ def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     least hash, of equal rows one); a null id stays only where there is no other.
     """
     key = lambda c: F.coalesce(c.cast("bigint"), F.lit(-(1 << 63)))
-    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("row"))
-    stay = stay.select(key(F.col("row.doc_id")).alias("_key"), F.col("row.tag").alias("_tag"))
-    keyed = docs.withColumns({"_key": key(F.col("doc_id")), "_tag": F.xxhash64("text")})
-    return keyed.join(stay, ["_key", "_tag"], "left_semi").dropDuplicates(["_key", "_tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("least"))
+    stay = stay.select(key(F.col("least.doc_id")).alias("key"), F.col("least.tag").alias("tag"))
+    # The document's own columns travel in a struct, whatever their names.
+    keyed = docs.select(key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("tag"), F.struct("*").alias("doc"))
+    return keyed.join(stay, ["key", "tag"], "left_semi").dropDuplicates(["key", "tag"]).select("doc.*")

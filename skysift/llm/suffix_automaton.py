@@ -8,14 +8,16 @@ and only runs as long as the shortest window are walked word by word.
 
 The items are a stated query set. They are read in blocks of at most
 ``BLOCK_WORDS`` words; each block's automaton is sent to the executors once and
-makes one pass over the documents, so neither the driver nor a task holds more
-than one block.
+makes one pass over the documents. With more than one block the rows are written
+after each pass and the automaton is given back before the next is built, so
+neither the driver nor a task holds more than one.
 
 Defined cases: null, empty and wordless texts have no words, no hits and are not
 contaminated. Items without words have no window. Items with equal ids count as
 one; an item with a null id hits words but is not listed. Every document row is
 judged on its own, so repeated rows get equal results. Columns named in
-``carry`` come through unchanged, others are not read. Empty tables are fine on
+``carry`` come through unchanged (those called like a result get an underscore
+behind), others are not read. Empty tables are fine on
 either side.
 """
 
@@ -28,8 +30,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from skysift.llm.common import ALNUM_WORD, LOWER, list_array, steps, text_bytes, word_array, words
+from skysift.llm.common import ALNUM_WORD, LOWER, free_names, list_array, steps, text_bytes, word_array, words
+from skysift.session import cut_lineage, drop_scratch
 
 WINDOW = 13
 #: A document is contaminated if the hit words are at least one in so many.
@@ -169,14 +173,24 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def hits(docs: DataFrame, bench: DataFrame, carry: Sequence[str] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(carry, n_words, spans, items): word ranges inside windows of ``bench`` (item_id, text), and whose they are."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(["_text string", *(f"`_{i}` {kinds[c]}" for i, c in enumerate(carry)), "_n bigint", f"_spans {SPANS}", "_items array<bigint>"])
+    own = ("n_words", "spans", "items")
+    added = StructType.fromDDL(f"_n bigint, _spans {SPANS}, _items array<bigint>")
+    schema = StructType([StructField("_text", StringType()), *[StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(carry)], *added.fields])
     out = docs.select(
         F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], F.lit(0).cast("bigint").alias("_n"),
         F.expr(f"cast(array() as {SPANS})").alias("_spans"), F.expr("cast(array() as array<bigint>)").alias("_items"))
+    shared, done = None, None
     for block in _blocks(bench, block_words):
-        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(Automaton(block, window))), schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+        if shared:
+            # Further items: what the last block found is written, and its automaton given back, before the next is built.
+            out = cut_lineage(out, "hits")
+            shared.destroy()
+            if done:
+                drop_scratch(done)
+            done = out
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+        out = out.mapInArrow(_pass(shared), schema)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(free_names(carry, own))], *[F.col(f"_{a}").alias(c) for a, c in zip(("n", "spans", "items"), own)])
 
 
 def _blocks(bench: DataFrame, limit: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
@@ -236,15 +250,17 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     one space). Documents below the limit stay as they are, except that with
     ``longest`` they lose the words of hit spans of more words than that.
     """
-    found = hits(docs, bench, docs.columns, window).withColumn("_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)"))
-    bad = contaminated("_hit", "n_words", coverage)
+    # The document's own columns travel in a struct, whatever their names.
+    found = hits(docs.select("text", F.struct("*").alias("doc")), bench, ["doc"], window)
+    found = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)"))
+    bad = contaminated("n_hit", "n_words", coverage)
     if remove == "documents":
         found = found.filter(~bad)
     if remove == "documents" and longest is None:
-        return found.select(*[F.col(f"`{c}`") for c in docs.columns])
-    without = lambda least: F.expr(rf"""array_join(filter(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0),
+        return found.select("doc.*")
+    without = lambda least: F.expr(rf"""array_join(filter(regexp_extract_all(doc.text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0),
         (w, i) -> not exists(spans, s -> s.end - s.start > {least} and i >= s.start and i < s.end)), ' ')""")
     text = F.when(bad, without(0))
     if longest is not None:
         text = text.when(F.exists("spans", lambda s: s["end"] - s["start"] > longest), without(longest))
-    return found.withColumn("text", text.otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(F.col("doc").withField("text", text.otherwise(F.col("doc.text"))).alias("doc")).select("doc.*")

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from skysift.llm import bloom
 from skysift.llm.common import list_array
@@ -96,8 +97,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, carry: Sequence
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.when(F.col("url").contains("://"), F.col("url")).alias("url"))
     rows = rows.select("doc", host("url").alias("host"), path("url").alias("path"), canonical_url("url").alias("canonical")).withColumn("keys", _asked(rules))
     rows = rows.select("doc", "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("hashes"))
-    doc = rows.schema["doc"].dataType.simpleString()
-    tested = rows.mapInArrow(_possible(filter_), f"doc {doc}, host string, path string, keys array<string>, maybe array<boolean>")
+    schema = StructType([*rows.schema.fields[:-1], StructField("maybe", ArrayType(BooleanType()))])
+    tested = rows.mapInArrow(_possible(filter_), schema)
     tested = cut_lineage(tested.select(
         F.monotonically_increasing_id().alias("row"), "doc", "host", "path", F.filter("keys", lambda k, i: F.get("maybe", i)).alias("keys")), "tested")
     filter_.destroy()

@@ -75,3 +75,20 @@ def test_redaction(documents):
 
 def test_empty_table(documents):
     assert pii_votes.find(documents([])).count() == 0
+
+
+def test_every_alignment_is_a_candidate():
+    cards = lambda t: {t[a:b] for k, a, b in pii_votes.scan(t)[1] if k == "card"}
+    assert "4111 1111 1111 1111" in cards("Paid 2024 4111 1111 1111 1111 now")
+    assert "6304 0000 0000" in cards("no 12345678 6304 0000 0000")
+    assert any(k == "email" for k, _, _ in pii_votes.scan("bob [At] site [dot] com")[1])
+    assert any(k == "email" for k, _, _ in pii_votes.scan("bob (aT) site (DOT) com")[1])
+
+
+def test_the_card_behind_a_year_is_taken(documents, texts):
+    rows = texts + [(20_000, "card payment Paid 2024 4111 1111 1111 1111 now")]
+    found = {r.doc_id: r for r in pii_votes.find(documents(rows)).collect()}[20_000]
+    text = rows[-1][1]
+    assert [text[s.start:s.end] for s in found.spans] == ["4111 1111 1111 1111"]
+    clean = pii_votes.redact(documents(rows)).filter("doc_id = 20000").first().text
+    assert clean == "card payment Paid 2024 [CARD] now"

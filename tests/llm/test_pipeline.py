@@ -8,7 +8,7 @@ import corpus_pipeline
 from skysift.llm import pii_votes
 from test_host_rules import plain as measured
 from test_pii_votes import plain as private
-from test_simhash_tree import plain_components, plain_fingerprint
+from test_near_copies import plain_components
 from test_suffix_automaton import plain as hit
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def test_quality(stages):
 
 def test_dedup(stages):
     before, after = stages["near_dedup"]
-    component = plain_components(list({r.doc_id: (r.doc_id, plain_fingerprint(r.text)) for r in before}.values()))
+    component = plain_components(list({r.doc_id: (r.doc_id, r.text) for r in before}.values()))
     assert sorted(r.doc_id for r in after) == sorted(set(component.values()))
 
 
@@ -82,3 +82,32 @@ def test_deduplicate_odd_rows(documents):
     rows = [(None, "a b c d"), (None, "other"), (None, "other"), (5, "a b c d"), (5, "a b c d"), (9, "A B C D"), (7, None), (8, ""), (5, "else entirely")]
     got = simhash_tree.deduplicate(documents(rows)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, "a b c d"), (None, "other"), (7, None), (5, "else entirely")], key=str)
+
+
+NAMES = ("_key", "_tag", "key", "tag", "spans", "items", "n_words", "n_hit", "token_ids", "n_tokens", "decoded", "_text", "_0", "doc", "a.b", "sp ace")
+
+
+def test_clashing_names(spark):
+    """Extra columns called like an operator's own come through every stage unchanged."""
+    from pyspark.sql import functions as F
+
+    raw = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = raw.select("*", *[(F.col("doc_id") * 10 + k).alias(n) for k, n in enumerate(NAMES)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        back = [n + "_" if name == "byte_level_bpe" and n in ("token_ids", "n_tokens") else n for n in NAMES]
+        assert name == "byte_level_bpe" or out.columns == docs.columns
+        rows = out.select("doc_id", *[F.col(f"`{n}`") for n in back]).collect()
+        assert rows and all(tuple(r)[1:] == tuple(r.doc_id * 10 + k for k in range(len(NAMES))) for r in rows), name
+
+
+def test_clashing_carry(spark):
+    from skysift.llm import bpe_tree, longest_match, suffix_automaton
+
+    docs = spark.createDataFrame([(1, "mail a@b.cd", 5, 6, 7, 8)], "doc_id int, text string, spans int, n_words int, token_ids int, `a.b` int")
+    carry = [c for c in docs.columns if c != "text"]
+    bench = spark.createDataFrame([(3, "mail a b")], "item_id bigint, text string")
+    for found, own in ((pii_votes.find(docs, carry), "spans"), (longest_match.token_counts(docs, carry), "n_words"), (bpe_tree.decode(bpe_tree.encode(docs, carry), ["spans"]), "token_ids"),
+                       (suffix_automaton.hits(docs, bench, carry), "items")):
+        row = found.first().asDict()
+        assert row[own] is not None and 5 in (row.get("spans"), row.get("spans_"))
