@@ -117,19 +117,21 @@ def check_geography(identified: DataFrame, scenes: DataFrame, grid: SceneGrid) -
     return expected(_row(sums, "CK4", ok, detail, F.col("unknown")), scenes, "CK4")
 
 
-def check_chips(chips: DataFrame, report: DataFrame, fidelity: DataFrame, grid: SceneGrid) -> DataFrame:
+def check_chips(chips: DataFrame, report: DataFrame, fidelity: DataFrame, grid: SceneGrid, scenes: DataFrame | None = None) -> DataFrame:
     """CK5: the chips are those of the valid rows, whole, and true to the source.
 
     ``chips`` has name and cells; ``fidelity`` the per-tile differences (at most 3
-    grey levels on average, 2 per channel mean). Every chip is compared.
+    grey levels on average, 2 per channel mean). Every chip is compared. A scene of
+    ``scenes`` that the report lacks fails.
     """
     problems = C.chips_vs_report(chips, report).groupBy("scene_id").agg(F.count(F.lit(1)).alias("mismatched"))
     sizes = chips.groupBy("scene_id").agg(F.count(F.lit(1)).alias("chips"), F.count_if(F.size("cells") != grid.tile_pixels).alias("torn"))
     faith = fidelity.groupBy("scene_id").agg(F.count_if((F.col("mean_abs_diff") > 3.0) | (F.col("channel_gap") > 2.0)).alias("unlike"))
-    scenes = report.select("scene_id").distinct()
-    joined = scenes.join(problems, "scene_id", "left").join(sizes, "scene_id", "left").join(faith, "scene_id", "left").fillna(0)
+    reported = report.select("scene_id").distinct()
+    joined = reported.join(problems, "scene_id", "left").join(sizes, "scene_id", "left").join(faith, "scene_id", "left").fillna(0)
     ok = (F.col("mismatched") == 0) & (F.col("torn") == 0) & (F.col("unlike") == 0)
-    return _row(joined, "CK5", ok, F.format_string("%d chips, %d mismatched, %d torn, %d unlike", "chips", "mismatched", "torn", "unlike"))
+    rows = _row(joined, "CK5", ok, F.format_string("%d chips, %d mismatched, %d torn, %d unlike", "chips", "mismatched", "torn", "unlike"))
+    return rows if scenes is None else expected(rows, scenes, "CK5")
 
 
 def check_consistency(report: DataFrame, summary: DataFrame, chips: DataFrame) -> DataFrame:
@@ -162,13 +164,16 @@ def check_features(features: DataFrame, mask_area: DataFrame, footprints: DataFr
     return _row(filled, "CK7", ok, F.format_string("%d rings, %d broken, %d outside, %d classes off in area", "rings", "broken", "outside", "off_area"), F.col("_skip"))
 
 
-def check_determinism(first: DataFrame, second: DataFrame, chips_first: DataFrame, chips_second: DataFrame) -> DataFrame:
-    """CK8: two runs have identical report rows and chip names."""
+def check_determinism(
+    first: DataFrame, second: DataFrame, chips_first: DataFrame, chips_second: DataFrame, scenes: DataFrame | None = None,
+) -> DataFrame:
+    """CK8: two runs have identical report rows and chip names; a scene of ``scenes`` that both lack fails."""
     rows = C.same_rows(first, second).select("scene_id", F.lit(1).alias("r"), F.lit(0).alias("c"))
     names = C.same_rows(chips_first.select("scene_id", "name"), chips_second.select("scene_id", "name")).select("scene_id", F.lit(0).alias("r"), F.lit(1).alias("c"))
     every = first.select("scene_id", F.lit(0).alias("r"), F.lit(0).alias("c")).distinct()
     sums = every.unionByName(rows).unionByName(names).groupBy("scene_id").agg(F.sum("r").alias("rows"), F.sum("c").alias("names"))
-    return _row(sums, "CK8", (F.col("rows") == 0) & (F.col("names") == 0), F.format_string("%d rows and %d chip names differ", "rows", "names"))
+    rows = _row(sums, "CK8", (F.col("rows") == 0) & (F.col("names") == 0), F.format_string("%d rows and %d chip names differ", "rows", "names"))
+    return rows if scenes is None else expected(rows, scenes, "CK8", "in neither run")
 
 
 def check_class_mask(px: DataFrame, declared: DataFrame, offset: float, quantification: float) -> DataFrame:

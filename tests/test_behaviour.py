@@ -265,3 +265,18 @@ def test_points_off_every_pixel_keep_their_row(spark):
     px = spark.createDataFrame([(1, 0, 0, True, False, False)], "scene_id int, y int, x int, opaque boolean, cirrus boolean, snow boolean")
     tiles = spark.createDataFrame([(1, 0, 0, 1.0, True)], "scene_id int, tile_row int, tile_col int, cloud_cover_percent double, valid boolean")
     assert sorted((r.y, r.opaque) for r in C.point_lookup(points, px, tiles).collect()) == [(0, True), (9, None)]
+
+
+def test_chips_and_runs_are_held_against_the_scene_list(spark):
+    from skysift.constants import SceneGrid
+    from skysift.operators import checks as H
+
+    grid = SceneGrid(tile_px=2, rows=1, cols=2)
+    scenes = spark.createDataFrame([(1,), (2,), (3,)], "scene_id bigint")
+    report = spark.createDataFrame([(1, 0, 0, True), (1, 0, 1, False), (2, 0, 0, True)], "scene_id bigint, tile_row int, tile_col int, valid boolean")
+    chips = spark.createDataFrame([(1, "tile_r00_c00", [1, 2, 3, 4]), (2, "tile_r00_c00", [1, 2, 3])], "scene_id bigint, name string, cells array<int>")
+    faith = spark.createDataFrame([(1, 0.0, 0.0), (2, 4.0, 0.0)], "scene_id bigint, mean_abs_diff double, channel_gap double")
+    rows = {r.scene_id: (r.ok, r.detail) for r in H.check_chips(chips, report, faith, grid, scenes).collect()}
+    assert rows == {1: (True, "1 chips, 0 mismatched, 0 torn, 0 unlike"), 2: (False, "1 chips, 0 mismatched, 1 torn, 1 unlike"), 3: (False, "no report")}
+    same = {r.scene_id: r.ok for r in H.check_determinism(report, report, chips, chips, scenes).collect()}
+    assert same == {1: True, 2: True, 3: False}
