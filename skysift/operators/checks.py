@@ -11,6 +11,7 @@ from skysift.constants import REPORT_COLUMNS, SceneGrid
 from skysift.functions import tilemath as M
 from skysift.operators import analysis as A
 from skysift.operators import compare as C
+from skysift.operators import delivered as D
 from skysift.operators import outline as V
 from skysift.operators.grid import tile_bbox
 from skysift.session import cut_lineage
@@ -164,6 +165,31 @@ def check_features(features: DataFrame, mask_area: DataFrame, footprints: DataFr
     return _row(filled, "CK7", ok, F.format_string("%d rings, %d broken, %d outside, %d classes off in area", "rings", "broken", "outside", "off_area"), F.col("_skip"))
 
 
+def check_geojson(
+    lines: DataFrame, mask_area: DataFrame, shape: tuple[int, int], metres: int, promised: DataFrame, tolerance: float = 1e-3,
+) -> DataFrame:
+    """CK7 on the delivered documents: form, rings, holes, extent, area and number of features.
+
+    ``lines`` and ``mask_area`` as in ``delivered_figures``. ``promised`` lists the
+    scenes that were to have a collection, with the number of its features; other
+    scenes are skipped. A promised scene without a document fails unless its mask
+    is empty.
+    """
+    said = promised.select("scene_id", F.col("features").alias("_said"))
+    figures = D.delivered_figures(lines, mask_area, shape, metres, tolerance)
+    joined = figures.join(said, "scene_id", "full").withColumn("found", F.coalesce("found", F.lit(False)))
+    joined = joined.fillna(0, [c for c in figures.columns if c not in ("scene_id", "found")])
+    skipped = F.col("_said").isNull() & ~F.col("found")
+    faults = {
+        "document incomplete": F.col("bad_lines") > 0, "rings broken": F.col("broken") > 0, "rings cross": F.col("crossings") > 0,
+        "holes outside": F.col("stray") > 0, "outside the footprint": F.col("outside") > 0, "area differs": F.col("off_area") > 0,
+        "features missing": F.col("features") != F.coalesce("_said", "features"),
+    }
+    sound = ~F.greatest(*faults.values())
+    detail = F.concat_ws("; ", F.format_string("%d features, %d rings", "features", "rings"), *[F.when(c, name) for name, c in faults.items()])
+    return _row(joined, "CK7", skipped | sound, F.when(skipped, "no collection").otherwise(detail), skipped)
+
+
 def check_determinism(
     first: DataFrame, second: DataFrame, chips_first: DataFrame, chips_second: DataFrame, scenes: DataFrame | None = None,
 ) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions import tilemath as M
 from skysift.operators import analysis as A
 from skysift.operators import checks as H
 from skysift.operators import grid as G
+from skysift.operators import outline as V
 from skysift.operators import resample as S
 from skysift.operators import tiles as T
 from skysift.operators.screening import screen
@@ -15,10 +17,11 @@ from skysift.plans import fixtures as X
 from skysift.plans.aggregates import scene_footprints
 from skysift.plans.outputs import located_model, stored_chips, stored_report
 from skysift.plans.registry import query
-from skysift.plans.scalars import KEY, tile_runs
-from skysift.plans.vectors import RUN_VIEWS, features
+from skysift.plans.scalars import KEY, inverse_views, tile_runs
+from skysift.plans.vectors import RING_VIEWS, features, rings
+from skysift.session import cut_lineage, scratch_path
+from skysift.sources import geojson as J
 from skysift.sources import sinks as O
-from skysift.session import scratch_path
 from skysift.sources import tables as L
 
 I = X._idiv
@@ -124,6 +127,67 @@ def check_features(spark, sf):
     return H.check_features(kept, area, box, delivered=ids(spark, sf).filter("scene_id % 4 <> 3")).drop("detail")
 
 
+def geojson_scenes(spark, sf):
+    """Geocoding and footprint box of each scene, to be carried along with the lines of its document."""
+    foot = scene_footprints(spark, sf)
+    return foot.select("scene_id", "epsg", "origin_e", "origin_n", *[c.alias(n) for n, c in A.footprint_bbox(F.col("footprint")).items()])
+
+
+def _last_component(rows):
+    """Each scene's last region of the rule's mask."""
+    return rows.filter("class = 'threshold'").groupBy("scene_id").agg(F.max("component").alias("last"))
+
+
+def faulty_documents(spark, sf) -> tuple[str, DataFrame]:
+    """Documents by scene_id % 6: sound, coordinates swapped, a hole given to another region, a region lost, cut off, none."""
+    traced = cut_lineage(rings(spark, sf), "traced")
+    fault = F.col("scene_id") % 6
+    first_hole = traced.filter("hole and seq = 0 and class = 'threshold'").groupBy("scene_id").agg(F.min("ring").alias("moved"))
+    marked = traced.join(_last_component(traced), "scene_id", "left").join(first_hole, "scene_id", "left")
+    of_rule = F.col("class") == "threshold"
+    moved = (fault == 2) & of_rule & F.coalesce(F.col("ring") == F.col("moved"), F.lit(False))
+    lost = (fault == 3) & of_rule & (F.col("component") == F.col("last"))
+    changed = marked.withColumn("component", F.when(moved, F.col("last")).otherwise(F.col("component"))).filter(~lost & (fault != 5)).drop("last", "moved")
+    located = V.features_wgs84(changed, X.scenes(spark, sf), 60)
+    swapped = located.withColumns({"lon": F.when(fault == 1, F.col("lat")).otherwise(F.col("lon")), "lat": F.when(fault == 1, F.col("lon")).otherwise(F.col("lat"))})
+    lines = O.geojson_lines(cut_lineage(swapped, "located")).filter(~((fault == 4) & (F.col("class") == "\uffff")))
+    path = scratch_path(spark, "documents")
+    O.write_geojson_lines(lines, path)
+    return path, traced
+
+
+@query("scan_geojson", X.sql(
+    "select scene_id, class, ring, hole, seq, cast(round_even(lon * 1e6, 0) as bigint) as lon_micro, cast(round_even(lat * 1e6, 0) as bigint) as lat_micro from "
+    "(select *, dense_rank() over (partition by scene_id order by class, component, hole, id) as ring from located)",
+    RING_VIEWS + ", " + inverse_views(
+        "select * exclude (ring), ring as id, cast(600000 + 3000*(scene_id % 10) + vx*60 as double) as e, "
+        f"cast(5500020 - 1800*{I('scene_id', 10)} - vy*60 as double) as n from (select * exclude (n) from vert)"), recursive=True))
+def scan_geojson(spark, sf):
+    """Vertices of the written documents, rings numbered as they stand in the file."""
+    path = scratch_path(spark, "geojson")
+    O.write_geojson(features(spark, sf), path)
+    micro = lambda c: F.rint(F.col(c) * 1e6).cast("bigint").alias(f"{c}_micro")
+    return J.scan_geojson(spark, path).filter("kind = 'P'").select("scene_id", "class", "ring", "hole", "seq", micro("lon"), micro("lat"))
+
+
+@query("check_geojson", X.sql(
+    "select scene_id, 'CK7' as check_id, fault in (0, 5) or (fault = 2 and not holed) as ok, fault = 5 as skipped, "
+    "case when fault = 5 then 'no collection' else printf('%d features, %d rings', features - case when fault = 3 then 1 else 0 end, rings - case when fault = 3 then lost_rings else 0 end) || "
+    "case fault when 1 then '; rings broken; outside the footprint; area differs' when 2 then case when holed then '; holes outside' else '' end "
+    "when 3 then case when 1000 * lost_px > px then '; area differs' else '' end || '; features missing' when 4 then '; document incomplete' else '' end end as detail "
+    "from (select scene_id, scene_id % 6 as fault, count(*) filter (not hole) as features, count(*) as rings, count(*) filter (class = 'threshold' and component = last) as lost_rings, "
+    "coalesce(bool_or(hole and class = 'threshold'), false) as holed from (select distinct scene_id, class, component, ring, hole from vert) join lastc using (scene_id) group by scene_id) "
+    "join (select scene_id, sum(x1 - x0 + 1) as px, sum(x1 - x0 + 1) filter (component = last) as lost_px from comp join lastc using (scene_id) where class = 'threshold' group by scene_id) using (scene_id)",
+    RING_VIEWS + ", lastc as (select scene_id, max(component) as last from comp where class = 'threshold' group by scene_id)", recursive=True))
+def check_geojson(spark, sf):
+    """Delivered documents with planted faults against masks and the promised number of features."""
+    path, traced = faulty_documents(spark, sf)
+    promised = traced.filter("seq = 0 and not hole and scene_id % 6 < 5").groupBy("scene_id").agg(F.count(F.lit(1)).alias("features"))
+    area = A.layer_area(X.masks60(spark, sf).withColumnsRenamed({"a": "threshold", "ref": "class_mask"}), ["threshold", "class_mask"], 60)
+    lines = J.scan_geojson(spark, path, geojson_scenes(spark, sf))
+    return H.check_geojson(lines, area, X.COARSE_SHAPE, 60, promised)
+
+
 @query("check_determinism", X.sql(_expect(
     "CK8", "scene_id % 6 <> 5", "case when scene_id % 6 = 5 then '2 rows and 0 chip names differ' else '0 rows and 0 chip names differ' end", "ids")))
 def check_determinism(spark, sf):

@@ -145,10 +145,15 @@ def geojson_lines(features: DataFrame) -> DataFrame:
 
 def write_geojson(features: DataFrame, path: str) -> None:
     """Per scene, the part files in name order are one GeoJSON document."""
+    # Rings are traced once.
+    write_geojson_lines(geojson_lines(cut_lineage(features, "features")), path)
+
+
+def write_geojson_lines(lines: DataFrame, path: str) -> None:
+    """Lines of ``geojson_lines`` in their order; range bounds are sampled from the written lines."""
     order = ["scene_id", "class", "component", "hole", "ring", "seq", "part"]
-    # Rings are traced once, and range bounds sampled from the written lines.
-    lines = cut_lineage(geojson_lines(cut_lineage(features, "features")), "lines").repartitionByRange(*order).sortWithinPartitions(*order)
-    lines.select("scene_id", "value").write.partitionBy("scene_id").text(path)
+    ordered = cut_lineage(lines, "lines").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("scene_id", "value").write.partitionBy("scene_id").text(path)
 
 
 def scene_metadata(catalog: DataFrame) -> DataFrame:
