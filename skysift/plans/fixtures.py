@@ -7,6 +7,8 @@ SQL side.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,17 @@ EXTRA60 = {
     "b8a": (47, 5500), "b09": (29, 3000), "b12": (53, 5000),
 }
 TWENTY = {"b05": 31, "b06": 37, "b07": 41, "b8a": 43, "b11": 29, "b12": 47}
+# Bands enlarged from a coarse row; i and j are row and column inside its cell.
+BANDS20 = {b: f"{b} + ((i * 3 + j) * {m}) % 53" for b, m in TWENTY.items()}
+BANDS10 = {
+    "b02": "case when b02 = 0 then 0 else b02 + ((i * 6 + j) * 37) % 101 end",
+    "b03": "b03 + ((i * 6 + j) * 41) % 103",
+    "b04": "b04 + ((i * 6 + j) * 43) % 107",
+    "b08": "b08 + ((i * 6 + j) * 47) % 109",
+    "r": "(b04 + i * 7 + j) % 256",
+    "g": "(b03 + i + j * 5) % 256",
+    "b": "(b02 + i * 3 + j * 2) % 256",
+}
 
 
 def px60(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
@@ -102,21 +115,33 @@ def _clip(px: DataFrame, window: Window | None) -> DataFrame:
 
 def px20(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = True) -> DataFrame:
     """20 m bands. ``placed`` deals out the coarse rows by block before they are enlarged."""
-    cols = {b: F.expr(f"{b} + ((i * 3 + j) * {m}) % 53") for b, m in TWENTY.items()}
+    cols = {b: F.expr(e) for b, e in BANDS20.items()}
     return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 3), 3, cols), window)
 
 
 def px10(spark: SparkSession, sf_dir: str, window: Window | None = None, placed: bool = True) -> DataFrame:
     """10 m bands and the display RGB; a (y0, y1, x0, x1) window reads less, ``placed`` as above."""
-    return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 6), 6, {
-        "b02": F.expr("case when b02 = 0 then 0 else b02 + ((i * 6 + j) * 37) % 101 end"),
-        "b03": F.expr("b03 + ((i * 6 + j) * 41) % 103"),
-        "b04": F.expr("b04 + ((i * 6 + j) * 43) % 107"),
-        "b08": F.expr("b08 + ((i * 6 + j) * 47) % 109"),
-        "r": F.expr("(b04 + i * 7 + j) % 256"),
-        "g": F.expr("(b03 + i + j * 5) % 256"),
-        "b": F.expr("(b02 + i * 3 + j * 2) % 256"),
-    }), window)
+    cols = {b: F.expr(e) for b, e in BANDS10.items()}
+    return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 6), 6, cols), window)
+
+
+def _cells(px: DataFrame, factor: int, columns: dict[str, str]) -> DataFrame:
+    def place(expr: str, p: int) -> str:
+        at = {"i": str(p // factor), "j": str(p % factor)}
+        return re.sub(r"\b[ij]\b", lambda m: at[m.group()], expr)
+
+    arrays = {b: F.array(*[F.expr(place(e, p)) for p in range(factor * factor)]) for b, e in columns.items()}
+    return px.select("scene_id", "brow", "bcol", "y", "x", *[a.alias(b) for b, a in arrays.items()])
+
+
+def cells20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 m bands as they are stored by cell: nine to a row."""
+    return _cells(px60(spark, sf_dir, placed=True), 3, BANDS20)
+
+
+def cells10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 m bands as they are stored by cell: 36 to a row."""
+    return _cells(px60(spark, sf_dir, placed=True), 6, {b: e for b, e in BANDS10.items() if len(b) > 1})
 
 
 def refl(band: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skysift.constants import FULL_GRID, PROB_SCALE
 from skysift.functions import radiometry as R
 from skysift.functions import tilemath as M
+from skysift.operators import cells as E
 from skysift.operators import detect
 from skysift.operators import grid as G
 from skysift.operators import neighborhood as N
@@ -212,15 +213,15 @@ FINE_TILES = _STACK + (f", fine_tiles as (select scene_id, {I('y', 15)} as tile_
 
 
 def fine_stack(spark, sf):
-    """Five bands on the 10 m grid."""
-    return detect.fine_stack(X.px10(spark, sf, placed=True), X.px20(spark, sf, placed=True), X.px60(spark, sf, placed=True))
+    """Five bands on the 10 m grid, joined by cell."""
+    return E.fine_stack(X.cells10(spark, sf), X.cells20(spark, sf), X.px60(spark, sf, placed=True))
 
 
 @query("multires_join", X.sql(
     f"select scene_id, {I('y', 15)} as tile_row, {I('x', 15)} as tile_col, count(*) as pixels, "
     "cast(sum(b02) as bigint) as b02, cast(sum(b11 * (y % 15)) as bigint) as b11, cast(sum(b10 * (x % 15)) as bigint) as b10 from stack group by all", _STACK))
 def multires_join(spark, sf):
-    """10, 20 and 60 m bands on one grid, joined inside their block."""
+    """10, 20 and 60 m bands on one grid, joined by their cell."""
     px = G.assign_tile(fine_stack(spark, sf), X.GRID, offsets=True)
     return px.groupBy("scene_id", "brow", "bcol", "tile_row", "tile_col").agg(
         F.count(F.lit(1)).alias("pixels"), F.sum("b02").alias("b02"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skysift.constants import BANDS_BY_RESOLUTION
 from skysift.functions import radiometry as R
+from skysift.operators import cells as E
 from skysift.operators import model as D
 from skysift.plans import fixtures as X
 from skysift.plans.registry import query
@@ -30,7 +31,7 @@ def _logit(shift: str) -> str:
 
 
 def stack(spark, sf):
-    return D.feature_stack(X.px10(spark, sf, placed=True), X.px20(spark, sf, placed=True), X.px60(spark, sf, placed=True), X.OFFSET, X.QUANT)
+    return E.feature_stack(X.cells10(spark, sf), X.cells20(spark, sf), X.px60(spark, sf, placed=True), X.OFFSET, X.QUANT)
 
 
 @query("feature_stack", X.sql("select scene_id, y, x, " + ", ".join(f"cast({b} as double) as {b}" for b in D.FEATURES) + " from stack13", STACK))
