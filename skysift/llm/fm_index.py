@@ -14,6 +14,12 @@ duplicates as a whole, in the batch that finds them and once more for all. An
 owner left with one fragment has nothing to match. Words travel only for
 fragments that share an owner and differ.
 
+Dealing again. A passage that very many documents share gives each of them
+fragments at its borders, which run into the document's own words: all differ, all
+have one owner. An owner with more words than an index may hold is dealt again by
+its windows' two least grams, then four, eight and the whole window, and equal
+fragments collapse again. Equal windows still meet, and every index stays bounded.
+
 Matching. Each shard indexes its fragments: a wavelet matrix over the
 Burrows-Wheeler transform in packed bits, with counts per 64 bits, and range
 minima of the places in suffix order. Fragments then stream against the index by
@@ -23,9 +29,9 @@ nowhere earlier rule out every window around them.
 
 Defined cases: null and empty texts, and texts under 20 words, lose nothing. A
 null doc_id comes before all others. Rows with the same doc_id and text are one
-reading of a document and get the same result; rows with the same doc_id and
-other texts are compared by place in the text, equal places not being earlier
-than each other. An empty table gives an empty table. Other columns are not read.
+reading of a document and get the same result, however many there are; rows with
+the same doc_id and other texts, as all rows without one, are compared by place in
+the text, equal places not being earlier than each other. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,9 +45,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.llm.common import PLAIN_WORD, ramp, steps, text_bytes, word_array, words
+from skysift.session import cut_lineage
 
 WINDOW, GRAM = 20, 5
-#: Words of the fragments that one index holds (more where one owner has more).
+#: Words of the fragments of one owner, and of an index before its last owner.
 INDEX_WORDS = 400_000
 FIRST_KEY = -(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,10 +65,12 @@ class Runs:
     """The words of some texts and the runs of windows with one owner.
 
     doc, first, count: text of each run, its first window, its windows;
-    owner, body: hashes of the owning gram and of all words of the fragment.
+    owner, body: hashes of the owning grams and of all words of the fragment.
+    ``depth``: how many of a window's least grams own it; ``only``: lists of runs
+    (first, windows) of each text, to which the windows are limited.
     """
 
-    def __init__(self, texts: pa.Array, window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, texts: pa.Array, window: int = WINDOW, gram: int = GRAM, depth: int = 1, only: pa.Array | None = None):
         data, offsets = text_bytes(texts)
         self.data = data
         self.starts, self.ends, self.bounds = words(data, offsets, PLAIN_WORD)
@@ -78,18 +87,23 @@ class Runs:
             grams = grams * ODD + h[j:j + len(grams)]
         grams = _mix(grams)
         width = window - gram + 1
-        owner = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(total - window + 1)
         doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
-        whole = np.flatnonzero(doc[:total - window + 1] == doc[window - 1:])
-        owner = owner[whole]
+        inside = doc[:total - window + 1] == doc[window - 1:]
+        if only is not None:
+            inside &= self._marked(only, len(inside))
+        whole = np.flatnonzero(inside)
+        view = np.lib.stride_tricks.sliding_window_view(grams, width)
+        # No window occurs twice in a run: its least gram would lie in another place.
+        least = view.argmin(1)[whole] + whole
+        owner = grams[least] if depth == 1 else self._deeper(view, whole, depth)
         fresh = np.ones(len(whole), bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (whole[1:] != whole[:-1] + 1)
+        fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (whole[1:] != whole[:-1] + 1)
         at = np.flatnonzero(fresh)
         self.start = whole[at]
         self.count = np.diff(np.append(at, len(whole)))
         self.doc = doc[self.start]
         self.first = self.start - self.bounds[self.doc]
-        self.owner = grams[owner[at]]
+        self.owner = owner[at]
         # Hash of the words between two places, by prefix sums of a polynomial.
         powers = np.ones(total + 1, np.uint64)
         powers[1:] = ODD
@@ -102,24 +116,47 @@ class Runs:
         length = self.count + window - 1
         self.body = _mix((prefix[self.start + length] - prefix[self.start]) * back[self.start] + _mix(length.astype(np.uint64)))
 
-    def codes(self) -> np.ndarray:
-        """Windows and part of the body's hash in one number, to know a run again."""
-        return (self.count | ((self.body >> np.uint64(38)).astype(np.int64) << 5)).astype(np.int64)
+    def _marked(self, only: pa.Array, windows: int) -> np.ndarray:
+        """Which windows lie in the listed runs."""
+        entry = only.flatten()
+        doc = np.repeat(np.arange(len(only)), only.value_lengths().to_numpy())
+        start = self.bounds[doc] + entry.field("first").to_numpy()
+        edge = np.zeros(windows + 1, np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + entry.field("windows").to_numpy(), -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    @staticmethod
+    def _deeper(view: np.ndarray, whole: np.ndarray, depth: int) -> np.ndarray:
+        """A hash of each window's ``depth`` least grams; of all its grams in their order if there are no more."""
+        out = np.empty(len(whole), np.uint64)
+        for i in range(0, len(whole), 1 << 16):
+            rows = view[whole[i:i + (1 << 16)]]
+            if depth < rows.shape[1]:
+                rows = np.sort(np.partition(rows, depth - 1, 1)[:, :depth], 1)
+            h = np.full(len(rows), depth, np.uint64)
+            for j in range(rows.shape[1]):
+                h = _mix(h * ODD + rows[:, j])
+            out[i:i + (1 << 16)] = h
+        return out
 
 
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _owners(window: int, gram: int):
+OWNED = "owner bigint, body bigint, key bigint, tag bigint, first int, windows int, later boolean"
+
+
+def _owners(window: int, gram: int, depth: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
-            runs = Runs(part.column("text"), window, gram)
+            runs = Runs(part.column("text"), window, gram, depth, part.column("runs") if depth > 1 else None)
             if not len(runs.doc):
                 continue
             key = part.column("key").to_numpy()[runs.doc]
             order = np.lexsort((runs.first, key, runs.body, runs.owner))
-            owner, body, key, first, code = runs.owner[order], runs.body[order], key[order], runs.first[order], runs.codes()[order]
+            owner, body, key, first = runs.owner[order], runs.body[order], key[order], runs.first[order]
             same = np.zeros(len(order), bool)
             same[1:] = (owner[1:] == owner[:-1]) & (body[1:] == body[:-1])
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -128,57 +165,84 @@ def _owners(window: int, gram: int):
             spread = _mix(owner + np.arange(len(order), dtype=np.uint64) + key.astype(np.uint64) * ODD)
             yield pa.record_batch({
                 "owner": _signed(np.where(later, spread, owner)), "body": _signed(body), "key": pa.array(key),
-                "first": pa.array(first.astype(np.int32)), "code": pa.array(code), "later": pa.array(later)})
+                "tag": pa.array(part.column("tag").to_numpy()[runs.doc[order]]), "first": pa.array(first.astype(np.int32)),
+                "windows": pa.array(runs.count[order].astype(np.int32)), "later": pa.array(later)})
 
     return run
 
 
+def _live(owned: DataFrame, window: int) -> DataFrame:
+    """The fragments that are settled as later copies, or differ from another of their owner; ``load``: the owner's words to be matched."""
+    ranked = owned.withColumn("nth", F.rank().over(Window.partitionBy("owner", "body").orderBy("key", "first")))
+    known = ranked.withColumn("later", F.col("later") | (F.col("nth") > 1))
+    group = Window.partitionBy("owner")
+    shared = known.withColumns({
+        "least": F.min("body").over(group), "most": F.max("body").over(group),
+        "load": F.coalesce(F.sum(F.when(~F.col("later"), F.col("windows") + window - 1)).over(group), F.lit(0))})
+    return shared.filter("later or least != most").select("owner", "key", "tag", "first", "windows", "later", "load")
+
+
+def deal(whole: DataFrame, window: int, gram: int, index_words: int) -> DataFrame:
+    """(owner, key, tag, first, windows, later, load) of ``whole`` (key, tag, text): no owner's load is above ``index_words``."""
+    live = cut_lineage(_live(whole.mapInArrow(_owners(window, gram), OWNED), window), "live")
+    settled = live
+    width = window - gram + 1
+    for depth in [d for d in (2, 4, 8) if d < width] + [width]:
+        crowded = live.filter(~F.col("later") & (F.col("load") > index_words))
+        if crowded.isEmpty():
+            break
+        settled = settled.filter(F.col("later") | (F.col("load") <= index_words))
+        runs = crowded.groupBy("key", "tag").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+        live = cut_lineage(_live(whole.join(runs, ["key", "tag"]).mapInArrow(_owners(window, gram, depth), OWNED), window), "live")
+        settled = settled.unionByName(live)
+    return settled
+
+
 FRAGMENT = "owner bigint, key bigint, tag bigint, first int, last int, body string"
 
 
-def _fragments(window: int, gram: int):
+def _fragments(window: int):
     """Words of the fragments to be matched, and the merged ranges of those that are settled (no body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
-            runs = Runs(part.column("text"), window, gram)
-            if not len(runs.doc):
-                continue
-            live = part.column("live")
+            # Equal rows are one reading.
+            pairs = np.stack([part.column("key").to_numpy(), part.column("tag").to_numpy()], 1)
+            part = part.take(pa.array(np.unique(pairs, axis=0, return_index=True)[1]))
+            key, tag, live = part.column("key").to_numpy(), part.column("tag").to_numpy(), part.column("live")
+            data, offsets = text_bytes(part.column("text"))
+            starts, ends, bounds = words(data, offsets, PLAIN_WORD)
             entry = live.flatten()
             doc = np.repeat(np.arange(part.num_rows), live.value_lengths().to_numpy())
-            place = (doc << 32) | entry.field("first").to_numpy()
-            have = (runs.doc << 32) | runs.first
-            at = np.minimum(np.searchsorted(have, place), len(have) - 1)
-            code, later = entry.field("code").to_numpy(), entry.field("later").to_numpy(zero_copy_only=False)
-            known = (have[at] == place) & (runs.codes()[at] == code)
-            key, tag = part.column("key").to_numpy(), part.column("tag").to_numpy()
-            covered = runs.count + window - 1
-            done, ask = np.unique(at[known & later]), np.unique(at[known & ~later])
-            if len(done):
-                d, a = runs.doc[done], runs.first[done]
-                b = a + covered[done]
-                fresh = np.ones(len(done), bool)
+            first = entry.field("first").to_numpy().astype(np.int64)
+            order = np.lexsort((first, doc))
+            doc, first = doc[order], first[order]
+            last = first + entry.field("windows").to_numpy()[order] + window - 1
+            owner, later = entry.field("owner").to_numpy()[order], entry.field("later").to_numpy(zero_copy_only=False)[order]
+            if later.any():
+                d, a, b = doc[later], first[later], last[later]
+                fresh = np.ones(len(d), bool)
                 fresh[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1])
                 head = np.flatnonzero(fresh)
-                tail = np.append(head[1:], len(done)) - 1
+                tail = np.append(head[1:], len(d)) - 1
                 spread = _mix(key[d[head]].astype(np.uint64) * ODD + a[head].astype(np.uint64))
                 yield pa.record_batch({
                     "owner": _signed(spread), "key": pa.array(key[d[head]]), "tag": pa.array(tag[d[head]]), "first": pa.array(a[head].astype(np.int32)),
                     "last": pa.array(b[tail].astype(np.int32)), "body": pa.nulls(len(head), pa.string())})
-            if len(ask):
-                d, a = runs.doc[ask], runs.first[ask]
-                inside = PLAIN_WORD[runs.data]
+            ask = ~later
+            if ask.any():
+                d, a, b = doc[ask], first[ask], last[ask]
+                inside = PLAIN_WORD[data]
                 behind = np.zeros(len(inside) + 1, bool)
-                behind[runs.ends] = True
+                behind[ends] = True
                 keep = inside | (behind[:-1] & ~inside)
-                text = np.where(inside, runs.data, 32)[keep].astype(np.uint8).tobytes()
+                text = np.where(inside, data, 32)[keep].astype(np.uint8).tobytes()
                 to = np.cumsum(keep) - keep
-                begin = to[runs.starts[runs.start[ask]]]
-                end = to[runs.ends[runs.start[ask] + covered[ask] - 1] - 1] + 1
+                begin = to[starts[bounds[d] + a]]
+                end = to[ends[bounds[d] + b - 1] - 1] + 1
                 yield pa.record_batch({
-                    "owner": _signed(runs.owner[ask]), "key": pa.array(key[d]), "tag": pa.array(tag[d]), "first": pa.array(a.astype(np.int32)),
-                    "last": pa.array((a + covered[ask]).astype(np.int32)), "body": pa.array([text[x:y].decode() for x, y in zip(begin.tolist(), end.tolist())], pa.string())})
+                    "owner": pa.array(owner[ask]), "key": pa.array(key[d]), "tag": pa.array(tag[d]), "first": pa.array(a.astype(np.int32)),
+                    "last": pa.array(b.astype(np.int32)), "body": pa.array([text[x:y].decode() for x, y in zip(begin.tolist(), end.tolist())], pa.string())})
 
     return run
 
@@ -379,10 +443,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = part.column("spans")
         entry = spans.flatten()
         doc = np.repeat(np.arange(part.num_rows), spans.value_lengths().fill_null(0).to_numpy())
-        mine = entry.field("tag").to_numpy() == part.column("tag").to_numpy()[doc]
         edge = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(edge, bounds[doc[mine]] + entry.field("first").to_numpy()[mine], 1)
-        np.add.at(edge, bounds[doc[mine]] + entry.field("last").to_numpy()[mine], -1)
+        np.add.at(edge, bounds[doc] + entry.field("first").to_numpy(), 1)
+        np.add.at(edge, bounds[doc] + entry.field("last").to_numpy(), -1)
         kept = np.cumsum(edge[:-1]) == 0
         # Bytes of kept words, with a space between two of one text.
         inside = np.zeros(len(data) + 1, np.int64)
@@ -409,14 +472,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, index_words: int = INDEX_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words left of each text, joined by one space."""
     whole = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_KEY)).alias("key"), F.xxhash64("text").alias("tag"), F.col("text"))
-    owned = whole.select("key", "text").mapInArrow(_owners(window, gram), "owner bigint, body bigint, key bigint, first int, code bigint, later boolean")
-    ranked = owned.withColumn("nth", F.rank().over(Window.partitionBy("owner", "body").orderBy("key", "first")))
-    group = Window.partitionBy("owner")
-    shared = ranked.withColumns({"least": F.min("body").over(group), "most": F.max("body").over(group)})
-    live = shared.withColumn("later", F.col("later") | (F.col("nth") > 1)).filter("later or least != most")
-    lists = live.groupBy("key").agg(F.collect_list(F.struct("first", "code", "later")).alias("live"))
-    fragments = whole.join(lists, "key").mapInArrow(_fragments(window, gram), FRAGMENT)
+    live = deal(whole, window, gram, index_words)
+    # Lists are of one text each, whatever number of rows has its key.
+    lists = live.groupBy("key", "tag").agg(F.collect_set(F.struct("owner", "first", "windows", "later")).alias("live"))
+    fragments = whole.join(lists, ["key", "tag"]).mapInArrow(_fragments(window), FRAGMENT)
     spans = fragments.repartition("owner").sortWithinPartitions("owner").mapInArrow(_match(window, index_words), "key bigint, tag bigint, first int, last int")
-    removed = spans.groupBy("key").agg(F.collect_list(F.struct("tag", "first", "last")).alias("spans"))
-    out = whole.join(removed, "key", "left").select("key", "tag", "text", "spans").mapInArrow(_cut, "key bigint, n_words bigint, n_removed bigint, kept string")
+    removed = spans.groupBy("key", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    out = whole.join(removed, ["key", "tag"], "left").select("key", "text", "spans").mapInArrow(_cut, "key bigint, n_words bigint, n_removed bigint, kept string")
     return out.select(F.when(F.col("key") != FIRST_KEY, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept")
