@@ -43,13 +43,18 @@ def report_runs(spark, sf):
     return tile_runs(spark, sf).withColumn("cloud_cover_percent", printed)
 
 
-def stored_runs(spark, sf):
-    """The runs as read back from their report files, stored for comparisons that read them several times."""
+def reported_runs(spark, sf):
+    """The runs as read back from their report files, one a run and scene."""
     scenes, path = cut_lineage(X.scenes(spark, sf), "scenes"), scratch_path(spark, "reports")
     write_run_reports(T.locate_tiles(tile_runs(spark, sf), scenes, X.GRID), path)
     return cut_lineage(load_runs(spark, path, scenes, X.GRID), "runs")
 
 
+def stored_runs(spark, sf):
+    """The tile rows of the runs as one table, stored for comparisons that read them several times."""
+    return cut_lineage(report_runs(spark, sf).select("detector", *C.TILE, "cloud_cover_percent", "cloud_pixels", "valid"), "runs")
+
+
 def verdicts(runs):
     """Audit sample judged from the class mask, standing in for a human."""
     sample = C.audit_sample(runs, "threshold", "model", X.NAMED)
@@ -96,7 +101,7 @@ def audit_sample(spark, sf):
     "select side, count(*) as rows from (select 'left' as side from sample where tile_row = 5 union all select 'right' from sample where tile_row = 5) group by side", REP))
 def sample_equality(spark, sf):
     """A stored sample with an altered row per named tile in row 5, against the recomputed one."""
-    fresh = C.audit_sample(stored_runs(spark, sf), "threshold", "model", X.NAMED)
+    fresh = C.audit_sample(reported_runs(spark, sf), "threshold", "model", X.NAMED)
     stored = fresh.withColumn("reason", F.when(F.col("tile_row") == 5, F.concat("reason", F.lit("!"))).otherwise(F.col("reason")))
     return C.same_rows(fresh, stored).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
 
