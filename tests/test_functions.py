@@ -113,6 +113,18 @@ def test_fixed_text_rounds_like_c(spark):
     assert [r.t for r in df.collect()] == ["%.6f" % v for v in values]
 
 
+def test_report_boxes_round_like_c(spark):
+    """41.531934815 lies below the tie as a double; western and southern boxes keep their sign."""
+    from skysift.sources.sinks import report_rows
+
+    rng = random.Random(4)
+    values = [41.531934815, -41.531934815, 179.999999995, -0.00000001, 0.0] + [rng.randrange(-18 * 10**10, 18 * 10**10) / 10**9 for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "scene_id bigint, v double").select(
+        "scene_id", F.lit(0).alias("tile_row"), F.lit(0).alias("tile_col"), *[F.col("v").alias(c) for c in ("min_latitude", "min_longitude", "max_latitude", "max_longitude")],
+        F.lit(40.0).alias("cloud_cover_percent"), F.lit(True).alias("valid"))
+    assert [r.max_longitude for r in report_rows(df).orderBy("scene_id").collect()] == ["%.8f" % v for v in values]
+
+
 def test_exceeded_counts_thresholds(spark):
     import numpy as np
 
