@@ -31,17 +31,26 @@ PRODUCT_PATTERN = r"([^/=]+\.SAFE)(?:/|$)"
 BAND_PATTERN = r"_(B\d[0-9A])\.jp2"
 
 
-def _documents(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+def _documents(spark: SparkSession, source: str | DataFrame, tag: str, schema: str) -> DataFrame:
+    """Parsed documents with their product; ``source`` is a path of product folders or a table (product, value)."""
+    if isinstance(source, DataFrame):
+        options = {"rowTag": tag, "ignoreNamespace": "true", "mode": "PERMISSIVE"}
+        return source.select("product", F.from_xml("value", schema, options).alias("_d")).select("_d.*", "product")
+    path = source
     found = (
         spark.read.format("xml").schema(schema).option("rowTag", tag).option("ignoreNamespace", "true").option("mode", "PERMISSIVE").load(path)
     )
     return found.select("*", F.regexp_extract(F.col("_metadata.file_path"), PRODUCT_PATTERN, 1).alias("product"))
 
 
-def scan_products(spark: SparkSession, product_path: str, granule_path: str, folders: DataFrame | None = None) -> DataFrame:
+def scan_products(
+    spark: SparkSession, product_path: str | DataFrame, granule_path: str | DataFrame, folders: DataFrame | None = None,
+) -> DataFrame:
     """Raw metadata, one row per product: the product document and its granules.
 
-    Each kind of document is read once, with a fixed schema. A product with any
+    Each kind of document is read once, with a fixed schema, from product folders or
+    from a table (product, value) of collected documents, which costs no file a
+    product. A product with any
     document, or named in ``folders`` (product), has a row; what it lacks is NULL.
     """
     products = _documents(spark, product_path, "Level-1C_User_Product", PRODUCT_SCHEMA).select(
@@ -112,10 +121,15 @@ def product_catalog(raw: DataFrame, quality: DataFrame | None = None) -> DataFra
     )
 
 
-def band_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files of each product: band, native path, size. File contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    found = files.select(
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of all files below a folder. File contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def band_inventory(spark: SparkSession, files: str | DataFrame) -> DataFrame:
+    """Files of each product: band, native path, size; from a folder, or from a stored listing (path, length)."""
+    listing = files if isinstance(files, DataFrame) else listed_files(spark, files)
+    found = listing.select(
         F.regexp_extract("path", PRODUCT_PATTERN, 1).alias("product"), F.regexp_extract("path", BAND_PATTERN, 1).alias("band"), "path", "length")
     return found.filter((F.col("band") != "") & (F.col("product") != ""))
 
