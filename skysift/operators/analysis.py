@@ -239,9 +239,13 @@ def dark_shares(px: DataFrame, cloud: Column, water: Column, bright: Column, lim
 
 
 def rgb_fidelity(left: DataFrame, right: DataFrame, grid: SceneGrid) -> DataFrame:
-    """Mean absolute difference and worst channel-mean gap of two RGB tables, per tile."""
+    """Mean absolute difference and worst channel-mean gap of two RGB tables, per tile.
+
+    Pixels meet in a merge join: chips unpack to hundreds of times the rows that their
+    file size stands for, so a size check would send them whole through the driver.
+    """
     keys = ["scene_id", *[k for k in block_keys(left) if k in right.columns], "y", "x"]
-    pair = left.select(*keys, "r", "g", "b").join(
+    pair = left.select(*keys, "r", "g", "b").hint("merge").join(
         right.select(*keys, *[F.col(c).alias(f"{c}2") for c in "rgb"]), keys)
     sums = assign_tile(pair, grid).groupBy(*keys[:-2], "tile_row", "tile_col").agg(
         F.count(F.lit(1)).alias("n"),
