@@ -16,6 +16,7 @@ from skysift.constants import BANDS_BY_RESOLUTION, SceneGrid
 from skysift.functions import radiometry as R
 from skysift.operators import grid as G
 from skysift.session import tune
+from skysift.sources import pixels as P
 
 GRID = SceneGrid(tile_px=15, rows=12, cols=20)
 EPSG = 32632
@@ -125,6 +126,11 @@ def px10(spark: SparkSession, sf_dir: str, window: Window | None = None, placed:
     return _clip(_fine(_within(px60(spark, sf_dir, placed), window, 6), 6, cols), window)
 
 
+def rows10(spark: SparkSession, sf_dir: str, bands: list[str]) -> DataFrame:
+    """10 m bands with the coarse rows dealt by scene and block row, as ``write_scene_folders`` stores them."""
+    return _fine(P.deal_rows(px60(spark, sf_dir)), 6, {b: F.expr(BANDS10[b]) for b in bands})
+
+
 def _cells(px: DataFrame, factor: int, columns: dict[str, str]) -> DataFrame:
     def place(expr: str, p: int) -> str:
         at = {"i": str(p // factor), "j": str(p % factor)}

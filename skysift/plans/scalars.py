@@ -25,7 +25,8 @@ DETECTORS = {"threshold": "a", "model": "b", "class_mask": "ref"}
 def scan_band_window(spark, sf):
     """One band, one window of the 10 m grid, of every scene, from a stored table."""
     path = scratch_path(spark, "px10")
-    P.write_scene_folders(X.px10(spark, sf).select(*KEY, "b02", "b03", "b04", "b08"), X.GRID, 10, path)
+    px = X.rows10(spark, sf, ["b02", "b03", "b04", "b08"])
+    P.write_scene_folders(px.select("brow", *KEY, "b02", "b03", "b04", "b08"), X.GRID, 10, path, dealt=True)
     stored = "scene_id bigint, y int, x int, b02 bigint, b03 bigint, b04 bigint, b08 bigint"
     return P.scan_window(spark, path, stored, ["b03"], window=(40, 110, 33, 122)).withColumnRenamed("b03", "dn")
 

@@ -19,10 +19,20 @@ from skysift.operators.grid import BLOCK, with_block
 Window = tuple[int, int, int, int]
 
 
-def write_scene_folders(px: DataFrame, grid: SceneGrid, resolution: int, path: str) -> None:
-    """``scene_id=...`` folders; a file holds one band of block rows, sorted by position."""
-    placed = with_block(px.drop("brow", "bcol"), grid, resolution)
-    placed.repartition("scene_id", "brow").sortWithinPartitions("scene_id", "y", "x").write.partitionBy("scene_id").parquet(path)
+def write_scene_folders(px: DataFrame, grid: SceneGrid, resolution: int, path: str, dealt: bool = False) -> None:
+    """``scene_id=...`` folders; a file holds one band of block rows, sorted by position.
+
+    ``dealt`` rows have come through ``deal_rows``, before they were enlarged: they are
+    written as they stand, without another exchange or sort.
+    """
+    if not dealt:
+        px = with_block(px.drop("brow", "bcol"), grid, resolution).repartition("scene_id", "brow").sortWithinPartitions("scene_id", "y", "x")
+    px.drop("brow", "bcol").write.partitionBy("scene_id").parquet(path)
+
+
+def deal_rows(px: DataFrame) -> DataFrame:
+    """Coarse rows dealt by scene and block row, in order; what is enlarged from them stays so by coarse cell."""
+    return px.repartition("scene_id", "brow").sortWithinPartitions("scene_id", "y", "x")
 
 
 def store_by_block(px: DataFrame, grid: SceneGrid, resolution: int, table: str, buckets: int, path: str) -> None:
