@@ -20,8 +20,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8) stays, the one with the smallest id."""
-    return simhash_tree.keep_least(docs, near_copies.near_copies(docs))
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays, the one with the smallest id.
+
+    Operator 4's fingerprints and trees propose pairs, bands of minima add those that
+    differ in more bits; all are checked on exact shingle sets.
+    """
+    pairs = simhash_tree.candidate_pairs(docs)
+    found = near_copies.near_copies(docs, pairs=pairs)
+    drop_scratch(pairs)
+    return simhash_tree.keep_least(docs, found)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

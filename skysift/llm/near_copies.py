@@ -17,9 +17,10 @@ buckets of 40 bands of ten minima, where chance company of low similarity is rar
 Every pair that meets is compared by its exact shingle sets in a join; a round's rows
 are at most the texts times their bands.
 
-SimHash can't bring these pairs together: at similarity 0.8 fingerprints differ in
-about 10 bits and often in 16, and a vantage-point tree searched that widely visits
-nearly every leaf (figures in the README).
+SimHash alone can't bring all these pairs together: at similarity 0.8 fingerprints differ
+in about 10 bits and often in 16, and a vantage-point tree searched that widely visits
+nearly every leaf (figures in the README). The pairs it does find (``pairs``) are compared
+first, with the first centres, and the bands add the rest.
 
 Defined cases: null texts, empty ones and those of white space are copies of each
 other and of nothing else. A text of fewer words than a shingle is one shingle.
@@ -223,14 +224,24 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter("body != centre").select(F.least("body", "centre").alias("u"), F.greatest("body", "centre").alias("v")).distinct()
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, tag, root): root names the component of texts linked by a similarity of at least ``similarity``; tag is a hash of the text."""
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pairs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tag, root): root names the component of texts linked by a similarity of at least ``similarity``; tag is a hash of the text.
+
+    ``pairs`` (u, v) are further candidates by tag, checked like the others.
+    """
     whole = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tag"), F.col("text"))
     prints = cut_lineage(whole.mapInArrow(_prints(shingle), "doc_id bigint, tag bigint, body bigint, bands array<bigint>, sketch binary"), "prints")
     # Copies of the same words are one text from here on.
     bodies = cut_lineage(prints.select("body", "tag", "bands", "sketch").dropDuplicates(["body"]), "bodies")
     met = _met(bodies.select("body", "bands"))
-    chosen = bodies.join(met.select("body").distinct(), "body", "left_semi").select("body", "tag", "sketch")
+    wanted, seeds = met.select("body"), None
+    if pairs is not None:
+        named = prints.select("tag", "body").distinct()
+        side = lambda name: named.select(F.col("tag").alias(name), F.col("body").alias(f"{name}_body"))
+        met_pairs = pairs.join(side("u"), "u").join(side("v"), "v").filter("u_body != v_body")
+        seeds = cut_lineage(met_pairs.select(F.least("u_body", "v_body").alias("u"), F.greatest("u_body", "v_body").alias("v")).distinct(), "seeds")
+        wanted = wanted.unionByName(seeds.select(F.explode(F.array("u", "v")).alias("body")))
+    chosen = bodies.join(wanted.distinct(), "body", "left_semi").select("body", "tag", "sketch")
     chosen = cut_lineage(chosen, "chosen")
     listed = docs.sparkSession.sparkContext.broadcast(bloom.build(chosen, "tag"))
     members = whole.select("tag", "text").mapInArrow(_sets(shingle, listed), "tag bigint, members array<bigint>")
@@ -275,12 +286,13 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         drop_scratch(links, every, spanning)
         return parts, rest
 
-    parts = _components(linked(by_company(met, False)))
+    first = by_company(met, False)
+    parts = _components(linked(first if seeds is None else first.unionByName(seeds).distinct()))
     # The only pair of a bucket of two has met.
     parts, spanning = rounds(met.filter("n > 2"), parts)
     again = sets.join(spanning.select("body").distinct(), "body", "left_semi").select("body", "members")
     longer = _met(cut_lineage(again.mapInArrow(_long_bands, "body bigint, bands array<bigint>"), "long"))
     parts, rest = rounds(longer, parts)
     out = cut_lineage(prints.join(parts, "body", "left").select("doc_id", "tag", F.coalesce("root", "body").alias("root")), "copies")
-    drop_scratch(prints, bodies, chosen, met, sets, spanning, longer, rest, parts)
+    drop_scratch(prints, bodies, chosen, met, sets, spanning, longer, rest, parts, *[t for t in (seeds,) if t is not None])
     return out

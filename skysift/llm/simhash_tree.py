@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from skysift.llm.common import LOWER, PLAIN_WORD, steps, text_bytes, words
 from skysift.operators.graph import connected_components
-from skysift.session import cut_lineage
+from skysift.session import cut_lineage, drop_scratch
 
 SEED = 42
 BITS = 64
@@ -230,6 +230,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "tag", "fp", "component_id", "root")
 
 
+def candidate_pairs(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(u, v): hashes of texts that connect all texts whose fingerprints link, for a check of the pairs.
+
+    Texts of one fingerprint meet its text of least hash, linked fingerprints meet by those.
+    """
+    prints = cut_lineage(fingerprints(docs, shingle).select("fp", "tag").distinct(), "prints")
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("tag").alias("first")), "distinct")
+    same = prints.join(distinct, "fp").filter("tag != first").select(F.col("first").alias("u"), F.col("tag").alias("v"))
+    side = lambda name: distinct.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+    near = links(distinct.select("fp")).distinct().join(side("u"), "u").join(side("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    out = cut_lineage(same.unionByName(near), "pairs")
+    drop_scratch(prints, distinct)
+    return out
+
+
 def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The documents, all columns, with one row of each component."""
     return keep_least(docs, near_duplicates(docs, shingle))

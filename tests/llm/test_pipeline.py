@@ -42,6 +42,25 @@ def test_dedup(stages):
     assert sorted(r.doc_id for r in after) == sorted(set(component.values()))
 
 
+def test_dedup_takes_the_trees_pairs(spark, monkeypatch):
+    """Pairs of SimHash fingerprints are checked and linked, also where no band proposes them."""
+    from pyspark.sql import functions as F
+
+    from skysift.llm import near_copies, simhash_tree
+
+    words = [f"w{i}" for i in range(400)]
+    # The second shares all but one word with the first; the third is another text.
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pairs = simhash_tree.candidate_pairs(docs)
+    assert pairs.count() == 1
+    monkeypatch.setattr(near_copies, "_met", lambda bands: bands.select(F.lit(0).cast("bigint").alias("band"), "body", F.lit(2).cast("bigint").alias("n")).limit(0))
+    assert len({r.root for r in near_copies.near_copies(docs).collect()}) == 3
+    assert len({r.root for r in near_copies.near_copies(docs, pairs=pairs).collect()}) == 2
+    kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2]
+
+
 def test_decontamination(stages, spark):
     before, after = stages["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
