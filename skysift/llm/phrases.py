@@ -47,8 +47,8 @@ INSIDE_PERCENT = 50
 SHARDS = 3
 #: Parts of a hot phrase's lookups, and of a language's ranking.
 SALTS, RANKERS = 8, 64
-#: Bytes of text whose occurrences are counted together.
-STEP = 4 << 20
+#: Bytes of text whose occurrences are counted together; fewer where phrases are carried as text.
+STEP, TEXT_STEP = 4 << 20, 2 << 20
 
 #: Pieces end at these; words at these and at space and tab.
 ENDS = ~byte_class((0x0A, 0x0D), *[(ord(c), ord(c)) for c in ".,;:!?"])
@@ -128,23 +128,23 @@ class Step:
         return joined.cast(pa.large_string()).cast(pa.string())
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in steps of about ``STEP`` bytes of text, put together from small batches and cut from large ones."""
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in steps of about ``most`` bytes of text, put together from small batches and cut from large ones."""
     waiting, size = [], 0
     for batch in batches:
         own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-        if waiting and size + own > STEP:
-            yield from steps(iter([pa.concat_batches(waiting)]), size=STEP)
+        if waiting and size + own > most:
+            yield from steps(iter([pa.concat_batches(waiting)]), size=most)
             waiting, size = [], 0
         waiting.append(batch)
         size += own
     if waiting:
-        yield from steps(iter([pa.concat_batches(waiting)]), size=STEP)
+        yield from steps(iter([pa.concat_batches(waiting)]), size=most)
 
 
-def _walk(batches: Iterator[pa.RecordBatch], longest: int, listed: bloom.Bloom | None, apart: bool = True):
+def _walk(batches: Iterator[pa.RecordBatch], longest: int, listed: bloom.Bloom | None, apart: bool = True, most: int = STEP):
     """What ``Step.phrases`` finds, with the step and the shard, language and language hash of each group; shards are kept ``apart``."""
-    for part in _gathered(batches):
+    for part in _gathered(batches, most):
         lang = part.column("lang").dictionary_encode()
         group, pairs = _encode(lang.indices.to_numpy().astype(np.int64) * SHARDS + part.column("shard").to_numpy() * apart)
         names = lang.dictionary.take(pa.array(pairs // SHARDS))
@@ -152,6 +152,8 @@ def _walk(batches: Iterator[pa.RecordBatch], longest: int, listed: bloom.Bloom |
         step = Step(part.column("text"), group, seeds)
         for found in step.phrases(longest, listed):
             yield step, pairs % SHARDS, names, seeds.view(np.int64), found
+        # Workers are used again by later scans: what a step has freed goes back.
+        pa.default_memory_pool().release_unused()
 
 
 ROWS = 1 << 17
@@ -174,7 +176,7 @@ def _count(longest: int, listed):
     """(lang, size, phrase, h, n) of the phrases that ``listed`` may hold, counted by step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step, _, names, _, (k, group, places, n, h) in _walk(batches, longest, listed.value, apart=False):
+        for step, _, names, _, (k, group, places, n, h) in _walk(batches, longest, listed.value, apart=False, most=TEXT_STEP):
             keep = np.flatnonzero(listed.value.might_hold(h))
             for i in range(0, len(keep), ROWS):
                 cut = keep[i:i + ROWS]
