@@ -8,8 +8,10 @@ and per-tile aggregates run without another exchange.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,3 +171,52 @@ def with_halo(
     )
     out = out.withColumn("inner", inside)
     return out.repartition(shuffle_width(px.sparkSession), *keys, "hrow", "hcol")
+
+
+def _changes(rows: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Places of the rows whose key differs from the row before, without row 0."""
+    fresh = np.zeros(max(rows.num_rows - 1, 0), bool)
+    for c in keys:
+        column = rows.column(c)
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if column.null_count or not pa.types.is_integer(column.type):
+            column = column.dictionary_encode("encode").indices
+        values = column.to_numpy(zero_copy_only=False)
+        fresh |= values[1:] != values[:-1]
+    return np.flatnonzero(fresh) + 1
+
+
+def block_numbers(rows: pa.Table, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each row, numbered from 0, and the first row of each block, where the rows of a block lie together."""
+    first = np.concatenate([[0], _changes(rows, keys)])
+    return np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows))), first
+
+
+def map_blocks(px: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Hand ``make`` the rows of whole blocks, many small ones at a time, sorted by ``keys`` and ``order``.
+
+    ``px`` has the rows of a block (``keys``) in one partition. A call costs the same
+    for one block as for many, so its number goes by rows and not by blocks.
+    """
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = lambda batch, i: [batch.column(c)[i].as_py() for c in keys]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last block of a batch may go on in the next one.
+            ends = _changes(batch, keys)
+            cut = int(ends[-1]) if len(ends) else 0
+            if held and (cut or name(held[-1], held[-1].num_rows - 1) != name(batch, 0)):
+                yield from make(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()).to_batches()
+                held = []
+            elif cut:
+                yield from make(pa.Table.from_batches([batch.slice(0, cut)])).to_batches()
+            held.append(batch.slice(cut))
+        if held:
+            yield from make(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return px.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

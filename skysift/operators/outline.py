@@ -1,20 +1,20 @@
 """Region outlines as closed rings, in pixel corners and in longitude/latitude.
 
-A ring is a linked list of unit pixel edges. Inside a block a numpy helper
-shortens it to chains; chains are then ranked across blocks by pointer doubling
-over DataFrames. Vertices stay one per row, so no ring is ever gathered whole.
+A ring is a linked list of unit pixel edges. Inside a block a numpy helper, which
+takes many blocks at a time, shortens it to chains; chains are then ranked across
+blocks by pointer doubling over DataFrames. Vertices stay one per row, so no ring is ever gathered whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysift.constants import GEOJSON_DECIMALS
 from skysift.functions import geodesy
-from skysift.operators.grid import idiv, with_halo
+from skysift.operators.grid import block_numbers, idiv, map_blocks, with_halo
 from skysift.operators.regions import LAYER
 from skysift.session import cut_and_count, cut_lineage
 
@@ -22,51 +22,42 @@ from skysift.session import cut_and_count, cut_lineage
 # ahead, when walking with the region on the right: top, right, bottom, left.
 AHEAD = ((0, 1), (1, 0), (0, -1), (-1, 0))
 OUTSIDE = ((-1, 0), (0, 1), (1, 0), (0, -1))
+BLOCK = (*LAYER, "hrow", "hcol")
 CHAIN_COLUMNS = ("head", "rank", "vy", "vx", "turns", "lift", "least", "least_rank", "next")
 
 
-def boundary_edges(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -> DataFrame:
-    """Directed unit edges around true pixels, with their successor.
+def _edges(px: pa.Table, width: int) -> tuple[np.ndarray, ...]:
+    """Directed unit edges around the inner true pixels of whole blocks, with their successor.
 
-    ``layer`` is dense (scene_id, class, y, x, on). Edge ids are 4 * pixel +
-    side. Diagonal pixels are kept apart, in line with 4-connected regions.
+    Columns block, id, succ, turn, vy, vx, lift, by block and id. Edge ids are 4 * pixel
+    + side. Diagonal pixels are kept apart, in line with 4-connected regions.
     """
-    width = shape[1]
-    halo = with_halo(layer.withColumn("on", F.col("on").cast("int")), shape, 1, edge=edge, keys=("scene_id",))
-    block = [*LAYER, "hrow", "hcol"]
-    along_x = Window.partitionBy(*block, "y").orderBy("x")
-    along_y = Window.partitionBy(*block, "x").orderBy("y")
-    zero = F.lit(0)
-    three = F.array(F.coalesce(F.lag("on").over(along_x), zero), F.col("on"), F.coalesce(F.lead("on").over(along_x), zero))
-    rows = halo.select(*block, "y", "x", "inner", "on", three.alias("mid"))
-    empty = F.array(zero, zero, zero)
-    near = rows.select(
-        *block, "y", "x", "inner", "on", "mid",
-        F.coalesce(F.lag("mid").over(along_y), empty).alias("up"), F.coalesce(F.lead("mid").over(along_y), empty).alias("down"))
-    inner = near.filter(F.col("inner") & (F.col("on") == 1))
-
-    def at(step: tuple[int, int]) -> Column:
-        return {-1: F.col("up"), 0: F.col("mid"), 1: F.col("down")}[step[0]][step[1] + 1] == 1
-
+    block, _ = block_numbers(px, BLOCK)
+    y, x = (px[c].to_numpy().astype(np.int64) for c in ("y", "x"))
+    inner = px["inner"].to_numpy()
+    # Places of the pixels, with an empty column and row on every side.
+    row = width + 2
+    place = (block * (y.max() + 3) + y + 1) * row + x + 1
+    block, y, x, here = block[inner], y[inner], x[inner], place[inner]
+
+    def at(dy: int, dx: int) -> np.ndarray:
+        there = here + dy * row + dx
+        return place[np.minimum(np.searchsorted(place, there), len(place) - 1)] == there
+
+    on = {(dy, dx): at(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx}
+    pixel = y * width + x
     sides = []
-    pixel = F.col("y").cast("bigint") * width + F.col("x")
     for side in range(4):
         (ay, ax), (oy, ox) = AHEAD[side], OUTSIDE[side]
-        turn_right = ~at((ay, ax))
-        straight = ~at((ay + oy, ax + ox))
-        step = lambda dy, dx, s: (pixel + dy * width + dx) * 4 + s
-        successor = (
-            F.when(turn_right, step(0, 0, (side + 1) % 4))
-            .when(straight, step(ay, ax, side)).otherwise(step(ay + oy, ax + ox, (side + 3) % 4))
-        )
-        end_y = F.col("y") + (1 if side in (1, 2) else 0)
-        end_x = F.col("x") + (1 if side in (0, 1) else 0)
-        lift = F.col("x") + 1 if side == 1 else (-F.col("x") if side == 3 else F.lit(0))
-        sides.append(F.when(~at((oy, ox)), F.struct(
-            (pixel * 4 + side).alias("id"), successor.alias("succ"), (turn_right | ~straight).alias("turn"),
-            end_y.cast("int").alias("vy"), end_x.cast("int").alias("vx"), lift.cast("bigint").alias("lift"))))
-    found = F.filter(F.array(*sides), lambda s: s.isNotNull())
-    return inner.select(*block, F.inline(found))
+        ahead, beyond = on[ay, ax], on[ay + oy, ax + ox]
+        step = lambda dy, dx, s: (pixel + dy * width + dx) * 4 + s
+        succ = np.where(~ahead, step(0, 0, (side + 1) % 4), np.where(beyond, step(ay + oy, ax + ox, (side + 3) % 4), step(ay, ax, side)))
+        lift = x + 1 if side == 1 else (-x if side == 3 else np.zeros_like(x))
+        columns = (block, pixel * 4 + side, succ, (~ahead | beyond).astype(np.int64), y + (side in (1, 2)), x + (side in (0, 1)), lift)
+        sides.append([c[~on[oy, ox]] for c in columns])
+    columns = [np.concatenate(c) for c in zip(*sides)]
+    order = np.lexsort((columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
 
 
 def _follow(back: np.ndarray, rounds: int, *tracks: tuple[np.ndarray, np.ufunc | None]) -> list[np.ndarray]:
@@ -80,22 +71,24 @@ def _follow(back: np.ndarray, rounds: int, *tracks: tuple[np.ndarray, np.ufunc |
     return out
 
 
-def _chains(edges: pa.Table) -> pa.Table:
-    """Follow the edges of one block: turns ranked along their chain, and one row per chain.
+def _chains(px: pa.Table, width: int) -> pa.Table:
+    """Follow the edges of whole blocks: turns ranked along their chain, and one row per chain.
 
     Chains start where an edge is entered from another block; a ring inside the
     block starts at its smallest edge.
     """
-    ids = edges["id"].to_numpy()
-    order = np.argsort(ids)
-    ids, succ, turn, lift, vy, vx = (edges[c].to_numpy()[order].astype(np.int64) for c in ("id", "succ", "turn", "lift", "vy", "vx"))
+    block, ids, succ, turn, vy, vx, lift = _edges(px, width)
     n = len(ids)
-    spot = np.minimum(np.searchsorted(ids, succ), n - 1)
-    inside = ids[spot] == succ
+    if not n:
+        return _chain_schema(px).empty_table()
+    span = max(ids.max(), succ.max()) + 1
+    keyed, wanted = block * span + ids, block * span + succ
+    spot = np.minimum(np.searchsorted(keyed, wanted), n - 1)
+    inside = keyed[spot] == wanted
     back = np.full(n, -1)
     back[spot[inside]] = np.flatnonzero(inside)
 
-    rounds = n.bit_length() + 1
+    rounds = int(np.bincount(block).max()).bit_length() + 1
     # Smallest edge met when walking back; a walk that ends marks an open chain.
     least, open_ = _follow(back, rounds, (np.arange(n), np.minimum), (back < 0, np.logical_or))
     back[np.unique(least[~open_])] = -1
@@ -114,12 +107,19 @@ def _chains(edges: pa.Table) -> pa.Table:
     sums = {"head": ids[heads], "turns": total(turn), "lift": total(lift), "least": ids[first], "least_rank": rank[first],
             "next": pa.array(leaves, mask=~opened)}
 
-    def rows(columns: dict, count: int, is_chain: bool) -> pa.Table:
-        given = {c: pa.array([edges[c][0].as_py()] * count, edges.schema.field(c).type) for c in LAYER}
-        given["is_chain"] = pa.array([is_chain] * count, pa.bool_())
-        return pa.table(given | {c: pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(count, pa.int64()) for c in CHAIN_COLUMNS})
+    _, first_row = block_numbers(px, BLOCK)
+    schema = _chain_schema(px)
+
+    def rows(columns: dict, blocks: np.ndarray, is_chain: bool) -> pa.Table:
+        given = px.select(LAYER).take(pa.array(first_row[blocks]))
+        named = {"is_chain": pa.array(np.full(len(blocks), is_chain))} | {c: pa.array(columns[c]) if c in columns else pa.nulls(len(blocks), pa.int64()) for c in CHAIN_COLUMNS}
+        return pa.table([*given.columns, *named.values()], schema=schema)
+
+    return pa.concat_tables([rows(points, block[turned], False), rows(sums, block[heads], True)])
+
 
-    return pa.concat_tables([rows(points, int(turned.sum()), False), rows(sums, len(heads), True)])
+def _chain_schema(px: pa.Table) -> pa.Schema:
+    return pa.schema([*[px.schema.field(c) for c in LAYER], pa.field("is_chain", pa.bool_()), *[pa.field(c, pa.int64()) for c in CHAIN_COLUMNS]])
 
 
 def _rank_chains(chains: DataFrame) -> DataFrame:
@@ -163,10 +163,10 @@ def polygon_rings(layer: DataFrame, runs: DataFrame, shape: tuple[int, int], edg
     coordinates. ``runs`` are the labelled runs of the same layers.
     """
     width = shape[1]
-    edges = boundary_edges(layer, shape, edge)
-    types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    halo = with_halo(layer.filter("on").select(*LAYER, "y", "x"), shape, 1, edge=edge, keys=("scene_id",))
+    types = {f.name: f.dataType.simpleString() for f in halo.schema.fields}
     schema = f"scene_id {types['scene_id']}, class string, is_chain boolean, " + ", ".join(f"`{c}` bigint" for c in CHAIN_COLUMNS)
-    walked = cut_lineage(edges.groupBy(*LAYER, "hrow", "hcol").applyInArrow(_chains, schema))
+    walked = cut_lineage(map_blocks(halo, BLOCK, ["y", "x"], lambda px: _chains(px, width), schema))
     chains = walked.filter("is_chain")
     closed = chains.filter(F.col("next").isNull()).select(*LAYER, "head", F.col("head").alias("ring"), F.lit(0).cast("bigint").alias("before"), F.col("turns").alias("n"))
     ranked = cut_lineage(closed.unionByName(_rank_chains(chains.filter(F.col("next").isNotNull()))))

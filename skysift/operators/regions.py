@@ -1,8 +1,8 @@
 """Connected cloud regions: runs, touching runs, components, their statistics.
 
 Components are found in two levels. Inside a block (a fixed-size square) runs
-are joined by a small numpy helper; only regions that touch a block border then
-take part in the distributed label propagation.
+are joined by a small numpy helper, many blocks at a time; only regions that touch
+a block border then take part in the distributed label propagation.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.operators.graph import connected_components
-from skysift.operators.grid import idiv
+from skysift.operators.grid import block_numbers, idiv, map_blocks
 from skysift.session import cut_lineage, shuffle_width
 
 LAYER = ["scene_id", "class"]
@@ -58,15 +58,19 @@ def run_overlap_join(runs: DataFrame, payload: Sequence[str] = (), bucket: int =
     return upper.join(lower, [*LAYER, "_row", "_bucket"]).filter(touch).drop("_row", "_bucket")
 
 
-def _join_runs(runs: pa.Table, width: int) -> pa.Table:
-    """Label the runs of one block with the first pixel of their region."""
-    y, x0, x1 = (runs[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
-    order = np.argsort(y * width + x0)
-    y, x0, x1 = y[order], x0[order], x1[order]
-    label = y * width + x0
+def _block_runs(px: pa.Table, width: int) -> pa.Table:
+    """Runs of the true pixels of whole blocks, labelled with the first pixel of their region in the block."""
+    block, _ = block_numbers(px, [*LAYER, "hrow", "hcol"])
+    y, x = (px[c].to_numpy().astype(np.int64) for c in ("y", "x"))
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (block[1:] != block[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    y, x0, x1 = y[first], x[first], x[np.append(first[1:], len(x)) - 1]
+    # Blocks lie a row apart, so that runs of different ones never touch.
+    row = (block[first] * (y.max() + 2) + y) * width
     # Runs of the next row that overlap run i form the index range [lo, hi).
-    lo = np.searchsorted(y * width + x1, (y + 1) * width + x0, "left")
-    hi = np.searchsorted(label, (y + 1) * width + x1, "right")
+    lo = np.searchsorted(row + x1, row + width + x0, "left")
+    hi = np.searchsorted(row + x0, row + width + x1, "right")
     n = np.maximum(hi - lo, 0)
     upper = np.repeat(np.arange(len(y)), n)
     lower = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
@@ -80,7 +84,11 @@ def _join_runs(runs: pa.Table, width: int) -> pa.Table:
         if np.array_equal(new, root):
             break
         root = new
-    return runs.take(pa.array(order)).append_column("label", pa.array(label[root]))
+    kind = px.schema.field("x").type
+    runs = px.select([*LAYER, "y"]).take(pa.array(first))
+    for name, values in (("x0", pa.array(x0).cast(kind)), ("x1", pa.array(x1).cast(kind)), ("label", pa.array((y * width + x0)[root]))):
+        runs = runs.append_column(name, values)
+    return runs
 
 
 def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -> DataFrame:
@@ -93,10 +101,10 @@ def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -
     spark = layer.sparkSession
     placed = layer.filter("on").withColumns({"hrow": idiv(F.col("y"), edge), "hcol": idiv(F.col("x"), edge)}).repartition(
         shuffle_width(spark), "scene_id", "hrow", "hcol")
-    block_runs = mask_runs(placed, ["hrow", "hcol"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in block_runs.schema.fields) + ", label bigint"
-    labelled = cut_lineage(
-        block_runs.groupBy(*LAYER, "hrow", "hcol").applyInArrow(lambda runs: _join_runs(runs, width), schema))
+    block = [*LAYER, "hrow", "hcol"]
+    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = f"scene_id {types['scene_id']}, class {types['class']}, y {types['y']}, x0 {types['x']}, x1 {types['x']}, label bigint"
+    labelled = cut_lineage(map_blocks(placed.select(*block, "y", "x"), block, ["y", "x"], lambda px: _block_runs(px, width), schema))
 
     ends = labelled.filter((F.col("x1") + 1) % edge == 0).select(*LAYER, "y", (F.col("x1") + 1).alias("x"), F.col("label").alias("u"))
     starts = labelled.filter(F.col("x0") % edge == 0).select(*LAYER, "y", F.col("x0").alias("x"), F.col("label").alias("v"))

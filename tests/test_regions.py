@@ -112,3 +112,35 @@ def test_crowded_rows_are_joined_by_bucket(raster):
     runs = C.mask_runs(raster(stripes, name="on").withColumn("class", F.lit("c")))
     pairs = C.run_overlap_join(runs, bucket=4).collect()
     assert sorted((r.x0_a, r.x0_b) for r in pairs) == [(x, x) for x in range(0, 40, 2)]
+
+
+def noisy_scenes(raster, n=40):
+    rng = np.random.default_rng(5)
+    return raster(*[rng.random((12, 12)) < 0.5 for _ in range(n)], name="on").withColumn("class", F.lit("c"))
+
+
+def test_helpers_are_called_by_rows_and_not_by_blocks(spark, raster, monkeypatch):
+    calls = {name: spark.sparkContext.accumulator(0) for name in ("_block_runs", "_chains")}
+    for module, name in ((C, "_block_runs"), (V, "_chains")):
+        def counted(px, width, make=getattr(module, name), calls=calls[name]):
+            calls.add(1)
+            return make(px, width)
+
+        monkeypatch.setattr(module, name, counted)
+    layer = noisy_scenes(raster)
+    V.polygon_rings(layer, C.mask_components(layer, (12, 12), 3), (12, 12), 3).count()
+    # 640 blocks in eight partitions: one call for the whole blocks, one for the rest.
+    assert all(0 < c.value <= 16 for c in calls.values())
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_blocks_are_whole_in_batches_of_any_size(spark, raster, rows):
+    layer, setting = noisy_scenes(raster, 3), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = []
+    for size in (10000, rows):
+        spark.conf.set(setting, size)
+        try:
+            found.append(sorted(map(tuple, V.polygon_rings(layer, C.mask_components(layer, (12, 12), 5), (12, 12), 5).collect())))
+        finally:
+            spark.conf.unset(setting)
+    assert found[0] == found[1]
