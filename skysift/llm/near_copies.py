@@ -48,6 +48,8 @@ BANDS, ROWS = 24, 5
 #: How far below the wanted similarity the share of equal minima may lie (5 standard deviations).
 SLACK = 0.2
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text hashed in one go; a worker's arrays are many times as large.
+HASH_BYTES = 1 << 20
 #: Bands of the second look.
 LONG_BANDS, LONG_ROWS = 40, 10
 
@@ -108,7 +110,7 @@ def signatures(hashes: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+        for part in steps(batches, size=HASH_BYTES):
             hashes, votes, body = shingles(part.column("text"), shingle)
             bands, sketch = signatures(hashes, votes)
             yield pa.record_batch({
@@ -122,7 +124,7 @@ def _sets(shingle: int, listed):
     """(tag, members): the exact sets of the different texts of a step that ``listed`` may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+        for part in steps(batches, size=HASH_BYTES):
             tags, first = np.unique(part.column("tag").to_numpy(), return_index=True)
             part = part.take(pa.array(first[listed.value.might_hold(tags)]))
             hashes, votes, _ = shingles(part.column("text"), shingle)

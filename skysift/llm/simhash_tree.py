@@ -45,6 +45,8 @@ HALF_RADIUS = RADIUS // 2
 LEAF, SAMPLE, SPLIT = 512, 16384, 16
 #: Rows a task compares in one go.
 BLOCK = 1024
+#: Bytes of text hashed in one go: the hashes of a step and their bits take some 50 times as much, in every worker.
+HASH_BYTES = 1 << 20
 
 
 def fingerprint_array(texts: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -90,7 +92,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, tag, fp): the SimHash of each whole text; tag is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+        for part in steps(batches, size=HASH_BYTES):
             yield pa.record_batch({"doc_id": part.column("doc_id"), "tag": part.column("tag"), "fp": pa.array(fingerprint_array(part.column("text"), shingle))})
 
     return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tag"), F.col("text")).mapInArrow(run, "doc_id bigint, tag bigint, fp bigint")
@@ -172,7 +174,7 @@ def link_leaf(homes: np.ndarray, guests: np.ndarray, tree: int) -> tuple[np.ndar
         right = everyone[others].view(np.uint64)
         for i in range(0, len(h), BLOCK):
             rows = h[i:i + BLOCK]
-            step = max(1, (4 * BLOCK * BLOCK) // max(1, len(rows)))
+            step = max(1, (BLOCK * BLOCK) // max(1, len(rows)))
             for j in range(i, len(others), step):
                 x, y = np.nonzero(np.bitwise_count(everyone[rows].view(np.uint64)[:, None] ^ right[None, j:j + step]) <= RADIUS)
                 join(rows[x], others[j:j + step][y])
