@@ -47,7 +47,9 @@ SHORT = 96
 #: Bytes of a leaf of the tree, and pieces and pairs a worker remembers.
 LEAF, KNOWN = 24, 250_000
 #: Tokens decoded in one step (more where one text has more).
-DECODED = 1 << 20
+DECODED = 1 << 18
+#: Bytes of text that a step encodes; workers live on between stages and keep what a step took.
+ENCODED = 1 << 20
 #: Classes of bytes: other, letter, digit, white space; bytes from 0x80 are parts of letters here.
 OTHER, LETTER, DIGIT, SPACE = range(4)
 CLASS = np.full(256, OTHER, np.uint8)
@@ -260,7 +262,7 @@ def encode(docs: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = RAN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
-        for part in steps(batches, "_text"):
+        for part in steps(batches, "_text", ENCODED):
             ids, counts = own.encode_all(part.column("_text"))
             yield pa.record_batch([*part.columns[1:], list_array(pa.array(ids), counts)], [*names, "token_ids"])
 

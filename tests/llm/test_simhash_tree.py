@@ -1,6 +1,9 @@
+import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -70,3 +73,20 @@ def test_empty_table_and_null_id(documents):
     assert simhash_tree.near_duplicates(documents([])).count() == 0
     rows = simhash_tree.near_duplicates(documents([(None, "a b c"), (4, "a b c"), (9, "q")])).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(None, 4), (4, 4), (9, 9)}
+
+
+def test_a_step_of_texts_takes_bounded_memory(spark):
+    class Caught:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(10 ** 4)}" for _ in range(1000)) for _ in range(700)]
+    batch = pa.record_batch({"doc_id": pa.array(range(700)), "tag": pa.array(range(700)), "text": texts})
+    run = simhash_tree.fingerprints(Caught())
+    tracemalloc.start()
+    found = [x for part in run(iter([batch])) for x in part.column("fp").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    assert found == simhash_tree.fingerprint_array(batch.column("text")).tolist()
