@@ -44,7 +44,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with token_ids, n_tokens, and whether the tokens decode to the text (columns of these names get an underscore behind)."""
     packed = docs.select("text", F.struct("*").alias("doc"))
-    coded = bpe_tree.decode(bpe_tree.encode(packed, ["doc"]), ["doc"])
+    coded = bpe_tree.round_trip(packed, ["doc"])
     names = free_names(docs.columns, ("token_ids", "n_tokens", "round_trip"))
     return coded.select(
         *[F.col("doc").getField(c).alias(n) for c, n in zip(docs.columns, names)], "token_ids", F.size("token_ids").cast("bigint").alias("n_tokens"),

@@ -250,6 +250,12 @@ class Codec:
         size = self.sizes[ids]
         return self.bytes[np.repeat(self.begins[ids], size) + ramp(size)], size
 
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of each text, from the tokens of all and how many each has."""
+        data, size = self.decode(ids)
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
 
 @lru_cache(maxsize=2)
 def codec(ranks: str, pattern: str) -> Codec:
@@ -283,10 +289,28 @@ def decode(tokens: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = R
                 part = batch.slice(start, stop - start)
                 start = stop
                 lists = part.column("token_ids")
-                data, size = own.decode(lists.flatten().to_numpy())
-                ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))]
-                cells = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                cells = own.decode_all(lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy())
                 yield pa.record_batch([*part.columns, cells], schema.names)
 
     schema = StructType([*(tokens.schema[n] for n in (*carry, "token_ids")), StructField("decoded", BinaryType())])
     return tokens.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)], "token_ids").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, carry: Sequence[str] = ("doc_id",), ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(carry, token_ids, decoded) of ``decode(encode(docs))`` in one pass.
+
+    Two passes in a row keep two Python workers for each task, each with the tokens
+    and what it has seen; here it is one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks, pattern)
+        for part in steps(batches, "_text", ENCODED):
+            ids, counts = own.encode_all(part.column("_text"))
+            yield pa.record_batch([*part.columns[1:], list_array(pa.array(ids), counts), own.decode_all(ids, counts)], schema.names)
+            pa.default_memory_pool().release_unused()
+
+    names = free_names(carry, ("token_ids", "decoded"))
+    schema = StructType([*(StructField(n, docs.schema[c].dataType) for n, c in zip(names, carry)),
+                         StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    return docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)]).mapInArrow(run, schema)

@@ -72,3 +72,16 @@ def test_mixed_batches_match_tiktoken(encoding):
 
 def test_empty_table(documents):
     assert bpe_tree.decode(bpe_tree.encode(documents([]))).count() == 0
+
+
+def test_round_trip_in_one_pass(documents, texts, monkeypatch):
+    """One Python worker a task: the pipeline's last stage has a single pass, with the rows of two."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(bpe_tree, "ENCODED", 2000)
+    df = documents(texts[:300] + [(10_000 + i, t) for i, t in enumerate(odd())])
+    two = {r.doc_id: tuple(r) for r in bpe_tree.decode(bpe_tree.encode(df)).collect()}
+    assert {r.doc_id: tuple(r) for r in bpe_tree.round_trip(df).collect()} == two
+    stage = corpus_pipeline.byte_level_bpe(df.sparkSession, df, "")
+    assert stage._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert stage.filter("not round_trip").count() == 0 and stage.count() == len(two)
