@@ -1,8 +1,9 @@
 """Connected cloud regions: runs, touching runs, components, their statistics.
 
-Components are found in two levels. Inside a block (a fixed-size square) runs
-are joined by a small numpy helper, many blocks at a time; only regions that touch
-a block border then take part in the distributed label propagation.
+Components are found in three levels. Inside a block (a fixed-size square) runs
+are joined by a small numpy helper, many blocks at a time; regions that touch a block
+border are joined the same way inside a district, a square of a fixed number of blocks,
+and only those that cross districts take part in the distributed label propagation.
 """
 
 from __future__ import annotations
@@ -16,9 +17,17 @@ from pyspark.sql import functions as F
 
 from skysift.operators.graph import connected_components
 from skysift.operators.grid import block_numbers, idiv, map_blocks
-from skysift.session import cut_lineage, shuffle_width
+from skysift.session import cut_and_count, cut_lineage, shuffle_width
 
 LAYER = ["scene_id", "class"]
+DISTRICT = [*LAYER, "drow", "dcol"]
+#: Blocks along the side of a district.
+FAN = 8
+
+
+def district(pixel: Column, width: int, side: int) -> tuple[Column, Column]:
+    """Row and column of the square of ``side`` pixels that holds a pixel given as y * width + x."""
+    return idiv(pixel, width * side), idiv(pixel % width, side)
 
 
 def layers(px: DataFrame, classes: dict[str, str]) -> DataFrame:
@@ -58,6 +67,20 @@ def run_overlap_join(runs: DataFrame, payload: Sequence[str] = (), bucket: int =
     return upper.join(lower, [*LAYER, "_row", "_bucket"]).filter(touch).drop("_row", "_bucket")
 
 
+def _least_linked(n: int, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The smallest of the n nodes that each is linked to, over any number of links."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[upper], root[lower])
+        new = root.copy()
+        np.minimum.at(new, root[upper], low)
+        np.minimum.at(new, root[lower], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def _block_runs(px: pa.Table, width: int) -> pa.Table:
     """Runs of the true pixels of whole blocks, labelled with the first pixel of their region in the block."""
     block, _ = block_numbers(px, [*LAYER, "hrow", "hcol"])
@@ -74,16 +97,7 @@ def _block_runs(px: pa.Table, width: int) -> pa.Table:
     n = np.maximum(hi - lo, 0)
     upper = np.repeat(np.arange(len(y)), n)
     lower = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    root = np.arange(len(y))
-    while True:
-        low = np.minimum(root[upper], root[lower])
-        new = root.copy()
-        np.minimum.at(new, root[upper], low)
-        np.minimum.at(new, root[lower], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
+    root = _least_linked(len(y), upper, lower)
     kind = px.schema.field("x").type
     runs = px.select([*LAYER, "y"]).take(pa.array(first))
     for name, values in (("x0", pa.array(x0).cast(kind)), ("x1", pa.array(x1).cast(kind)), ("label", pa.array((y * width + x0)[root]))):
@@ -91,7 +105,18 @@ def _block_runs(px: pa.Table, width: int) -> pa.Table:
     return runs
 
 
-def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -> DataFrame:
+def _district_roots(links: pa.Table) -> pa.Table:
+    """The smallest node of its district that each node of whole districts is linked to."""
+    block, first = block_numbers(links, DISTRICT)
+    u, v = (links[c].to_numpy() for c in ("u", "v"))
+    span = max(u.max(), v.max()) + 1
+    nodes, at = np.unique(np.concatenate([block * span + u, block * span + v]), return_inverse=True)
+    root = _least_linked(len(nodes), at[:len(u)], at[len(u):])
+    out = links.select(LAYER).take(pa.array(first[nodes // span]))
+    return out.append_column("node", pa.array(nodes % span)).append_column("root", pa.array((nodes % span)[root]))
+
+
+def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183, fan: int = FAN) -> DataFrame:
     """Maximal runs with the 4-connected region each belongs to.
 
     A region is named after its first pixel in row-major order, so the result
@@ -113,15 +138,38 @@ def mask_components(layer: DataFrame, shape: tuple[int, int], edge: int = 183) -
     first = labelled.filter(F.col("y") % edge == 0)
     down = run_overlap_join(last, ["label"], below=first).select(*LAYER, F.col("label_a").alias("u"), F.col("label_b").alias("v"))
     links = sideways.unionByName(down).distinct()
-    merged = propagate_labels(links)
-    named = labelled.join(merged.select(*LAYER, F.col("node").alias("label"), "root"), [*LAYER, "label"], "left").select(
-        *LAYER, "y", "x0", "x1", F.coalesce("root", "label").alias("component"))
-    return merge_runs(named)
+    merged = propagate_labels(links, width, edge * fan)
+    named = cut_lineage(labelled.join(merged.select(*LAYER, F.col("node").alias("label"), "root"), [*LAYER, "label"], "left").select(
+        *LAYER, "y", "x0", "x1", F.coalesce("root", "label").alias("component")), "runs")
+    # Only runs that reach the side of a block may go on in the next one.
+    cut = (F.col("x0") % edge == 0) | ((F.col("x1") + 1) % edge == 0)
+    return named.filter(~cut).unionByName(merge_runs(named.filter(cut)))
+
 
+def propagate_labels(links: DataFrame, width: int, side: int) -> DataFrame:
+    """Smallest node reachable from each linked node: (scene, class, node, root).
 
-def propagate_labels(links: DataFrame) -> DataFrame:
-    """Smallest node reachable from each linked node: (scene, class, node, root)."""
-    return connected_components(links, LAYER)
+    Nodes are pixels, y * width + x. Links inside a district of ``side`` pixels are
+    followed in one pass; the least nodes of districts then stand for all of them.
+    """
+    spark = links.sparkSession
+    near = (F.struct(*district(F.col("u"), width, side)) == F.struct(*district(F.col("v"), width, side)))
+    links, crossing = cut_and_count(links.select(*LAYER, "u", "v", (~near).alias("cross")), "cross")
+    # A node that only has links to other districts is linked to itself.
+    own = F.when(F.col("cross"), F.array(F.struct(F.col("u"), F.col("u").alias("v")), F.struct(F.col("v").alias("u"), F.col("v")))).otherwise(F.array(F.struct("u", "v")))
+    row, column = district(F.col("u"), width, side)
+    dealt = links.select(*LAYER, F.inline(own)).withColumns({"drow": row, "dcol": column}).repartition(shuffle_width(spark), "scene_id", "drow", "dcol")
+    types = {f.name: f.dataType.simpleString() for f in links.schema.fields}
+    schema = f"scene_id {types['scene_id']}, class {types['class']}, node bigint, root bigint"
+    local = map_blocks(dealt.select(*DISTRICT, "u", "v"), DISTRICT, ["u"], _district_roots, schema)
+    if not crossing:
+        return local
+    local = cut_lineage(local, "districts")
+    root = lambda end: local.select(*LAYER, F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    far = links.filter("cross").join(root("u"), [*LAYER, "u"]).join(root("v"), [*LAYER, "v"]).select(
+        *LAYER, F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    least = connected_components(far, LAYER).select(*LAYER, F.col("node").alias("root"), F.col("root").alias("least"))
+    return local.join(least, [*LAYER, "root"], "left").select(*LAYER, "node", F.coalesce("least", "root").alias("root"))
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:

@@ -144,3 +144,67 @@ def test_blocks_are_whole_in_batches_of_any_size(spark, raster, rows):
         finally:
             spark.conf.unset(setting)
     assert found[0] == found[1]
+
+
+def written(monkeypatch, *modules):
+    """The names of tables written below the shared folder while the test runs."""
+    from skysift import session
+
+    names, cut = [], session.cut_lineage
+
+    def seen(df, name="stage"):
+        names.append(name)
+        return cut(df, name)
+
+    for module in (session, *modules):
+        monkeypatch.setattr(module, "cut_lineage", seen)
+    return names
+
+
+def test_districts_spare_rounds(raster, monkeypatch):
+    """What stays in a district takes no rounds over tables, and districts of any size give the same rings."""
+    from skysift.operators import graph
+
+    names = written(monkeypatch, C, V, graph)
+    found = {}
+    for fan in (1, 2, 8):
+        names.clear()
+        runs = C.mask_components(layer(raster), SHAPE, 3, fan)
+        rings = V.polygon_rings(layer(raster), runs, SHAPE, 3, fan=fan)
+        found[fan] = sorted(map(tuple, rings.collect())), len(names)
+    assert found[1][0] == found[2][0] == found[8][0] and found[8][0]
+    assert found[8][1] <= 5 < found[2][1]
+
+
+def test_validity_and_area_in_pieces(raster, spark, monkeypatch):
+    """A ring cut to pieces of three places has the same verdicts; a lost, doubled or slanted place is found."""
+    monkeypatch.setattr(V, "SPAN", 3)
+    monkeypatch.setattr(V.with_next, "__defaults__", (3,))
+    traced = V.polygon_rings(layer(raster), C.mask_components(layer(raster), SHAPE, 5), SHAPE, 5).localCheckpoint()
+    assert V.ring_validity(traced).filter("not ok").count() == 0
+    placed = traced.select("scene_id").distinct().selectExpr("scene_id", "32632 as epsg", "600000d as origin_e", "5500020d as origin_n")
+    areas = V.feature_area(V.features_wgs84(traced, placed, 60)).join(traced.filter("seq = 0").select("scene_id", "ring", "pixels", "n"), ["scene_id", "ring"])
+    assert areas.count() > 0 and areas.filter("abs(area_m2 / 3600 - pixels) > 0.01 * abs(pixels) or sides <> n").count() == 0
+    one = traced.orderBy(F.desc("n"), "scene_id", "ring").first()
+    key = f"scene_id = {one.scene_id} and ring = {one.ring}"
+    for at in (0, 2, 3, one.n):
+        lost = traced.filter(f"not ({key} and seq = {at})")
+        doubled = traced.unionByName(traced.filter(f"{key} and seq = {at}"))
+        slanted = traced.withColumn("vx", F.expr(f"if({key} and seq = {at}, vx + 50, vx)")).withColumn("vy", F.expr(f"if({key} and seq = {at}, vy + 50, vy)"))
+        for broken in (lost, slanted) if at == one.n else (lost, doubled, slanted):
+            assert [(r.scene_id, r.ring) for r in V.ring_validity(broken).filter("not ok").collect()] == [(one.scene_id, one.ring)], at
+
+
+def test_rings_inside_a_block_are_finished_there(raster, monkeypatch):
+    """Outer rings that leave no block take part in no join; holes inside a block find their region."""
+    names = written(monkeypatch, V)
+    V.polygon_rings(layer(raster), C.mask_components(layer(raster), SHAPE, 32), SHAPE, 32)
+    assert "rings" in names
+    walked = []
+    monkeypatch.setattr(V, "cut_lineage", lambda df, name="stage": walked.append(df.localCheckpoint()) or walked[-1])
+    rings = V.polygon_rings(layer(raster), C.mask_components(layer(raster), SHAPE, 32), SHAPE, 32)
+    holes = rings.filter("hole and seq = 0").count()
+    assert walked[0].filter("is_chain").count() == holes > 0
+    assert rings.filter("not hole and ring <> component * 4").count() == 0
+    found = rings.filter("scene_id = 0 and seq = 0").orderBy("ring").collect()
+    assert [(r.component, r.hole, r.pixels) for r in found] == [(2 * 17 + 3, False, 110), (2 * 17 + 3, True, -42), (6 * 17 + 7, False, 1)]
